@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpointed  # noqa: F401
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,23 +38,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder of the session, which every executor reaches.
-
-    A folder is made only where the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def in_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `size` text bytes, so that memory stays bounded."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        lengths = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).cast(pa.int64()).buffers()[1], np.int64, batch.num_rows) if batch.num_rows else np.zeros(0, np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(lengths + 64) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -10,10 +10,13 @@ from .bpe import encode_decode
 from .common import bucket_of, documents
 from .fingerprints import fingerprint_pairs
 from .lm_scoring import score_texts
+from .order_minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import score_quality
 from .quality_rules import apply_rules
 from .sharding import assign_shards
+from .substring_dedup import dedup_passages
+from .suffix_dedup import dedup_bytes
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +28,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = dedup_passages(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket_of(F.col("doc_id")) % 4 == 2
     scores = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
@@ -46,6 +55,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_bytes(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), 0.8)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprint_pairs(documents(spark, sf_dir))
     return pairs.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -54,10 +72,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_order_minhash": op9_order_minhash,
     "op10_fingerprints": op10_fingerprints,
 }
 
