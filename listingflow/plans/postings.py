@@ -60,7 +60,7 @@ p AS (
     CASE l_partkey % 5 WHEN 0 THEN 'software engineer' WHEN 1 THEN 'data analyst' WHEN 2 THEN 'mechanical engineer co op'
       WHEN 3 THEN 'senior hardware engineer' ELSE 'marketing associate' END || ' ' || (l_partkey % 40) AS title_norm,
     CASE WHEN l_partkey % 5 < 3 THEN 'intern' ELSE 'newgrad' END AS level,
-    trim(regexp_replace(regexp_replace(lower(n_name), '\\b(united|states|in|us|usa)\\b', '', 'g'), ' +', ' ', 'g')) AS place,
+    trim(regexp_replace(regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9]', ' ', 'g'), '\\b(united|states|in|us|usa)\\b', '', 'g'), ' +', ' ', 'g')) AS place,
     CASE WHEN l_partkey % 2 = 0 THEN 'su2027' ELSE 'fa2027' END AS season_norm
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ),

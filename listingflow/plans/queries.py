@@ -124,13 +124,14 @@ def new_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {POSTINGS_SQL}, a AS (SELECT DISTINCT url_key AS key FROM k WHERE posting_id % 5 = 0), s AS (SELECT DISTINCT identity_key AS key FROM k WHERE posting_id % 3 = 0),
 n AS (SELECT regexp_extract(key, '^(id:[^|]*\\|[^|]*\\|)', 1) AS pre, min(key) AS near FROM s GROUP BY 1)
-SELECT posting_id AS query_id, CASE WHEN a.key IS NOT NULL THEN 2 WHEN s.key IS NOT NULL OR near IS NOT NULL THEN 1 ELSE 0 END AS status, coalesce(a.key, s.key, near) AS key
+SELECT DISTINCT k.url_key || '~' || k.identity_key AS query_id, CASE WHEN a.key IS NOT NULL THEN 2 WHEN s.key IS NOT NULL OR near IS NOT NULL THEN 1 ELSE 0 END AS status, coalesce(a.key, s.key, near) AS key
 FROM k LEFT JOIN a ON k.url_key = a.key LEFT JOIN s ON k.identity_key = s.key LEFT JOIN n ON n.pre = 'id:' || company_norm || '|' || title_norm || '|'""")
 def lookup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _keyed(spark, sf_dir)
     applied = k.where("posting_id % 5 = 0").select(F.col("url_key").alias("key")).distinct()
     seen = k.where("posting_id % 3 = 0").select(F.col("identity_key").alias("key")).distinct()
-    return ledger.lookup(k.withColumnRenamed("posting_id", "query_id"), seen, applied)
+    asked = k.select(F.concat_ws("~", "url_key", "identity_key").alias("query_id"), "keys", "id_prefix").dropDuplicates(["query_id"])
+    return ledger.lookup(asked.withColumn("keys", F.filter("keys", lambda x: ~x.startswith("sj:"))), seen, applied)
 
 
 @query("""WITH old AS (SELECT CAST(o_custkey AS VARCHAR) AS key, min(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
