@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from .common import checkpointed, in_chunks, spread, texts_of
@@ -97,21 +98,19 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
-def near(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two texts' sets of shingles have at least this Jaccard similarity, and their words this edit similarity."""
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
-    if min(len(x), len(y)) < least * max(len(x), len(y)):
-        return False
-    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-    if both < least * (len(x) + len(y) - both):
-        return False
-    longest = max(len(a), len(b), 1)
-    most = int((1 - least) * longest)
+def common_shingles(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted sets."""
+    return len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+
+
+def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether an alignment finds this edit similarity between two texts' words."""
+    most = int((1 - least) * max(len(a), len(b), 1))
     return edit_distance(a, b, most) <= most
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, samples); node names the text."""
+    """(doc_id, node, n, samples); node names the text, n counts its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, size=1 << 20):
@@ -119,34 +118,95 @@ def _sketches(docs: DataFrame) -> DataFrame:
             each = [w.hash[w.of(k)] for k in range(batch.num_rows)]
             flat = np.concatenate([sketch(x) for x in each]).view(np.int64)
             samples = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SAMPLES), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([max(len(x), 1) for x in each], pa.int64()), samples], names=["doc_id", "node", "n", "samples"])
+            sizes = pa.array([len(np.unique(shingles(x))) for x in each], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, samples], names=["doc_id", "node", "n", "samples"])
 
     body = F.coalesce("text", F.lit(""))
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))).select("doc_id", "text", F.xxhash64("text").alias("node"))
     return rows.mapInArrow(run, "doc_id long, node long, n long, samples array<long>")
 
 
+class _Known:
+    """Words and shingles of the texts last seen; pairs come grouped by one of their texts."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.kept = most, OrderedDict()
+
+    def __call__(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if (found := self.kept.get(node)) is None:
+            words = words_in([text.encode()]).hash
+            found = self.kept[node] = words, np.unique(shingles(words))
+            if len(self.kept) > self.most:
+                self.kept.popitem(last=False)
+        return found
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ta, tb) of pairs (a, b), with the texts (node, text) of both."""
+    x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    y = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return y.select("a", "b", "ta", "tb")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose texts (node, text) are near."""
+    """(a, b, common, link): the shingles that both texts of a pair have, and whether they are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        known = _Known()
+        for batch in batches:
+            common, link = [], []
+            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                (wa, x), (wb, y) = known(a, ta), known(b, tb)
+                n = common_shingles(x, y)
+                common.append(n)
+                link.append(n >= least * (len(x) + len(y) - n) and aligned(wa, wb, least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "common", "link"])
 
-        def words(node: int, text: str) -> np.ndarray:
-            if (w := known.get(node)) is None:
-                w = known[node] = words_in([text.encode()]).hash
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return w
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, common long, link boolean")
 
+
+def added_shingles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shingle): the shingles of b's text that a's lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            good = [near(words(a, ta), words(b, tb), least) for a, b, ta, tb in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                extra = np.setdiff1d(known(b, tb)[1], known(a, ta)[1], assume_unique=True).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"a": np.full(len(extra), a), "b": np.full(len(extra), b), "shingle": extra})
+
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, shingle long")
 
-    x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    y = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return y.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+def beyond_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that may be near though one of them is not in its hub's class, without holding all
+    such pairs against each other.
+
+    `star` has hub, x, n (of x), common (with the hub), inside (x is in the hub's class) and class. Let a
+    link need s = least / (1 + least) * (n_x + n_y) common shingles. Of these at most
+    min(common_x, common_y) lie in the hub's text. So x and y either satisfy s <= min(common_x, common_y),
+    which a join on sizes finds, or share a shingle that the hub lacks. A text outside the hub's class
+    needs k = least * n_x - common_x of those at least, and so shares one among all but its k - 1 most
+    frequent ones: a prefix filter by rarity among the hub's members.
+    """
+    ratio = least / (1 + least)
+    open_ = star.where("NOT inside").select("hub").distinct()
+    here = checkpointed(star.join(open_, "hub"))
+    y = here.select("hub", F.col("x").alias("y"), F.col("n").alias("yn"), F.col("common").alias("yc"), F.col("inside").alias("yi"), F.col("class").alias("yk"))
+    differ = (F.col("class") != F.col("yk")) & ~F.col("inside") & (F.col("yi") | (F.col("x") < F.col("y"))) & (F.least("n", "yn") >= least * F.greatest("n", "yn"))
+    by_size = here.alias("h").join(y.withColumnRenamed("hub", "g"), (F.col("hub") == F.col("g")) & differ & (ratio * (F.col("n") + F.col("yn")) <= F.least("common", "yc")))
+
+    extra = added_shingles(here.select(F.col("hub").alias("a"), F.col("x").alias("b")), texts).select(F.col("a").alias("hub"), F.col("b").alias("x"), "shingle")
+    counted = checkpointed(extra.join(extra.groupBy("hub", "shingle").agg(F.count("*").alias("often")), ["hub", "shingle"]))
+    rare = Window.partitionBy("hub", "x").orderBy("often", "shingle")
+    ranked = counted.withColumn("rank", F.row_number().over(rare)).withColumn("size", F.count("*").over(Window.partitionBy("hub", "x")))
+    need = F.greatest(F.ceil(least * F.col("n") - F.col("common")), F.lit(1))
+    prefix = ranked.join(here, ["hub", "x"]).where(F.col("rank") <= F.col("size") - need + 1).where("often > 1")
+    prefix = checkpointed(prefix.select("hub", "x", "shingle", "n", "common", "inside", "class"))
+    other = prefix.select(F.col("hub").alias("g"), F.col("shingle").alias("z"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("inside").alias("yi"), F.col("class").alias("yk"))
+    by_shingle = prefix.join(other, (F.col("hub") == F.col("g")) & (F.col("shingle") == F.col("z")) & differ)
+    both = by_size.select("x", "y").union(by_shingle.select("x", "y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -155,9 +215,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Texts are linked if their five-word shingles have a Jaccard similarity of at least `least` and an
     alignment finds the same edit similarity; classes are connected components. Candidates share a
     sample of their order min-hash sketches. Equal texts are one node. In each bucket of equal samples,
-    every text is first held against the bucket's hub, the text that shares most samples with others;
-    then what has not joined the bucket's largest class is held against all of other classes in it. So
-    any two texts of a bucket are compared unless they already are in one class.
+    every text is held against the bucket's hub, the text that shares most samples with others. What has
+    not joined its hub's class is then held against all others of the hub's buckets that it may still be
+    linked to, as beyond_hub() says. So any two texts of a bucket are compared unless they already are in
+    one class or cannot be near.
 
     Null text is empty; texts without words are one class. Null ids take part, but name a class only
     if it has no other id. Repeated rows are copies. An empty table gives no rows. Other columns are
@@ -171,26 +232,22 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     texts = checkpointed(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
 
-    def sized(x: str, y: str) -> F.Column:
-        """A link needs shingle counts within the ratio; n counts words, at most four more than shingles."""
-        return F.least(x, y) >= least * (F.greatest(x, y) - 4)
-
-    hub = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    hubs = members.join(hub, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-    star = members.join(hubs, "bucket").where("node <> hub.node").where(sized("n", "hub.n"))
-    tried = checkpointed(star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
-    links = checkpointed(verified(tried, texts, least))
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("hub"))
+    pairs = checkpointed(members.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    tried = checkpointed(verified(pairs, texts, least))
+    links = tried.where("link").select("a", "b")
     joined = checkpointed(connected_components(links))
 
-    named = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("class"))
-    sizes = named.groupBy("bucket", "class").agg(F.count("*").alias("k"))
-    tops = sizes.groupBy("bucket").agg(F.max(F.struct("k", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    open_ = checkpointed(named.join(tops.select("bucket", F.col("top.class").alias("main")), "bucket"))
-    left = open_.where("class <> main").select("bucket", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("class").alias("xc"))
-    rest = left.join(open_, "bucket").where("xc <> class AND (class = main OR x < node)").where(sized("xn", "n"))
-    more = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(verified(checkpointed(more), texts, least))
-    classes = connected_components(links)
+    def class_of(name: str, out: str) -> DataFrame:
+        return joined.select(F.col("node").alias(name), F.col("component").alias(out))
+
+    star = tried.join(class_of("a", "ca"), "a", "left").join(class_of("b", "cb"), "b", "left").join(nodes.select(F.col("node").alias("b"), "n"), "b")
+    own, hub = F.coalesce("cb", "b"), F.coalesce("ca", "a")
+    star = star.select(F.col("a").alias("hub"), F.col("b").alias("x"), "n", "common", (own == hub).alias("inside"), own.alias("class"))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = checkpointed(beyond_hub(star, texts, least).join(done, ["a", "b"], "left_anti"))
+    classes = connected_components(links.union(verified(more, texts, least).where("link").select("a", "b")))
 
     of = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     of = checkpointed(of)
