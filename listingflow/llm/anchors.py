@@ -84,13 +84,17 @@ def _block_runs(pieces: list[tuple[int, int, np.ndarray]], length: int, q: int)
     return Runs(number[own], h[a[start]], place[start] - begin[own] + offset[own], np.diff(np.append(start, len(place))), a[start] - place[start]), p, place[start]
 
 
+#: Bits of an anchor's hash left out when anchors are counted; what recurs is looked at in full later.
+_SHORT = np.uint64(16)
+
+
 def signed(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
 def shard_keys(shard: int, keys: list[np.ndarray]) -> pa.Table:
     """(key, shard, many) of a shard's anchors; many: seen more than once here."""
-    found, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+    found, counts = np.unique((np.concatenate(keys) if keys else np.zeros(0, np.uint64)) >> _SHORT, return_counts=True)
     return pa.table({"key": signed(found), "shard": pa.array(np.full(len(found), shard), pa.int32()), "many": counts > 1})
 
 
@@ -115,12 +119,15 @@ def recurring(keys: DataFrame, parts: int) -> DataFrame:
 
 
 def kept(runs: Runs, keys: np.ndarray) -> np.ndarray:
-    """Numbers of the runs whose anchor is among the sorted keys."""
+    """Numbers of the runs whose anchor is among the sorted keys, as shard_keys() shortens them."""
     if not len(keys):
         return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(keys, runs.key), len(keys) - 1)
-    return np.flatnonzero(keys[at] == runs.key)
+    short = runs.key >> _SHORT
+    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+    return np.flatnonzero(keys[at] == short)
 
 
-def sorted_keys(table: pa.Table) -> np.ndarray:
-    return np.sort(table["key"].to_numpy().astype(np.int64).view(np.uint64))
+def sorted_keys(table: pa.Table, full: bool = False) -> np.ndarray:
+    """The sorted keys of a table, shortened if they are `full` hashes."""
+    keys = table["key"].to_numpy().astype(np.int64).view(np.uint64)
+    return np.unique(keys >> _SHORT if full else keys)

@@ -139,7 +139,7 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
         numbers = np.split(back, np.cumsum([len(w) for w in t.words])[:-1]) if t.words else []
         passages: dict[bytes, np.ndarray] = {}
         done: set[tuple[int, int]] = set()
-        for k, key, first, hashes, title in t.stretches(sorted_keys(found), length, q):
+        for k, key, first, hashes, title in t.stretches(sorted_keys(found, full=True), length, q):
             if (key, title) in done:  # the automaton finds its other occurrences
                 continue
             done.add((key, title))

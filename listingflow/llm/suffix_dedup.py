@@ -227,7 +227,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
         least = _least_ids(ids, own, len(texts))
         known = dict(zip(zip(found["key"].to_pylist(), found["stretch"].to_pylist()), found["smallest"].to_pylist()))
         gone = [np.zeros(len(t) + 1, np.int32) for t in texts]
-        for k, key, first, _, _, body in _contexts(texts, sorted_keys(found), length, q):
+        for k, key, first, _, _, body in _contexts(texts, sorted_keys(found, full=True), length, q):
             at = first
             for number, smallest in np.frombuffer(known[key, _name(body)], "<i8").reshape(-1, 2).tolist():
                 if smallest < least[k]:
