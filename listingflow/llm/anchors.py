@@ -7,11 +7,12 @@ windows mostly share theirs, so only a small share of places is ever sent anywhe
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .hashing import POWERS, mix, prefix_hashes
@@ -85,49 +86,95 @@ def _block_runs(pieces: list[tuple[int, int, np.ndarray]], length: int, q: int)
 
 
 #: Bits of an anchor's hash left out when anchors are counted; what recurs is looked at in full later.
-_SHORT = np.uint64(16)
+_SHORT = 16
 
 
 def signed(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def shard_keys(shard: int, keys: list[np.ndarray]) -> pa.Table:
-    """(key, shard, many) of a shard's anchors; many: seen more than once here."""
-    found, counts = np.unique((np.concatenate(keys) if keys else np.zeros(0, np.uint64)) >> _SHORT, return_counts=True)
-    return pa.table({"key": signed(found), "shard": pa.array(np.full(len(found), shard), pa.int32()), "many": counts > 1})
+def short(keys: np.ndarray) -> np.ndarray:
+    """Shortened hashes of anchors, spread evenly (an anchor's own hash, the least of many, is not)."""
+    return mix(keys) >> np.uint64(_SHORT)
+
+
+def parts_for(shards: int) -> int:
+    """Ranges that shortened hashes are cut into; a shard sends each range's anchors as one block."""
+    return max(1024, 4 * shards)
+
+
+def pack(columns: list[np.ndarray], bodies: Iterable[bytes] = ()) -> bytes:
+    """Columns of 64-bit numbers, byte plane by byte plane, and then the bodies, compressed."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return len(columns[0]).to_bytes(4, "little") + zstandard.compress(b"".join([*planes, *bodies]), 1)
+
+
+def unpack(block: bytes, columns: int) -> tuple[list[np.ndarray], bytes]:
+    """The columns, as signed numbers, and the joined bodies of a block."""
+    n, data = int.from_bytes(block[:4], "little"), zstandard.decompress(block[4:])
+    planes = np.frombuffer(data, np.uint8, 8 * n * columns).reshape(columns, 8, n)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in planes], data[8 * n * columns :]
+
+
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Order of shortened keys, and each range's number with its share of that order."""
+    order = np.argsort(keys, kind="stable")
+    part = (keys[order] // np.uint64((1 << 64 - _SHORT) // parts + 1)).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return order, [(int(part[a]), slice(a, b)) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)])]
+
+
+def shard_keys(shard: int, keys: list[np.ndarray], parts: int) -> pa.Table:
+    """(part, shard, block) of a shard's anchors; a block has steps between sorted keys, and whether each was seen again."""
+    found, counts = np.unique(short(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), return_counts=True)
+    _, shares = by_part(found, parts)
+    blocks = [pack([np.diff(found[s], prepend=np.uint64(0)), (counts[s] > 1).astype(np.int64)]) for _, s in shares]
+    return pa.table({"part": pa.array([p for p, _ in shares], pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
 def recurring(keys: DataFrame, parts: int) -> DataFrame:
-    """(shard, key) of those anchors that several shards hold, or one several times.
+    """(shard, block) of those anchors that several shards hold, or one several times.
 
-    A shard sends a key once, so a key's rows are at most as many as shards.
+    A shard sends a key once, so a key is held at most as often as there are shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, pa.schema([("key", pa.int64()), ("shard", pa.int32()), ("many", pa.bool_())]))
-        key, shard = table["key"].to_numpy(), table["shard"].to_numpy()
+        found, shards, again = [], [], []
+        for batch in batches:
+            for shard, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                (steps, many), _ = unpack(block, 2)
+                found.append(np.cumsum(steps))
+                shards.append(np.full(len(steps), shard, np.int32))
+                again.append(many > 0)
+        if not found:
+            return
+        key, shard, many = np.concatenate(found), np.concatenate(shards), np.concatenate(again)
         order = np.argsort(key, kind="stable")
-        key, shard, many = key[order], shard[order], table["many"].to_numpy()[order]
-        if len(key):
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(start, len(key)))
-            keep = np.repeat((size > 1) | np.logical_or.reduceat(many, start), size)
-            yield from pa.table({"shard": shard[keep], "key": key[keep]}).to_batches(100_000)
+        key, shard, many = key[order], shard[order], many[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        keep = np.repeat((size > 1) | np.logical_or.reduceat(many, start), size)
+        key, shard = key[keep], shard[keep]
+        order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
+        key, shard = key[order], shard[order]
+        cut = [*np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist(), len(shard)] if len(shard) else [0]
+        blocks = [pack([np.diff(key[a:b], prepend=0)]) for a, b in zip(cut, cut[1:])]
+        for at in range(0, len(blocks), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1][at : at + 1000]], pa.int32()), pa.array(blocks[at : at + 1000], pa.binary())], names=["shard", "block"])
 
-    return keys.repartition(parts, "key").mapInArrow(run, "shard int, key long")
+    return keys.repartition(parts, "part").mapInArrow(run, "shard int, block binary")
 
 
 def kept(runs: Runs, keys: np.ndarray) -> np.ndarray:
-    """Numbers of the runs whose anchor is among the sorted keys, as shard_keys() shortens them."""
+    """Numbers of the runs whose anchor is among the sorted, shortened keys."""
     if not len(keys):
         return np.zeros(0, np.int64)
-    short = runs.key >> _SHORT
-    at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-    return np.flatnonzero(keys[at] == short)
+    own = short(runs.key)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return np.flatnonzero(keys[at] == own)
 
 
-def sorted_keys(table: pa.Table, full: bool = False) -> np.ndarray:
-    """The sorted keys of a table, shortened if they are `full` hashes."""
-    keys = table["key"].to_numpy().astype(np.int64).view(np.uint64)
-    return np.unique(keys >> _SHORT if full else keys)
+def sorted_keys(blocks: pa.Table) -> np.ndarray:
+    """The sorted keys that recurring() sent back."""
+    found = [np.cumsum(unpack(b, 1)[0][0]) for b in blocks["block"].to_pylist()]
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *found])).view(np.uint64)

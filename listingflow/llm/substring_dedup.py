@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import kept, recurring, runs_of, shard_keys, signed, sorted_keys
+from .anchors import kept, parts_for, recurring, runs_of, shard_keys, short, signed, sorted_keys
 from .common import sharded
 from .hashing import POWERS, mix, words_in
 
@@ -82,15 +82,16 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
     An empty table gives no rows. Other columns are ignored.
     """
     shards, n = sharded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shard_bytes)
+    parts = parts_for(n)
 
     def name(table: pa.Table) -> pa.Table:
         t = _Texts(table)
         keys = []
         for runs, _, _ in runs_of(t.words, length, q):
             keys += [runs.key, runs.key[t.times[runs.sequence] > 1]]  # a copied text has each anchor again
-        return shard_keys(table["shard"][0].as_py(), keys)
+        return shard_keys(table["shard"][0].as_py(), keys, parts)
 
-    again = recurring(shards.groupBy("shard").applyInArrow(name, "key long, shard int, many boolean"), n)
+    again = recurring(shards.groupBy("shard").applyInArrow(name, "part int, shard int, block binary"), n)
 
     def send(table: pa.Table, keys: pa.Table) -> pa.Table:
         t = _Texts(table)
@@ -139,7 +140,7 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
         numbers = np.split(back, np.cumsum([len(w) for w in t.words])[:-1]) if t.words else []
         passages: dict[bytes, np.ndarray] = {}
         done: set[tuple[int, int]] = set()
-        for k, key, first, hashes, title in t.stretches(sorted_keys(found, full=True), length, q):
+        for k, key, first, hashes, title in t.stretches(np.unique(short(found["key"].to_numpy().astype(np.int64).view(np.uint64))), length, q):
             if (key, title) in done:  # the automaton finds its other occurrences
                 continue
             done.add((key, title))

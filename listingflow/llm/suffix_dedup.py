@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import kept, recurring, runs_of, shard_keys, signed, sorted_keys
+from .anchors import by_part, kept, pack, parts_for, recurring, runs_of, shard_keys, short, signed, sorted_keys, unpack
 from .common import sharded
 from .hashing import POWERS, byte_values, prefix_hashes
 
@@ -141,7 +142,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
     end of maximal removed runs), kept (binary).
 
     Texts are dealt into shards. Each shard names the anchors of its windows; anchors that recur come
-    back, and the shard sends the bytes around them, each distinct stretch once with its smallest id.
+    back, and the shard sends the bytes around them, each distinct stretch once with its smallest and largest id.
     Where an anchor's stretches meet, their windows are suffix-sorted, and equal ones learn the smallest
     id among them. The shards then mark what earlier documents hold. Copies of a text within a shard
     count as one, so a group of copies weighs as much as the shards that hold it.
@@ -150,12 +151,13 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
     one id never take bytes from each other. An empty table gives no rows. Other columns are ignored.
     """
     shards, n = sharded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shard_bytes)
+    parts = parts_for(n)
 
     def name(table: pa.Table) -> pa.Table:
         _, texts, _ = _texts(table)
-        return shard_keys(table["shard"][0].as_py(), [runs.key for runs, _, _ in runs_of(_Values(texts), length, q)])
+        return shard_keys(table["shard"][0].as_py(), [runs.key for runs, _, _ in runs_of(_Values(texts), length, q)], parts)
 
-    again = recurring(shards.groupBy("shard").applyInArrow(name, "key long, shard int, many boolean"), n)
+    again = recurring(shards.groupBy("shard").applyInArrow(name, "part int, shard int, block binary"), n)
 
     def send(table: pa.Table, keys: pa.Table) -> pa.Table:
         ids, texts, own = _texts(table)
@@ -163,33 +165,36 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
         found: dict[tuple[int, bytes], list[int]] = {}
         for k, key, _, _, before, body in _contexts(texts, sorted_keys(keys), length, q):
             if (old := found.get((key, body))) is None:
-                found[key, body] = [least[k], before]
-            elif least[k] < old[0]:
-                old[0] = least[k]
+                found[key, body] = [least[k], least[k], before]
+            else:
+                old[:2] = min(old[0], least[k]), max(old[1], least[k])
+        keys_, bodies = np.array([k for k, _ in found], np.int64), [b for _, b in found]
+        low, high, before = np.array(list(found.values()), np.int64).reshape(-1, 3).T
+        sizes = np.array([len(b) for b in bodies], np.int64)
+        order, shares = by_part(short(keys_.view(np.uint64)), parts)
+        blocks = []
+        for _, share in shares:
+            x = order[share]
+            blocks.append(pack([keys_[x], low[x], high[x], before[x], sizes[x]], [bodies[i] for i in x.tolist()]))
         shard = table["shard"][0].as_py() if table.num_rows else 0
-        return pa.table(
-            {
-                "key": pa.array([k for k, _ in found], pa.int64()),
-                "shard": pa.array([shard] * len(found), pa.int32()),
-                "least": pa.array([v[0] for v in found.values()], pa.int64()),
-                "before": pa.array([v[1] for v in found.values()], pa.int32()),
-                "body": pa.array([b for _, b in found], pa.binary()),
-            }
-        )
+        return pa.table({"part": pa.array([p for p, _ in shares], pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
-    sent = shards.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(send, "key long, shard int, least long, before int, body binary")
+    sent = shards.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(send, "part int, shard int, block binary")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[tuple[int, bytes], int] = {}
         rows, least, before = [], [], []
         for batch in batches:
-            for key, shard, own, at, body in zip(*(c.to_pylist() for c in batch.columns)):
-                k = number.setdefault((key, body), len(number))
-                if k == len(least):
-                    least.append(own)
-                    before.append(at)
-                least[k] = min(least[k], own)
-                rows.append((shard, k))
+            for shard, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                (*columns, sizes), joined = unpack(block, 5)
+                end = np.cumsum(sizes)
+                for key, own, last, at, a, b in zip(*(c.tolist() for c in columns), (end - sizes).tolist(), end.tolist()):
+                    k = number.setdefault((key, joined[a:b]), len(number))
+                    if k == len(least):
+                        least.append(own)
+                        before.append(at)
+                    least[k] = min(least[k], own)
+                    rows.append((shard, k, last))
         contexts = list(number)
         if not contexts:
             return
@@ -209,27 +214,30 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
             item = first[own] + offset
             start = np.flatnonzero(~equal)
             smallest[item[order]] = np.repeat(np.minimum.reduceat(smallest[item[order]], start), np.diff(np.append(start, len(order))))
-        for at in range(0, len(rows), 20_000):
-            some = rows[at : at + 20_000]
-            pairs = [_run_lengths(smallest[first[k] : first[k + 1]]) for _, k in some]
-            columns = [
-                pa.array([s for s, _ in some], pa.int32()),
-                pa.array([contexts[k][0] for _, k in some], pa.int64()),
-                pa.array([_name(contexts[k][1]) for _, k in some], pa.int64()),
-                pa.array(pairs, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "key", "stretch", "smallest"])
-
-    answers = sent.repartition(n, "key").mapInArrow(resolve, "shard int, key long, stretch long, smallest binary")
+        lowest = np.minimum.reduceat(smallest, first[:-1]).tolist()
+        rows = sorted((shard, k) for shard, k, last in rows if lowest[k] < last)  # in other shards no text loses a byte of it
+        for shard, some in groupby(rows, lambda r: r[0]):
+            mine = [k for _, k in some]
+            answers = [_run_lengths(smallest[first[k] : first[k + 1]]) for k in mine]
+            columns = [keys[mine], np.array([_name(contexts[k][1]) for k in mine], np.int64), np.array([len(x) for x in answers], np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(columns, answers)], pa.binary())], names=["shard", "block"])
+
+    answers = sent.repartition(n, "part").mapInArrow(resolve, "shard int, block binary")
 
     def mark(table: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts, own = _texts(table)
         least = _least_ids(ids, own, len(texts))
-        known = dict(zip(zip(found["key"].to_pylist(), found["stretch"].to_pylist()), found["smallest"].to_pylist()))
+        known: dict[tuple[int, int], bytes] = {}
+        for block in found["block"].to_pylist():
+            (keys, names, sizes), joined = unpack(block, 3)
+            end = np.cumsum(sizes)
+            for key, title, a, b in zip(keys.tolist(), names.tolist(), (end - sizes).tolist(), end.tolist()):
+                known[key, title] = joined[a:b]
+        asked = np.unique(short(np.array([k for k, _ in known], np.int64).view(np.uint64)))
         gone = [np.zeros(len(t) + 1, np.int32) for t in texts]
-        for k, key, first, _, _, body in _contexts(texts, sorted_keys(found, full=True), length, q):
+        for k, key, first, _, _, body in _contexts(texts, asked, length, q):
             at = first
-            for number, smallest in np.frombuffer(known[key, _name(body)], "<i8").reshape(-1, 2).tolist():
+            for number, smallest in np.frombuffer(known.get((key, _name(body)), b""), "<i8").reshape(-1, 2).tolist():
                 if smallest < least[k]:
                     gone[k][at] += 1
                     gone[k][at + number + length - 1] -= 1
