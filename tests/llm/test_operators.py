@@ -99,6 +99,22 @@ def test_suffix_dedup(docs, empty):
     assert got == sorted(want)
 
 
+def test_suffix_dedup_of_passages_that_many_texts_of_a_shard_share(spark):
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"p{x}" for x in rng.integers(0, 40, 30)) for _ in range(12)]
+    rows = [(i, " ".join(passages[p][int(rng.integers(0, 20)) :] for p in rng.integers(0, 12, 4))) for i in range(120)]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    want = []
+    for i, t in rows:
+        gone = {x for k in range(len(t) - 49) if first[t[k : k + 50]] < i for x in range(k, k + 50)}
+        want.append((i, "".join(c for k, c in enumerate(t) if k not in gone)))
+    got = suffix_dedup.dedup_bytes(spark.createDataFrame(rows, DOCS)).select("doc_id", F.col("kept").cast("string")).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_near_duplicates(docs, empty):
     assert order_minhash.near_duplicates(empty).count() == 0
     got = sorted((r["doc_id"] or -1, r["class_id"]) for r in order_minhash.near_duplicates(docs).collect())
