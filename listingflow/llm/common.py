@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import checkpointed  # noqa: F401
+from ..operators.components import checkpoint_folder, checkpointed  # noqa: F401
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +56,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder, which takes less room there than checkpoint()."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bucket_of(c: Column) -> Column:
     """crc32 of an id written as text; for splits into training and held-out rows. Null ids get bucket 0."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(0))
