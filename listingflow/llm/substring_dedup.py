@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -15,6 +16,7 @@ from .common import sharded
 from .hashing import POWERS, mix, words_in
 
 _GROUP = 2 << 20  # text bytes hashed at a time
+_DIGIT = 64
 
 
 class _Texts:
@@ -48,19 +50,30 @@ class _Texts:
 
 
 def _covered(passages: list[np.ndarray], texts: list[np.ndarray]) -> list[np.ndarray]:
-    """Which words of each text lie in an occurrence of a passage. Words are given by number."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    """Which words of each text lie in an occurrence of a passage. Words are given by number.
+
+    A node of the automaton looks through its branches one by one, so a word goes in as several digits,
+    each place with letters of its own: no node has more than _DIGIT branches, and words stay aligned.
+    """
+    if not passages:
+        return [np.zeros(len(t), bool) for t in texts]
+    most = max((int(t.max()) for t in texts if len(t)), default=0)
+    places = np.arange(next(d for d in range(1, 64) if _DIGIT**d > most))
+
+    def spelled(words: np.ndarray) -> str:
+        digits = words[:, None] // _DIGIT ** places[::-1] % _DIGIT + places * _DIGIT + 1
+        return digits.astype("<u4").tobytes().decode("utf-32-le")
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in passages:
-        automaton.add_word(tuple(p.tolist()))
-    if passages:
-        automaton.make_automaton()
+        automaton.add_word(spelled(p))
+    automaton.make_automaton()
     out = []
     for t in texts:
         edge = np.zeros(len(t) + 1, np.int32)
-        if passages:
-            for end, size in automaton.iter(tuple(t.tolist())):
-                edge[end + 1 - size] += 1
-                edge[end + 1] -= 1
+        found = np.array(list(automaton.iter(spelled(t))), np.int64).reshape(-1, 2) // len(places)  # last word and length
+        np.add.at(edge, found[:, 0] + 1 - found[:, 1], 1)
+        np.add.at(edge, found[:, 0] + 1, -1)
         out.append(np.cumsum(edge[:-1]) > 0)
     return out
 
@@ -73,7 +86,7 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
     Texts are dealt into shards. Each shard names the anchors of its windows; anchors that recur come
     back, and the shard sends its windows around them by hash, each distinct stretch once with its number
     of occurrences. Windows that occur at least twice in all are confirmed. Each shard compiles the
-    confirmed parts of its distinct stretches into an automaton of its own, and streams all its
+    confirmed passages of its distinct texts into an automaton of its own, and streams all its
     documents through it, which finds every occurrence. Copies of a text within a shard count as one
     text that occurs several times.
 
@@ -138,24 +151,19 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
         known = dict(zip(zip(found["key"].to_pylist(), found["stretch"].to_pylist()), found["sure"].to_pylist()))
         _, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *t.words]), return_inverse=True)
         numbers = np.split(back, np.cumsum([len(w) for w in t.words])[:-1]) if t.words else []
-        passages: dict[bytes, np.ndarray] = {}
-        done: set[tuple[int, int]] = set()
+        sure = [np.zeros(max(len(w) - length + 1, 0), np.int8) for w in t.words]
         for k, key, first, hashes, title in t.stretches(np.unique(short(found["key"].to_numpy().astype(np.int64).view(np.uint64))), length, q):
-            if (key, title) in done:  # the automaton finds its other occurrences
-                continue
-            done.add((key, title))
-            sure = np.frombuffer(known[key, title], np.uint8) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], sure, [False]]).astype(np.int8)))
+            sure[k][first : first + len(hashes)] = np.frombuffer(known[key, title], np.uint8)
+        passages: dict[bytes, np.ndarray] = {}  # confirmed windows that follow each other make one passage
+        for k, windows in enumerate(sure):
+            edge = np.flatnonzero(np.diff(windows, prepend=np.int8(0), append=np.int8(0)))
             for a, b in edge.reshape(-1, 2).tolist():
-                passage = numbers[k][first + a : first + b + length - 1]
+                passage = numbers[k][a : b + length - 1]
                 passages[passage.tobytes()] = passage
         rows = []
         for text, gone in zip(t.texts, _covered(list(passages.values()), numbers)):
-            body = text.decode()
-            if gone.any():
-                w = words_in([text])
-                body = " ".join(text[a:b].decode() for a, b in zip(w.start[~gone].tolist(), w.end[~gone].tolist()))
-            rows.append((len(gone), int(gone.sum()), body))
+            body = b" ".join(compress(text.split(), ~gone)) if gone.any() else text  # bytes are split at the white space that ends words
+            rows.append((len(gone), int(gone.sum()), body.decode()))
         return pa.table(
             {
                 "doc_id": table["doc_id"],
