@@ -19,32 +19,33 @@ from listingflow.llm.substring_dedup import dedup_passages
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labels outside the held-out quarter, scores 0.7 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = score_quality(docs, labels, bucket_of(F.col("doc_id")) % 4 != 2)
-    return _only(docs, scores.where("score >= 0.7").select("doc_id"))
+    scores = score_quality(docs, labels, bucket_of(F.col("doc_id")) % 4 != 2, carry=COLUMNS[1:])
+    return scores.where("score >= 0.7").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet every rule."""
-    return _only(docs, apply_rules(docs).where("kept").select("doc_id"))
+    return apply_rules(docs, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class."""
-    return _only(docs, near_duplicates(docs).where("doc_id = class_id").select("doc_id"))
+    """One row of each near-duplicate class: that of smallest id; of rows with this id, the one that names the class.
+
+    A class whose rows all have null ids keeps one of them; repeated rows are copies.
+    """
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
+    first = near_duplicates(docs).where("node = class_node AND doc_id <=> class_id").select(key, "node").distinct()
+    rows = docs.select(*COLUMNS, key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    return rows.join(first, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that recur; those with no word left go."""
-    cut = dedup_passages(docs).where("n_words > n_removed").select("doc_id", F.col("text").alias("left"))
-    text = docs.select("doc_id", "lang", "source").join(cut, "doc_id")
-    return text.select("doc_id", F.col("left").alias("text"), "lang", "source", F.length("left").cast("long").alias("n_chars"))
+    left = dedup_passages(docs, carry=["lang", "source"]).where("n_words > n_removed")
+    return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

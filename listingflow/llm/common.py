@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +73,13 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
 
 
-def sharded(docs: DataFrame, shard_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
-    """(doc_id, text, shard) dealt by shard, and the number of shards, which grows with the text.
+def sharded(docs: DataFrame, shard_bytes: int = 12 << 20, carry: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, text, shard) and other columns dealt by shard, and the number of shards, which grows with the text.
 
     The shard comes from the id and the split that the row was read from, so that neither
     many copies of a text nor many rows of one id meet in one shard.
     """
     n = max(1, -(-text_bytes(docs) // shard_bytes), docs.sparkSession.sparkContext.defaultParallelism)
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.spark_partition_id()), F.lit(n)).cast("int")
-    return docs.select("doc_id", "text", shard.alias("shard")).repartition(n, "shard"), n
+    others = (F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry))
+    return docs.select("doc_id", "text", shard.alias("shard"), *others).repartition(n, "shard"), n

@@ -210,7 +210,9 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id) of each document (doc_id, text); class_id is the smallest id in its class.
+    """(doc_id, class_id, node, class_node) of each document (doc_id, text); class_id is the smallest id in its
+    class, node the hash of the text, and class_node that of the text that stands for the class: the row with
+    this id and text.
 
     Texts are linked if their five-word shingles have a Jaccard similarity of at least `least` and an
     alignment finds the same edit similarity; classes are connected components. Candidates share a
@@ -251,6 +253,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     of = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     of = checkpointed(of)
-    least_id = of.groupBy("component").agg(F.min("first").alias("class_id"))
-    final = of.join(least_id, "component").select("node", "class_id")
-    return rows.select("doc_id", "node").join(final, "node").select("doc_id", "class_id")
+    least_row = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node"))  # a null id comes last
+    final = of.join(of.groupBy("component").agg(least_row.alias("least")), "component").select("node", F.col("least.first").alias("class_id"), F.col("least.node").alias("class_node"))
+    return rows.select("doc_id", "node").join(final, "node").select("doc_id", "class_id", "node", "class_node")

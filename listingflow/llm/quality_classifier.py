@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import in_chunks, spread
 
@@ -149,8 +150,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, most: int, mo
     return [bytes(r["data"]) for r in rows], np.array([r["quality"] for r in rows], np.int64)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, use: Column, most_rows: int = 3000, most_bytes: int = 4096) -> DataFrame:
-    """(doc_id, score): the probability that quality is 1, for each whole text of `docs` (doc_id, text).
+def score_quality(docs: DataFrame, labels: DataFrame, use: Column, most_rows: int = 3000, most_bytes: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, score) and the columns named by `carry`: the probability that quality is 1, for each whole text of `docs` (doc_id, text).
 
     The network learns from rows where `use` holds and `labels` (doc_id, quality) has a label: at most
     `most_rows` of them, and of long ones at most `most_bytes`; both bounds hold at any size. Then
@@ -165,6 +166,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, use: Column, most_rows: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, size=1 << 20):
             scores = net.scores([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(2)), pa.array(scores)], names=["doc_id", "text", "score"]).select([0, 2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=["doc_id", *carry, "score"])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    schema = StructType([rows.schema["doc_id"], *(docs.schema[c] for c in carry)]).add("score", DoubleType())
+    return spread(rows).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 from .common import WORD, in_chunks, spread, texts_of, words_of
 
@@ -131,15 +132,22 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -gain.get(k, 0.0))]
 
 
-def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE, carry: Sequence[str] = ()) -> DataFrame:
     """Measures and verdict of each document (doc_id, text): doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, rejected_by (the first rule in the cascade's order
-    that refused it, null if kept). A document that fails the base, or a rule, meets no later rule.
+    that refused it, null if kept), then the columns named by `carry`. A document that fails the base, or a
+    rule, meets no later rule.
 
     Null and empty texts have zero measures and fail the base. Repeated rows and null ids are judged
     row by row. An empty table gives no rows. Other columns are ignored.
     """
     ordered = order_rules(docs, rules)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    schema = StructType([rows.schema["doc_id"]])
+    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+        schema = schema.add(name, LongType())
+    schema = schema.add("base_failed", BooleanType()).add("kept", BooleanType()).add("rejected_by", StringType())
+    schema = StructType([*schema.fields, *(docs.schema[c] for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
@@ -150,6 +158,6 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[R
                 by = failed or next((r.name for r in ordered if r.rejects(t)), None)
                 rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed is not None, by is None, by))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=schema.names)
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return spread(rows).mapInArrow(run, schema)

@@ -61,7 +61,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), 0.8)
+    return near_duplicates(documents(spark, sf_dir), 0.8).select("doc_id", "class_id")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import ahocorasick
@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from .anchors import kept, parts_for, recurring, runs_of, shard_keys, short, signed, sorted_keys
 from .common import sharded
@@ -78,10 +79,10 @@ def _covered(passages: list[np.ndarray], texts: list[np.ndarray]) -> list[np.nda
     return out
 
 
-def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: int = 6 << 20) -> DataFrame:
+def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: int = 6 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """Remove from each document (doc_id, text) every word covered by `length` consecutive words that also
     start anywhere else, the same document included: doc_id, n_words, n_removed, text (the words kept,
-    joined by one space, or the text as it was if none goes).
+    joined by one space, or the text as it was if none goes), and the columns named by `carry`.
 
     Texts are dealt into shards. Each shard names the anchors of its windows; anchors that recur come
     back, and the shard sends its windows around them by hash, each distinct stretch once with its number
@@ -94,7 +95,7 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
     empty texts have no words. Null ids and repeated rows are rows like others: a repeated row is a copy.
     An empty table gives no rows. Other columns are ignored.
     """
-    shards, n = sharded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shard_bytes)
+    shards, n = sharded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shard_bytes, carry)
     parts = parts_for(n)
 
     def name(table: pa.Table) -> pa.Table:
@@ -146,6 +147,9 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
 
     confirmed = sent.repartition(n, "key").mapInArrow(confirm, "shard int, key long, stretch long, sure binary")
 
+    schema = StructType().add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("text", StringType())
+    schema = StructType([*schema.fields, *(docs.schema[c] for c in carry)])
+
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         t = _Texts(table)
         known = dict(zip(zip(found["key"].to_pylist(), found["stretch"].to_pylist()), found["sure"].to_pylist()))
@@ -170,7 +174,8 @@ def dedup_passages(docs: DataFrame, length: int = 35, q: int = 8, shard_bytes: i
                 "n_words": pa.array([rows[k][0] for k in t.own], pa.int64()),
                 "n_removed": pa.array([rows[k][1] for k in t.own], pa.int64()),
                 "text": pa.array([rows[k][2] for k in t.own], pa.string()),
+                **{c: table[f"carried_{k}"] for k, c in enumerate(carry)},
             }
         )
 
-    return shards.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, text string")
+    return shards.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(remove, schema)
