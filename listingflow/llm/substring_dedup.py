@@ -43,11 +43,17 @@ class _Texts:
         """(text, key, first window, window hashes, name) of each run of windows whose anchor recurs."""
         for runs, p, place in runs_of(self.words, length, q):
             _, down = POWERS.upto(len(p))
-            for i in kept(runs, keys).tolist():
-                at = place[i] + np.arange(runs.count[i])
-                hashes = mix((p[at + length] - p[at]) * down[at])
-                name = int(signed(mix(np.bitwise_xor.reduce(mix(hashes + np.arange(len(hashes), dtype=np.uint64)), keepdims=True)))[0])
-                yield int(runs.sequence[i]), int(signed(runs.key[i : i + 1])[0]), int(runs.first[i]), hashes, name
+            i = kept(runs, keys)
+            if not len(i):
+                continue
+            cut = np.cumsum([0, *runs.count[i]])
+            nth = np.arange(cut[-1]) - np.repeat(cut[:-1], runs.count[i])
+            at = np.repeat(place[i], runs.count[i]) + nth
+            hashes = mix((p[at + length] - p[at]) * down[at])
+            names = signed(mix(np.bitwise_xor.reduceat(mix(hashes + nth.astype(np.uint64)), cut[:-1])))
+            columns = (runs.sequence[i], signed(runs.key[i]), runs.first[i], cut[:-1], cut[1:], names)
+            for k, key, first, a, b, name in zip(*(c.tolist() for c in columns)):
+                yield k, key, first, hashes[a:b], name
 
 
 def _covered(passages: list[np.ndarray], texts: list[np.ndarray]) -> list[np.ndarray]:
