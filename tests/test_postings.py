@@ -1,12 +1,14 @@
 """Golden rows and properties of the postings operators."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from listingflow.functions import keys as K
 from listingflow.functions import text as X
 from listingflow.operators import digest, ledger, rules
+from listingflow.operators.cluster import _greedy, soft_merge
 from listingflow.operators.components import connected_components
 from listingflow.operators.pages import detect_job_pages, keyword_counts
 from listingflow.sources.markdown import parse_md_tables
@@ -66,6 +68,16 @@ def test_components_match_union_find(spark):
     assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
 
 
+def test_soft_merge_in_rounds_equals_the_pass_over_keys(spark):
+    rng = random.Random(5)
+    groups = [(n, rng.choice(["", "", "x", "y", "z"]), sorted({"id:all" if rng.random() < 0.3 else f"id:{rng.randrange(40)}" for _ in range(2)})) for n in rng.sample(range(1000), 60)]
+    groups += [(2000 + n, "xy"[n % 5 == 0] if n % 3 else "", [f"id:p{n}", f"id:p{n + 1}"]) for n in range(6)]  # a chain
+    table = spark.createDataFrame(groups, "root long, strong string, ids array<string>")
+    once = dict(_greedy(table.toPandas()).itertuples(index=False))
+    assert max(Counter(once.values()).values()) > 10
+    assert {r["root"]: r["cluster_id"] for r in soft_merge(table, most=1, front=20).collect()} == once
+
+
 def test_ledger_round_trip(spark, tmp_path):
     path = str(tmp_path / "seen")
     assert ledger.read_ledger(spark, path)[1]
