@@ -32,19 +32,91 @@ TERMS = (
     ("C", "Language", ("C",), True),
     ("Go", "Language", ("Go", "Golang", "golang"), True),
     ("Rust", "Language", ("rust",), False),
+    ("Ruby", "Language", ("ruby",), False),
+    ("PHP", "Language", ("php",), False),
+    ("Swift", "Language", ("swift",), False),
+    ("Kotlin", "Language", ("kotlin",), False),
+    ("Scala", "Language", ("scala",), False),
     ("R", "Language", ("R",), True),
     ("SQL", "Language", ("sql",), False),
     ("Bash", "Language", ("bash", "shell scripting", "shell"), False),
+    ("MATLAB", "Language", ("matlab",), False),
+    ("Perl", "Language", ("perl",), False),
     ("React", "Frontend", ("react", "react.js", "reactjs"), False),
+    ("Angular", "Frontend", ("angular",), False),
+    ("Vue", "Frontend", ("vue", "vue.js", "vuejs"), False),
+    ("Next.js", "Frontend", ("next.js", "nextjs"), False),
+    ("Redux", "Frontend", ("redux",), False),
+    ("HTML", "Frontend", ("html", "html5"), False),
+    ("CSS", "Frontend", ("css", "css3"), False),
+    ("Tailwind", "Frontend", ("tailwind",), False),
+    ("Sass", "Frontend", ("sass", "scss"), False),
     ("Node.js", "Backend", ("node.js", "nodejs", "node"), False),
+    ("Express", "Backend", ("express", "express.js"), False),
+    ("FastAPI", "Backend", ("fastapi",), False),
+    ("Django", "Backend", ("django",), False),
+    ("Flask", "Backend", ("flask",), False),
+    ("Spring", "Backend", ("spring", "spring boot"), False),
+    ("Rails", "Backend", ("rails", "ruby on rails"), False),
     (".NET", "Backend", (r"\.net", "dotnet", "asp.net"), False),
+    ("GraphQL", "Backend", ("graphql",), False),
     ("REST API", "Backend", ("rest api", "restful", "rest"), False),
+    ("gRPC", "Backend", ("grpc",), False),
+    ("WebSockets", "Backend", ("websocket", "websockets"), False),
+    ("Microservices", "Backend", ("microservice", "microservices"), False),
+    ("pandas", "Data/ML", ("pandas",), False),
+    ("NumPy", "Data/ML", ("numpy",), False),
+    ("scikit-learn", "Data/ML", ("scikit-learn", "sklearn", "scikit learn"), False),
+    ("PyTorch", "Data/ML", ("pytorch",), False),
+    ("TensorFlow", "Data/ML", ("tensorflow",), False),
+    ("Keras", "Data/ML", ("keras",), False),
+    ("XGBoost", "Data/ML", ("xgboost",), False),
     ("Spark", "Data/ML", ("spark", "pyspark"), False),
+    ("Hadoop", "Data/ML", ("hadoop",), False),
+    ("Airflow", "Data/ML", ("airflow",), False),
+    ("Kafka", "Data/ML", ("kafka",), False),
+    ("ETL", "Data/ML", ("etl",), False),
+    ("NLP", "Data/ML", ("nlp", "natural language processing"), False),
+    ("Computer Vision", "Data/ML", ("computer vision",), False),
+    ("Deep Learning", "Data/ML", ("deep learning",), False),
     ("Machine Learning", "Data/ML", ("machine learning", "ml"), False),
+    ("LLM", "Data/ML", ("llm", "large language model", "large language models"), False),
+    ("Pydantic", "Data/ML", ("pydantic",), False),
     ("PostgreSQL", "Database", ("postgresql", "postgres"), False),
+    ("MySQL", "Database", ("mysql",), False),
+    ("MongoDB", "Database", ("mongodb", "mongo"), False),
+    ("Redis", "Database", ("redis",), False),
+    ("SQLite", "Database", ("sqlite",), False),
+    ("DynamoDB", "Database", ("dynamodb",), False),
+    ("Cassandra", "Database", ("cassandra",), False),
+    ("Elasticsearch", "Database", ("elasticsearch", "elastic search"), False),
+    ("Snowflake", "Database", ("snowflake",), False),
+    ("BigQuery", "Database", ("bigquery",), False),
     ("AWS", "Cloud/Infra", ("aws", "amazon web services"), False),
+    ("Azure", "Cloud/Infra", ("azure",), False),
+    ("GCP", "Cloud/Infra", ("gcp", "google cloud"), False),
+    ("Docker", "Cloud/Infra", ("docker",), False),
     ("Kubernetes", "Cloud/Infra", ("kubernetes", "k8s"), False),
+    ("Terraform", "Cloud/Infra", ("terraform",), False),
+    ("Jenkins", "Cloud/Infra", ("jenkins",), False),
+    ("GitHub Actions", "Cloud/Infra", ("github actions",), False),
+    ("CI/CD", "Cloud/Infra", ("ci/cd", "cicd", "continuous integration", "continuous deployment"), False),
     ("Git", "Cloud/Infra", ("git", "github", "gitlab", "version control"), False),
+    ("Linux", "Cloud/Infra", ("linux", "unix"), False),
+    ("nginx", "Cloud/Infra", ("nginx", "openresty"), False),
+    ("Lambda", "Cloud/Infra", ("lambda", "serverless"), False),
+    ("Data Structures & Algorithms", "Concept", ("data structures", "algorithms", "dsa"), False),
+    ("Object-Oriented Programming", "Concept", ("object-oriented", "object oriented", "oop"), False),
+    ("Distributed Systems", "Concept", ("distributed systems", "distributed system"), False),
+    ("System Design", "Concept", ("system design",), False),
+    ("Agile", "Concept", ("agile", "scrum"), False),
+    ("TDD", "Concept", ("tdd", "test-driven", "test driven"), False),
+    ("Unit Testing", "Concept", ("unit test", "unit testing", "unit tests"), False),
+    ("Integration Testing", "Concept", ("integration test", "integration testing"), False),
+    ("Concurrency", "Concept", ("concurrency", "multithreading", "concurrent"), False),
+    ("Caching", "Concept", ("caching", "cache"), False),
+    ("Authentication", "Concept", ("authentication", "oauth", "jwt", "auth"), False),
+    ("Design Patterns", "Concept", ("design patterns",), False),
 )
 _BOUND = "[^A-Za-z0-9+#.]"
 

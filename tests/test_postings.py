@@ -10,7 +10,7 @@ from listingflow.functions import text as X
 from listingflow.operators import digest, ledger, rules
 from listingflow.operators.cluster import _greedy, soft_merge
 from listingflow.operators.components import connected_components
-from listingflow.operators.pages import detect_job_pages, keyword_counts
+from listingflow.operators.pages import TERMS, detect_job_pages, keyword_counts
 from listingflow.sources.markdown import parse_md_tables
 
 
@@ -120,3 +120,10 @@ def test_pages_and_keywords(spark):
     assert got == {1: ("json-ld", "job:ab1"), 2: ("text", "url:x.com/b"), 3: (None, None), 4: ("url", "gh:a:1")}
     words = {r["name"]: r["n"] for r in keyword_counts(spark.createDataFrame([(1, "python python, C++ and C. Go")], "doc_id long, text string")).collect()}
     assert words == {"Python": 1, "C++": 1, "Go": 1}
+
+
+def test_all_terms(spark):
+    assert (len(TERMS), len({t[0] for t in TERMS}), sum(len(t[2]) for t in TERMS), sum(t[3] for t in TERMS)) == (94, 94, 162, 3)
+    text = "Ruby on Rails, PHP; HTML5 CSS. Docker/Linux, oauth cache"
+    words = {r["name"] for r in keyword_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert words == {"Ruby", "Rails", "PHP", "HTML", "Docker", "Linux", "Authentication", "Caching"}
