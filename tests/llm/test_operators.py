@@ -121,6 +121,23 @@ def test_near_duplicates(docs, empty):
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (7, 7), (-1, 1), (8, 8)])
 
 
+def test_near_duplicates_with_a_line_repeated(spark):
+    rows = []
+    for p in range(10):
+        head, line = [f"h{p}x{i}" for i in range(200)], [f"l{p}x{i}" for i in range(10)]
+        other = [*line[:4], f"o{p}", *line[5:]]
+        rows += [(2 * p, head + line * 300), (2 * p + 1, head + other * 300)]
+
+    def near(a, b):
+        x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        return len(x & y) >= 0.8 * len(x | y) and sum(v != w for v, w in zip(a, b)) <= 0.2 * len(a)
+
+    want = {i: min(j for j, b in rows if near(a, b)) for i, a in rows}
+    assert want == {i: i - i % 2 for i in range(20)}
+    got = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], DOCS))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
+
+
 def test_sharding(docs, empty):
     assert sharding.assign_shards(empty).count() == 0
     rows = sharding.assign_shards(docs, 4).collect()
