@@ -13,7 +13,7 @@ from listingflow.llm.common import bucket_of
 from listingflow.llm.order_minhash import near_duplicates
 from listingflow.llm.packing import pack
 from listingflow.llm.quality_classifier import score_quality
-from listingflow.llm.quality_rules import apply_rules
+from listingflow.llm.quality_rules import apply_rules, toxic_terms, with_terms
 from listingflow.llm.substring_dedup import dedup_passages
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that meet every rule."""
-    return apply_rules(docs, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
+    """Documents that meet every rule; toxic terms are learned from the labels of all documents."""
+    toxic = toxic_terms(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return apply_rules(docs, with_terms(toxic), carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,13 +9,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 from .common import WORD, in_chunks, spread, texts_of, words_of
 
-#: Common English insults; a text with several of them is refused.
+#: Common English insults, for texts of a table without labels; see toxic_terms().
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "clown", "trash", "garbage", "scum", "worthless", "pathetic", "disgusting", "filthy", "vile", "imbecile", "jerk")
 
 SYMBOLS = "#*$%&|<>"
@@ -28,8 +28,8 @@ _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)] + [False])
 class Text:
     """A text with the measures that rules ask for; each is computed once, when first asked for."""
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, lang: str = ""):
+        self.text, self.lang = text, lang
 
     @cached_property
     def words(self) -> list[str]:
@@ -103,10 +103,51 @@ RULES = (
     Rule("shouting", lambda t: t.n_upper > 0.3 * t.n_letters),
     Rule("few_letters", lambda t: t.n_letters < 0.5 * t.word_chars),
     Rule("dup_lines", lambda t: 2 * t.n_dup_lines > len(t.full_lines)),
-    Rule("insults", lambda t: sum(w.strip(".,;:!?\"'()").lower() in _INSULTS for w in t.words) >= 2),
+    Rule("insults", lambda t: many_of(t, _INSULTS)),
 )
 
 
+def term_of(word: str) -> str:
+    return word.strip(".,;:!?\"'()").lower()
+
+
+def many_of(t: Text, terms: frozenset[str]) -> bool:
+    """Whether two words and one of 500 are among the terms; a long text isn't refused for two."""
+    n = sum(term_of(w) in terms for w in t.words)
+    return n >= 2 and 500 * n >= t.n_words
+
+
+def toxic_terms(docs: DataFrame, labels: DataFrame, least: int = 3, most: int = 4096) -> dict[str, frozenset[str]]:
+    """Terms by language that labels (doc_id, toxic) show to be toxic: in `least` toxic documents (doc_id, text, lang)
+    or more, and in 20 times as many toxic as clean ones; `most` of them in all, those of most toxic documents."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).join(known, "doc_id").select("text", "lang", "toxic")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches):
+            n: dict[tuple[str, str], list[int]] = {}
+            for text, lang, toxic in zip(texts_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for term in set(map(term_of, words_of(text))) - {""}:
+                    n.setdefault((lang, term), [0, 0])[toxic > 0] += 1
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in n], pa.string()), "term": pa.array([k[1] for k in n], pa.string()), "clean": pa.array([v[0] for v in n.values()], pa.int64()), "toxic": pa.array([v[1] for v in n.values()], pa.int64())})
+
+    totals = rows.mapInArrow(counted, "lang string, term string, clean long, toxic long").groupBy("lang", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    out: dict[str, set[str]] = {}
+    for r in totals.where(f"toxic >= {least} AND toxic >= 20 * clean").orderBy(F.desc("toxic"), "lang", "term").limit(most).collect():
+        out.setdefault(r["lang"], set()).add(r["term"])
+    return {lang: frozenset(terms) for lang, terms in out.items()}
+
+
+def with_terms(toxic: dict[str, frozenset[str]], rules: Sequence[Rule] = RULES) -> list[Rule]:
+    """The rules with these terms by language for insults."""
+    none: frozenset[str] = frozenset()
+    return [Rule("insults", lambda t: many_of(t, toxic.get(t.lang, none))) if r.name == "insults" else r for r in rules]
+
+
+def _lang(docs: DataFrame) -> Column:
+    return (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
+
+
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[Rule]:
     """The rules ordered by share of texts rejected per second of cost, as timed on a bounded sample.
 
@@ -116,17 +157,17 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, hits, n = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
         for batch in in_chunks(batches):
-            for text in texts_of(batch):
+            for text, lang in zip(texts_of(batch), texts_of(batch, "lang")):
                 n += 1
                 for k, rule in enumerate(rules):
-                    t, began = Text(text), time.perf_counter()
+                    t, began = Text(text, lang), time.perf_counter()
                     t.words  # noqa: B018  every cascade has them from the base measures
                     began = time.perf_counter()
                     hits[k] += rule.rejects(t)
                     cost[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "cost": cost, "hits": hits})
 
-    sample = docs.select("text").limit(sample_rows).mapInArrow(timed, "rule long, cost double, hits long")
+    sample = docs.select("text", _lang(docs)).limit(sample_rows).mapInArrow(timed, "rule long, cost double, hits long")
     measured = {r["rule"]: r for r in sample.groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("hits").alias("hits")).collect()}
     gain = {k: (r["hits"] + 0.5) / (r["cost"] + 1e-6) for k, r in measured.items()}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -gain.get(k, 0.0))]
@@ -139,10 +180,11 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[R
     rule, meets no later rule.
 
     Null and empty texts have zero measures and fail the base. Repeated rows and null ids are judged
-    row by row. An empty table gives no rows. Other columns are ignored.
+    row by row. An empty table gives no rows. `lang`, where there is one,
+    chooses the terms of with_terms(); other columns are ignored.
     """
     ordered = order_rules(docs, rules)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _lang(docs), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     schema = StructType([rows.schema["doc_id"]])
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         schema = schema.add(name, LongType())
@@ -152,12 +194,12 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
             rows = []
-            for body in texts_of(batch):
-                t = Text(body)
+            for body, lang in zip(texts_of(batch), texts_of(batch, "lang")):
+                t = Text(body, lang)
                 failed = next((r.name for r in base if r.rejects(t)), None)
                 by = failed or next((r.name for r in ordered if r.rejects(t)), None)
                 rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed is not None, by is None, by))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[3:]], names=schema.names)
 
     return spread(rows).mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from .lm_scoring import score_texts
 from .order_minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import score_quality
-from .quality_rules import apply_rules
+from .quality_rules import apply_rules, toxic_terms, with_terms
 from .sharding import assign_shards
 from .substring_dedup import dedup_passages
 from .suffix_dedup import dedup_bytes
@@ -25,7 +25,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(documents(spark, sf_dir)).drop("rejected_by")
+    docs = documents(spark, sf_dir)
+    toxic = toxic_terms(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return apply_rules(docs, with_terms(toxic)).drop("rejected_by")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,22 @@ def test_rules(docs, empty):
             assert r["base_failed"] and not r["kept"] and r["n_words"] == 0
 
 
+def test_toxic_terms_by_language(spark):
+    def body(seed, n, extra=()):
+        return " ".join([*(f"vocable{seed}word{i}" for i in range(n)), *extra])
+
+    rows = [(i, body(i, 60, ["Achk", "achk."]), "de") for i in range(4)] + [(10, body(10, 60, ["achk", "achk"]), "fr")]
+    rows += [(20, body(20, 3000, ["achk", "achk"]), "de"), (21, body(21, 60, ["vile", "vile"]), "fr"), (22, body(22, 60), "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in (0, 1, 2, 3, 10, 21, 22)], "doc_id long, toxic int")
+    toxic = quality_rules.toxic_terms(table, labels)
+    assert toxic == {"de": frozenset(["achk"])}
+    got = {r["doc_id"]: r["rejected_by"] for r in quality_rules.apply_rules(table, quality_rules.with_terms(toxic)).collect()}
+    assert got == {i: "insults" if i < 4 else None for i, *_ in rows}
+    long = spark.createDataFrame([(1, body(1, 3000, ["vile", "vile"])), (2, body(2, 60, ["vile", "vile"]))], DOCS)
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(long).collect()} == {1: True, 2: False}
+
+
 def test_substring_dedup(docs, empty, spark):
     assert substring_dedup.dedup_passages(empty).count() == 0
     got = sorted((r["doc_id"] or -1, r["n_removed"], r["text"]) for r in substring_dedup.dedup_passages(docs).collect())
