@@ -7,7 +7,7 @@ windows mostly share theirs, so only a small share of places is ever sent anywhe
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .hashing import POWERS, mix, prefix_hashes
+from .hashing import mix, window_hashes
 
 _BLOCK_BITS = 21
 _LOW = np.uint64((1 << _BLOCK_BITS) - 1)
@@ -49,9 +49,9 @@ class Runs:
     before: np.ndarray  # from the first window to the anchor
 
 
-def runs_of(sequences: Sequence[np.ndarray], length: int, q: int, block: int = 1 << 20) -> Iterator[tuple[Runs, np.ndarray, np.ndarray]]:
-    """Runs of all windows of the sequences of 64-bit values, a block at a time, with the block's prefix
-    hashes and the place in it of each run's first window. Long sequences are cut into overlapping pieces.
+def runs_of(sequences: Iterable[np.ndarray], length: int, q: int, block: int = 1 << 20) -> Iterator[Runs]:
+    """Runs of all windows of the sequences of 64-bit values or bytes, a block at a time. Long sequences are
+    cut into overlapping pieces.
     """
     pieces: list[tuple[int, int, np.ndarray]] = []
     held = 0
@@ -67,11 +67,10 @@ def runs_of(sequences: Sequence[np.ndarray], length: int, q: int, block: int = 1
         yield _block_runs(pieces, length, q)
 
 
-def _block_runs(pieces: list[tuple[int, int, np.ndarray]], length: int, q: int) -> tuple[Runs, np.ndarray, np.ndarray]:
+def _block_runs(pieces: list[tuple[int, int, np.ndarray]], length: int, q: int) -> Runs:
     values = np.concatenate([p for _, _, p in pieces])
     begin = np.cumsum([0, *(len(p) for _, _, p in pieces)])
-    p, (_, down) = prefix_hashes(values), POWERS.upto(len(values) + 1)
-    h = mix((p[q:] - p[:-q]) * down[: len(values) - q + 1])
+    h = window_hashes(values, q)
     anchor = least_places(h, length - q + 1)
     windows = np.diff(begin) - length + 1
     place = np.arange(windows.sum()) + np.repeat(begin[:-1] - np.cumsum([0, *windows[:-1]]), windows)
@@ -82,7 +81,7 @@ def _block_runs(pieces: list[tuple[int, int, np.ndarray]], length: int, q: int)
     start = np.flatnonzero(new)
     number, offset = np.array([k for k, _, _ in pieces]), np.array([at for _, at, _ in pieces])
     own = piece[start]
-    return Runs(number[own], h[a[start]], place[start] - begin[own] + offset[own], np.diff(np.append(start, len(place))), a[start] - place[start]), p, place[start]
+    return Runs(number[own], h[a[start]], place[start] - begin[own] + offset[own], np.diff(np.append(start, len(place))), a[start] - place[start])
 
 
 #: Bits of an anchor's hash left out when anchors are counted; what recurs is looked at in full later.
@@ -125,56 +124,81 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, s
 
 
 def shard_keys(shard: int, keys: list[np.ndarray], parts: int) -> pa.Table:
-    """(part, shard, block) of a shard's anchors; a block has steps between sorted keys, and whether each was seen again."""
+    """(part, shard, block) of a shard's anchors; a block has steps between sorted keys, and how often each was seen."""
     found, counts = np.unique(short(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), return_counts=True)
     _, shares = by_part(found, parts)
-    blocks = [pack([np.diff(found[s], prepend=np.uint64(0)), (counts[s] > 1).astype(np.int64)]) for _, s in shares]
+    blocks = [pack([np.diff(found[s], prepend=np.uint64(0)), counts[s].astype(np.int64)]) for _, s in shares]
     return pa.table({"part": pa.array([p for p, _ in shares], pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
+def by_turn(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Each range with its shards' blocks, of rows (part, shard, block) that are sorted by part."""
+    part, held = None, []
+    for batch in batches:
+        for p, shard, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if p != part and held:
+                yield part, held
+                held = []
+            part = p
+            held.append((shard, block))
+    if held:
+        yield part, held
+
+
+#: An anchor that stands at more places than this is heavy: its windows go each by their own hash, not by the anchor's.
+HEAVY = 8192
+
+
 def recurring(keys: DataFrame, parts: int) -> DataFrame:
-    """(shard, block) of those anchors that several shards hold, or one several times.
+    """(shard, block) of those anchors that several shards hold, or one several times, and whether they are heavy.
 
     A shard sends a key once, so a key is held at most as often as there are shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, shards, again = [], [], []
-        for batch in batches:
-            for shard, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                (steps, many), _ = unpack(block, 2)
+        for _, held in by_turn(batches):
+            found, shards, counts = [], [], []
+            for shard, block in held:
+                (steps, n), _ = unpack(block, 2)
                 found.append(np.cumsum(steps))
                 shards.append(np.full(len(steps), shard, np.int32))
-                again.append(many > 0)
-        if not found:
-            return
-        key, shard, many = np.concatenate(found), np.concatenate(shards), np.concatenate(again)
-        order = np.argsort(key, kind="stable")
-        key, shard, many = key[order], shard[order], many[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(start, len(key)))
-        keep = np.repeat((size > 1) | np.logical_or.reduceat(many, start), size)
-        key, shard = key[keep], shard[keep]
-        order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
-        key, shard = key[order], shard[order]
-        cut = [*np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist(), len(shard)] if len(shard) else [0]
-        blocks = [pack([np.diff(key[a:b], prepend=0)]) for a, b in zip(cut, cut[1:])]
-        for at in range(0, len(blocks), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1][at : at + 1000]], pa.int32()), pa.array(blocks[at : at + 1000], pa.binary())], names=["shard", "block"])
-
-    return keys.repartition(parts, "part").mapInArrow(run, "shard int, block binary")
-
-
-def kept(runs: Runs, keys: np.ndarray) -> np.ndarray:
-    """Numbers of the runs whose anchor is among the sorted, shortened keys."""
-    if not len(keys):
-        return np.zeros(0, np.int64)
+                counts.append(n)
+            key, shard, count = np.concatenate(found), np.concatenate(shards), np.concatenate(counts)
+            order = np.argsort(key, kind="stable")
+            key, shard, count = key[order], shard[order], count[order]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            total = np.repeat(np.add.reduceat(count, start), size)
+            keep = total > 1
+            key, shard, heavy = key[keep], shard[keep], (total[keep] > HEAVY).astype(np.int64)
+            order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
+            key, shard, heavy = key[order], shard[order], heavy[order]
+            cut = [*np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist(), len(shard)] if len(shard) else [0]
+            blocks = [pack([np.diff(key[a:b], prepend=0), heavy[a:b]]) for a, b in zip(cut, cut[1:])]
+            for at in range(0, len(blocks), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1][at : at + 1000]], pa.int32()), pa.array(blocks[at : at + 1000], pa.binary())], names=["shard", "block"])
+
+    return keys.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "shard int, block binary")
+
+
+def kept(runs: Runs, keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs whose anchor is among the sorted, shortened keys, and whether it is heavy."""
+    found, heavy = keys
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     own = short(runs.key)
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    return np.flatnonzero(keys[at] == own)
-
-
-def sorted_keys(blocks: pa.Table) -> np.ndarray:
-    """The sorted keys that recurring() sent back."""
-    found = [np.cumsum(unpack(b, 1)[0][0]) for b in blocks["block"].to_pylist()]
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *found])).view(np.uint64)
+    at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+    i = np.flatnonzero(found[at] == own)
+    return i, heavy[at[i]]
+
+
+def sorted_keys(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys that recurring() sent back, and whether each is heavy."""
+    found, heavy = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in blocks["block"].to_pylist():
+        (steps, h), _ = unpack(b, 2)
+        found.append(np.cumsum(steps))
+        heavy.append(h)
+    keys = np.concatenate(found).view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate(heavy)[order] > 0

@@ -73,7 +73,7 @@ class Merger:
         """The id, and so the rank, of two tokens joined, or -1; asked of the perfect hash once."""
         key = a << 32 | b
         if (r := self.pairs.get(key)) is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             r = self.pairs[key] = self.rank.get(self.token[a] + self.token[b])
         return r
@@ -127,7 +127,7 @@ class Codec:
         out = []
         for word in self.matches(part):
             if (ids := self.known.get(word)) is None:
-                if len(self.known) > 300_000:
+                if len(self.known) > 100_000:
                     self.known.clear()
                 piece = word.encode()
                 whole = self.rank.get(piece)

@@ -39,12 +39,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def in_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `size` text bytes, so that memory stays bounded."""
+def in_chunks(batches: Iterator[pa.RecordBatch], *columns: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `size` bytes of these columns ("text" if none is named), so that memory stays bounded."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(lengths + 64) // size
+        lengths = np.full(batch.num_rows, 64, np.int64)
+        for column in columns or ("text",):
+            own = batch.column(batch.schema.get_field_index(column))
+            lengths += pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

@@ -1,44 +1,12 @@
-"""Polynomial hashes of all words or substrings of many texts at once, modulo 2**64."""
+"""Hashes of windows, and prefix hashes from which any substring's can be had."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-
-
-class Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64, as many as were asked for."""
-
-    def __init__(self, base: int = BASE):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-
-            def of(base: int) -> np.ndarray:
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                return np.cumprod(x, dtype=np.uint64)
-
-            self.up, self.down = of(self.base), of(self.inverse)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """Prefix sums p of values[i] * base**i; (p[b] - p[a]) * base**-a depends on values[a:b] alone."""
-    up, _ = POWERS.upto(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
+_MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_LEVEL = np.random.default_rng(5).integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -46,9 +14,6 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
-_MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters 64-bit values one to one."""
     x = (x ^ (x >> np.uint64(33))) * _MIX[0]
@@ -56,36 +21,102 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_IN_WORD = np.ones(256, bool)
-_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+_BLOCK = 1 << 14  # windows hashed at a time, so that all steps stay in the cache
 
 
-@dataclass
-class Words:
-    """The words of several texts: where each begins and ends in `joined`, its hash, and each text's first word."""
+def window_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window of `length` values: 64-bit ones, or bytes in windows of 8 or more.
 
-    joined: bytes
-    start: np.ndarray
-    end: np.ndarray
-    hash: np.ndarray
-    first: np.ndarray  # one more than there are texts
+    Hashes of windows of 1, 2, 4 ... values are joined two by two, and scattered at each step, so that no
+    pattern of values cancels out. Bytes are taken eight at a time.
+    """
+    n = max(len(values) - length + 1, 0)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, _BLOCK):
+        part = values[at : min(at + _BLOCK, n) + length - 1]
+        out[at : at + _BLOCK] = _of_bytes(part, length) if values.dtype == np.uint8 else _of_values(part, length)
+    return out
 
-    def of(self, k: int) -> slice:
-        return slice(self.first[k], self.first[k + 1])
 
-    @property
-    def text(self) -> np.ndarray:
-        """The number of the text of each word."""
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+def _of_bytes(data: np.ndarray, length: int) -> np.ndarray:
+    n = len(data) - length + 1
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)).copy()  # the 8 bytes from each place on
+    out = mix(eight[:n])
+    for at in [*range(8, length - 8, 8), length - 8]:
+        out = _joined(out, eight[at : at + n], _LEVEL[at // 8])
+    return mix(out)
+
+
+def _of_values(values: np.ndarray, length: int) -> np.ndarray:
+    n = len(values) - length + 1
+    part, span, out, done = values, 1, None, 0
+    for level in range(length.bit_length()):
+        if length >> level & 1:
+            here = part[done : done + n]
+            out = here if out is None else _joined(out, here, _LEVEL[32 + level])
+            done += span
+        if length >> (level + 1):
+            part = _joined(part[:-span], part[span:], _LEVEL[level])
+            span *= 2
+    return mix(out)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = a * by
+    x ^= x >> np.uint64(29)
+    x += b
+    x *= _MIX[1]
+    x ^= x >> np.uint64(32)
+    return x
+
+
+#: Prefix hashes are polynomials modulo this prime, at a base drawn once; two strings of n symbols collide at n bases at most.
+PRIME = (1 << 61) - 1
+BASE = int(np.random.default_rng(23).integers(1 << 40, PRIME - 1))
+_P, _32, _29, _61, _31 = np.uint64(PRIME), np.uint64(32), np.uint64(29), np.uint64(61), np.uint64(31)
+_LOW32, _LOW29, _LOW31 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1), np.uint64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    a1, a0, b1, b0 = a >> _32, a & _LOW32, b >> _32, b & _LOW32
+    middle = a1 * b0 + a0 * b1
+    low = a0 * b0
+    return _reduced((a1 * b1 << np.uint64(3)) + (middle >> _29) + ((middle & _LOW29) << _32) + (low >> _61) + (low & _P))
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of BASE."""
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = times(out[:more], np.uint64(pow(BASE, have, PRIME)))
+        have += more
+    return out
 
 
-def words_in(texts: list[bytes]) -> Words:
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    inside = np.zeros(len(data) + 1, bool)
-    inside[1:] = _IN_WORD[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])  # starts and ends in turn
-    start, end = edge[::2], edge[1::2]
-    p, (_, down) = prefix_hashes(byte_values(data)), POWERS.upto(len(data) + 1)
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return Words(joined, start, end, mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, begin))
+class PrefixHashes:
+    """Polynomial prefix hashes of a sequence of 64-bit values; equal substrings have equal hashes."""
+
+    def __init__(self, values: np.ndarray, up: np.ndarray | None = None):
+        n = len(values)
+        self.up = powers(n + 1) if up is None else up[: n + 1]
+        terms = times(_reduced(values >> np.uint64(3)), self.up[:n])
+        high, low = np.cumsum(terms >> _31, dtype=np.uint64), np.cumsum(terms & _LOW31, dtype=np.uint64)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        self.prefix[1:] = _reduced(times(_reduced(high), np.uint64(1 << 31)) + _reduced(low))
+
+    def same(self, a: np.ndarray, other: PrefixHashes, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n values from a here and from b there have equal hashes: each is shifted to the other's place."""
+        x, y = self.prefix[a + n] + _P - self.prefix[a], other.prefix[b + n] + _P - other.prefix[b]
+        ahead = b >= a
+        up = self.up if len(self.up) >= len(other.up) else other.up
+        shift = up[np.abs(b - a)]
+        moved = times(_reduced(np.where(ahead, x, y)), shift)
+        return moved == _reduced(np.where(ahead, y, x))

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from .common import checkpointed, in_chunks, spread, texts_of
-from .hashing import POWERS, mix, prefix_hashes, words_in
+from .hashing import mix, window_hashes
+from .wording import Hashes, hashed_words
 
 #: Samples of a sketch, and occurrence-labelled shingles in each, in the order of the text.
 SAMPLES, EACH, SHINGLE = 32, 4, 5
@@ -29,8 +30,7 @@ def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Hashes of the runs of k words in order; a shorter text is one shingle, a text without words one of its own kind."""
     if len(words) < k:
         return np.bitwise_xor.reduce(mix(words + np.arange(1, len(words) + 1, dtype=np.uint64)), keepdims=True) ^ np.uint64(len(words) + 1)
-    p, (_, down) = prefix_hashes(words), POWERS.upto(len(words) + 1)
-    return mix((p[k:] - p[:-k]) * down[: len(words) - k + 1])
+    return window_hashes(words, k)
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -78,26 +78,41 @@ def set_sketch(distinct: np.ndarray) -> np.ndarray:
     return out
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two texts begin with together."""
+    at, step = 0, 64
+    while at < min(len(a), len(b)):
+        n = min(step, len(a) - at, len(b) - at)
+        other = np.flatnonzero(a[at : at + n] != b[at : at + n])
+        if len(other):
+            return at + int(other[0])
+        at, step = at + n, step * 4
+    return at
+
+
+def _extended(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far the words of a from i and of b from j on agree."""
+    out, live = np.zeros(len(i), np.int64), np.arange(len(i))
+    for _ in range(6):
+        live = live[(i[live] + out[live] < len(a)) & (j[live] + out[live] < len(b))]
+        live = live[a[i[live] + out[live]] == b[j[live] + out[live]]]
+        if not len(live):
+            return out
+        out[live] += 1
+    for k in live.tolist():
+        out[k] += _common(a[i[k] + out[k] :], b[j[k] + out[k] :])
+    return out
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edits from a to b, or most + 1 if there are more.
 
     The alignment keeps to a band of diagonals that widens by one with each edit; on each diagonal it
-    runs along the longest common extension, found by a binary search over prefix hashes.
+    runs along the words that agree.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
-    pa_, pb = prefix_hashes(a), prefix_hashes(b)
-    _, down = POWERS.upto(max(n, m) + 1)
-
-    def slide(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        low, high = np.zeros(len(i), np.int64), np.minimum(n - i, m - j)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = (pa_[i + mid] - pa_[i]) * down[i] == (pb[j + mid] - pb[j]) * down[j]
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
-
     reach = np.full(2 * most + 3, -2, np.int64)  # furthest place in a on each diagonal i - j, shifted by most + 1
     for d in range(most + 1):
         k = np.arange(-d, d + 1)
@@ -110,7 +125,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         ok = (i >= 0) & (i - k >= 0) & (k <= n) & (-k <= m)
         i = np.where(ok, i, -2)
         live = np.flatnonzero(ok)
-        i[live] += slide(i[live], i[live] - k[live])
+        i[live] += _extended(a, b, i[live], i[live] - k[live])
         reach[at] = i
         if abs(n - m) <= d and reach[n - m + most + 1] >= n:
             return d
@@ -128,55 +143,68 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def _digest(text: str) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, samples); node names the text, n counts its distinct shingles."""
+    """(doc_id, digest, n, samples); digest names the text, n counts its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, size=1 << 20):
-            w = words_in([t.encode() for t in texts_of(batch)])
-            each = [w.hash[w.of(k)] for k in range(batch.num_rows)]
+            each = hashed_words([t.encode() for t in texts_of(batch)])
             distinct = [np.unique(shingles(x)) for x in each]
             flat = np.concatenate([s for x, y in zip(each, distinct) for s in (sketch(x), set_sketch(y))]).view(np.int64)
             samples = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SAMPLES + SET_SAMPLES), pa.int32()), pa.array(flat))
             sizes = pa.array([len(x) for x in distinct], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, samples], names=["doc_id", "node", "n", "samples"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, samples], names=["doc_id", "digest", "n", "samples"])
 
-    body = F.coalesce("text", F.lit(""))
-    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))).select("doc_id", "text", F.xxhash64("text").alias("node"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, samples array<long>")
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _digest("text").alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, n long, samples array<long>")
 
 
 class _Known:
     """Words and shingles of the texts last seen; pairs come grouped by one of their texts."""
 
     def __init__(self, most: int = 64):
-        self.most, self.kept = most, OrderedDict()
+        self.most, self.kept, self.hashes = most, OrderedDict(), Hashes()
 
-    def __call__(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, node: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if (found := self.kept.get(node)) is None:
-            words = words_in([text.encode()]).hash
+            if len(self.hashes) > 100_000:
+                self.hashes.clear()
+            words = hashed_words([text], self.hashes)[0]
             found = self.kept[node] = words, np.unique(shingles(words))
             if len(self.kept) > self.most:
                 self.kept.popitem(last=False)
         return found
 
+    def pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple]]]:
+        """Slices of rows (a, b, ta, tb) with the words and shingles of both texts of each pair."""
+        for batch in in_chunks(batches, "ta", "tb"):
+            a, b, ta, tb = (batch.column(k) for k in range(4))
+            rows = zip(a.to_pylist(), b.to_pylist(), ta.cast(pa.binary()), tb.cast(pa.binary()))
+            yield batch, ((*self(x, tx.as_py()), *self(y, ty.as_py())) for x, y, tx, ty in rows)
+
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ta, tb) of pairs (a, b), with the texts (node, text) of both."""
-    x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    y = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return y.select("a", "b", "ta", "tb")
+    """(a, b, ta, tb) of pairs (a, b), with the texts (node, text) of both.
+
+    `a` may be in very many pairs: its text is joined last, where a skewed join is split, and so is not sent with each.
+    """
+    y = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    x = y.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return x.select("a", "b", "ta", "tb")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b, common, link): the shingles that both texts of a pair have, and whether they are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
-        for batch in batches:
+        for batch, pairs_ in _Known().pairs(batches):
             common, link = [], []
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                (wa, x), (wb, y) = known(a, ta), known(b, tb)
+            for wa, x, wb, y in pairs_:
                 n = common_shingles(x, y)
                 common.append(n)
                 link.append(n >= least * (len(x) + len(y) - n) and aligned(wa, wb, least))
@@ -189,11 +217,11 @@ def added_shingles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, shingle): the shingles of b's text that a's lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
-        for batch in batches:
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                extra = np.setdiff1d(known(b, tb)[1], known(a, ta)[1], assume_unique=True).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"a": np.full(len(extra), a), "b": np.full(len(extra), b), "shingle": extra})
+        for batch, pairs_ in _Known().pairs(batches):
+            extra = [np.setdiff1d(y, x, assume_unique=True).view(np.int64) for _, x, _, y in pairs_]
+            n = [len(e) for e in extra]
+            a, b = (np.repeat(batch.column(k).to_numpy(), n) for k in range(2))
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "shingle": np.concatenate([np.zeros(0, np.int64), *extra])})
 
     return with_texts(pairs, texts).mapInArrow(run, "a long, b long, shingle long")
 
@@ -230,9 +258,9 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, node, class_node) of each document (doc_id, text); class_id is the smallest id in its
-    class, node the hash of the text, and class_node that of the text that stands for the class: the row with
-    this id and text.
+    """(doc_id, class_id, digest, class_digest) of each document (doc_id, text); class_id is the smallest id in its
+    class, digest a 128-bit hash of the text, and class_digest that of the text that stands for the class: the row
+    with this id and text.
 
     Texts are linked if their five-word shingles have a Jaccard similarity of at least `least` and an
     alignment finds the same edit similarity; classes are connected components. Candidates share a
@@ -243,16 +271,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     one class or cannot be near.
 
     Null text is empty; texts without words are one class. Null ids take part, but name a class only
-    if it has no other id. Repeated rows are copies. An empty table gives no rows. Other columns are
-    ignored.
+    if it has no other id. Repeated rows are copies. Very long texts are compared whole, pair by pair in slices of
+    bounded size. An empty table gives no rows. Other columns are ignored.
     """
-    rows = checkpointed(_sketches(docs))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("samples").alias("samples"))
+    first = _sketches(docs).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("samples").alias("samples"))
+    nodes = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))  # numbers that no two texts share
     spots = nodes.select("node", "n", F.posexplode("samples").alias("sample", "value")).select("node", "n", F.xxhash64("sample", "value").alias("bucket"))
     full = spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(spots.join(full, "bucket"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    texts = checkpointed(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    wanted = nodes.select("digest", "node").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), _digest("text").alias("digest"))
+    texts = checkpointed(texts.join(wanted, "digest").dropDuplicates(["node"]).select("node", "text"))
 
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("hub"))
@@ -271,8 +300,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     more = checkpointed(beyond_hub(star, texts, least).join(done, ["a", "b"], "left_anti"))
     classes = connected_components(links.union(verified(more, texts, least).where("link").select("a", "b")))
 
-    of = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    of = nodes.select("node", "digest", "first").join(classes, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     of = checkpointed(of)
-    least_row = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node"))  # a null id comes last
-    final = of.join(of.groupBy("component").agg(least_row.alias("least")), "component").select("node", F.col("least.first").alias("class_id"), F.col("least.node").alias("class_node"))
-    return rows.select("doc_id", "node").join(final, "node").select("doc_id", "class_id", "node", "class_node")
+    least_row = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest"))  # a null id comes last
+    final = of.join(of.groupBy("component").agg(least_row.alias("least")), "component").select("digest", F.col("least.first").alias("class_id"), F.col("least.digest").alias("class_digest"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text").alias("digest"))
+    return rows.join(final, "digest").select("doc_id", "class_id", "digest", "class_digest")

@@ -44,7 +44,7 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
             out = []
             for word in words:
                 if (ids := known.get(word)) is None:
-                    if len(known) > 300_000:
+                    if len(known) > 100_000:
                         known.clear()
                     ids = known[word] = [t.id for t in tokenize(charmap_decode(word.encode(), "strict", _AS_LETTERS)[0])]
                 out += ids

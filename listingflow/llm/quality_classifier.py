@@ -128,40 +128,27 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = 14, batch: int = 6
     return Network(*values[:4], float(values[4][0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, use: Column, most: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most `most` labelled rows, the first by a hash of their id, with at most `most_bytes` of each text in even slices."""
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                data = (text or "").encode()
-                if len(data) > most_bytes:
-                    starts = np.linspace(0, len(data) - 512, most_bytes // 512).astype(int).tolist()
-                    data = b"".join(data[s : s + 512] for s in starts)
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["data", "quality"])
-
-    chosen = docs.where(use).select("doc_id", "text").join(labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
-    ids = chosen.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "quality", "doc_id")
-    rows = picked.mapInArrow(lambda b: sliced(b), "data binary, quality int").collect()
-    rows.sort(key=lambda r: (r["quality"], r["data"]))
-    return [bytes(r["data"]) for r in rows], np.array([r["quality"] for r in rows], np.int64)
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, use: Column, most_rows: int = 3000, most_bytes: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, use: Column, most: int) -> tuple[list[bytes], np.ndarray]:
+    """At most `most` labelled rows with their whole texts, the first by a hash of their id."""
+    chosen = docs.where(use).select("doc_id").join(labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
+    ids = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).join(F.broadcast(ids), "doc_id").select("data", "quality")
+    rows = sorted((r["quality"], bytes(r["data"])) for r in picked.collect())
+    return [data for _, data in rows], np.array([quality for quality, _ in rows], np.int64)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, use: Column, most_rows: int = 3000, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score) and the columns named by `carry`: the probability that quality is 1, for each whole text of `docs` (doc_id, text).
 
-    The network learns from rows where `use` holds and `labels` (doc_id, quality) has a label: at most
-    `most_rows` of them, and of long ones at most `most_bytes`; both bounds hold at any size. Then
-    every text is scored in full.
+    The network learns from whole texts of rows where `use` holds and `labels` (doc_id, quality) has a label, of
+    at most `most_rows` of them at any size. Then every text is scored in full, however long: chunks overlap and
+    leave out no byte.
 
     A null or empty text is scored as one segment of zero bytes. Without two kinds of labels every
     score is the share of good labels, or 0.5. Repeated rows and null ids are scored row by row; an
     empty table gives no rows. Other columns are ignored.
     """
-    net = train(*training_rows(docs, labels, use, most_rows, most_bytes))
+    net = train(*training_rows(docs, labels, use, most_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, size=1 << 20):

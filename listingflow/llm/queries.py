@@ -45,7 +45,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket_of(F.col("doc_id")) % 10 == 0
     scores = score_texts(documents(spark, sf_dir), ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
-    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

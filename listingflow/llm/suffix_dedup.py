@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -11,9 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import by_part, kept, pack, parts_for, recurring, runs_of, shard_keys, short, signed, sorted_keys, unpack
+from .anchors import by_part, by_turn, kept, pack, parts_for, recurring, runs_of, shard_keys, short, signed, sorted_keys, unpack
 from .common import sharded
-from .hashing import POWERS, byte_values, prefix_hashes
+from .hashing import PrefixHashes, byte_values, powers, window_hashes
 
 _LAST = (1 << 63) - 1
 
@@ -26,18 +27,16 @@ class SuffixOrder:
     confirmed byte by byte.
     """
 
-    def __init__(self, data: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, length: int, up: np.ndarray | None = None):
         self.data, self.length = data, length
-        self.prefix, (_, self.down) = prefix_hashes(byte_values(data)), POWERS.upto(len(data) + 1)
+        self.hashes = PrefixHashes(byte_values(data), up)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of the suffixes at a and b."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
-        p, down = self.prefix, self.down
-        pa_, pb, da, db = p[a], p[b], down[a], down[b]
         while (low < high).any():
             mid = (low + high + 1) // 2
-            same = (p[a + mid] - pa_) * da == (p[b + mid] - pb) * db
+            same = self.hashes.same(a, self.hashes, b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
@@ -95,22 +94,24 @@ def _texts(table: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
     return ids, list(number), own
 
 
-class _Values:
-    """Byte values of texts, made when a text's turn comes."""
+def _bytes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    return (np.frombuffer(t, np.uint8) for t in texts)
 
-    def __init__(self, texts: list[bytes]):
-        self.texts = texts
 
-    def __iter__(self) -> Iterator[np.ndarray]:
-        return (byte_values(np.frombuffer(t, np.uint8)) for t in self.texts)
-
-
-def _contexts(texts: list[bytes], keys: np.ndarray, length: int, q: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(text, key, first window, windows, before, bytes) of each run whose anchor recurs."""
-    for runs, _, _ in runs_of(_Values(texts), length, q):
-        for i in kept(runs, keys).tolist():
-            k, first, count = int(runs.sequence[i]), int(runs.first[i]), int(runs.count[i])
-            yield k, int(signed(runs.key[i : i + 1])[0]), first, count, int(runs.before[i]), texts[k][first : first + count + length - 1]
+def _contexts(texts: list[bytes], keys: tuple[np.ndarray, np.ndarray], length: int, q: int) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
+    """(text, key, other, first window, windows, before, bytes) of each run whose anchor recurs; of a heavy anchor,
+    of each window by itself, with its own hash for a key. The anchor is key ^ other."""
+    for runs in runs_of(_bytes(texts), length, q):
+        which, heavy = kept(runs, keys)
+        columns = (runs.sequence[which], signed(runs.key[which]), runs.first[which], runs.count[which], runs.before[which], heavy)
+        for k, key, first, count, before, many in zip(*(c.tolist() for c in columns)):
+            if many:
+                for at in range(first, first + count):
+                    body = texts[k][at : at + length]
+                    own = _name(body)
+                    yield k, own, own ^ key, at, 1, 0, body
+            else:
+                yield k, key, 0, first, count, before, texts[k][first : first + count + length - 1]
 
 
 def _name(body: bytes) -> int:
@@ -143,19 +144,21 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
 
     Texts are dealt into shards. Each shard names the anchors of its windows; anchors that recur come
     back, and the shard sends the bytes around them, each distinct stretch once with its smallest and largest id.
-    Where an anchor's stretches meet, their windows are suffix-sorted, and equal ones learn the smallest
-    id among them. The shards then mark what earlier documents hold. Copies of a text within a shard
-    count as one, so a group of copies weighs as much as the shards that hold it.
+    Where an anchor's stretches meet, windows whose hash does not stand alone are suffix-sorted, and equal ones
+    learn the smallest id among them. The shards then mark what earlier documents hold. Copies of a text within
+    a shard count as one, so a group of copies weighs as much as the shards that hold it; an anchor at very many
+    places is not gathered, but its windows are dealt by hashes of their own.
 
     Null and empty texts have no bytes. A null id comes after all others and equals itself. Rows with
-    one id never take bytes from each other. An empty table gives no rows. Other columns are ignored.
+    one id never take bytes from each other. A text longer than a shard makes one by itself, and is hashed in
+    overlapping pieces. An empty table gives no rows. Other columns are ignored.
     """
     shards, n = sharded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shard_bytes)
     parts = parts_for(n)
 
     def name(table: pa.Table) -> pa.Table:
         _, texts, _ = _texts(table)
-        return shard_keys(table["shard"][0].as_py(), [runs.key for runs, _, _ in runs_of(_Values(texts), length, q)], parts)
+        return shard_keys(table["shard"][0].as_py(), [runs.key for runs in runs_of(_bytes(texts), length, q)], parts)
 
     again = recurring(shards.groupBy("shard").applyInArrow(name, "part int, shard int, block binary"), n)
 
@@ -163,81 +166,99 @@ def dedup_bytes(docs: DataFrame, length: int = 50, q: int = 20, shard_bytes: int
         ids, texts, own = _texts(table)
         least = _least_ids(ids, own, len(texts))
         found: dict[tuple[int, bytes], list[int]] = {}
-        for k, key, _, _, before, body in _contexts(texts, sorted_keys(keys), length, q):
+        for k, key, other, _, _, before, body in _contexts(texts, sorted_keys(keys), length, q):
             if (old := found.get((key, body))) is None:
-                found[key, body] = [least[k], least[k], before]
-            else:
-                old[:2] = min(old[0], least[k]), max(old[1], least[k])
+                found[key, body] = [least[k], least[k], before, other]
+            elif least[k] < old[0]:
+                old[0] = least[k]
+            elif least[k] > old[1]:
+                old[1] = least[k]
         keys_, bodies = np.array([k for k, _ in found], np.int64), [b for _, b in found]
-        low, high, before = np.array(list(found.values()), np.int64).reshape(-1, 3).T
+        low, high, before, other = np.array(list(found.values()), np.int64).reshape(-1, 4).T
         sizes = np.array([len(b) for b in bodies], np.int64)
         order, shares = by_part(short(keys_.view(np.uint64)), parts)
         blocks = []
         for _, share in shares:
             x = order[share]
-            blocks.append(pack([keys_[x], low[x], high[x], before[x], sizes[x]], [bodies[i] for i in x.tolist()]))
+            blocks.append(pack([keys_[x], low[x], high[x], before[x], other[x], sizes[x]], [bodies[i] for i in x.tolist()]))
         shard = table["shard"][0].as_py() if table.num_rows else 0
         return pa.table({"part": pa.array([p for p, _ in shares], pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     sent = shards.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(send, "part int, shard int, block binary")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[tuple[int, bytes], int] = {}
-        rows, least, before = [], [], []
-        for batch in batches:
-            for shard, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                (*columns, sizes), joined = unpack(block, 5)
+        up = powers(1 << 16)
+        for _, held in by_turn(batches):
+            number: dict[tuple[int, bytes], int] = {}
+            rows, least, before, others = [], [], [], []
+            for shard, block in held:
+                (*columns, sizes), joined = unpack(block, 6)
                 end = np.cumsum(sizes)
-                for key, own, last, at, a, b in zip(*(c.tolist() for c in columns), (end - sizes).tolist(), end.tolist()):
+                for key, own, last, at, other, a, b in zip(*(c.tolist() for c in columns), (end - sizes).tolist(), end.tolist()):
                     k = number.setdefault((key, joined[a:b]), len(number))
                     if k == len(least):
                         least.append(own)
                         before.append(at)
-                    least[k] = min(least[k], own)
+                        others.append(other)
+                    elif own < least[k]:
+                        least[k] = own
                     rows.append((shard, k, last))
-        contexts = list(number)
-        if not contexts:
-            return
-        keys = np.array([k for k, _ in contexts], np.int64)
-        sizes = np.array([len(b) for _, b in contexts])
-        begin, windows = np.cumsum([0, *sizes]), sizes - length + 1
-        first = np.cumsum([0, *windows])
-        smallest = np.repeat(np.array(least, np.int64), windows)
-        _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(counts[back] > 1)
-        if len(shared):
-            own = np.repeat(shared, windows[shared])
-            offset = np.arange(len(own)) - np.repeat(np.cumsum([0, *windows[shared][:-1]]), windows[shared])
-            distance = np.array(before)[own] - offset  # equal windows have their anchor at the same distance
-            group = back[own] * (2 * length) + distance + length
-            order, equal = SuffixOrder(np.frombuffer(b"".join(b for _, b in contexts), np.uint8), length).sort(begin[own] + offset, group)
-            item = first[own] + offset
-            start = np.flatnonzero(~equal)
-            smallest[item[order]] = np.repeat(np.minimum.reduceat(smallest[item[order]], start), np.diff(np.append(start, len(order))))
-        lowest = np.minimum.reduceat(smallest, first[:-1]).tolist()
-        rows = sorted((shard, k) for shard, k, last in rows if lowest[k] < last)  # in other shards no text loses a byte of it
-        for shard, some in groupby(rows, lambda r: r[0]):
-            mine = [k for _, k in some]
-            answers = [_run_lengths(smallest[first[k] : first[k + 1]]) for k in mine]
-            columns = [keys[mine], np.array([_name(contexts[k][1]) for k in mine], np.int64), np.array([len(x) for x in answers], np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(columns, answers)], pa.binary())], names=["shard", "block"])
-
-    answers = sent.repartition(n, "part").mapInArrow(resolve, "shard int, block binary")
+            contexts, first_of = list(number), np.array(least, np.int64)
+            keys = np.array([k for k, _ in contexts], np.int64)
+            windows = np.array([len(b) for _, b in contexts]) - length + 1
+            _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(counts[back] > 1)
+            runs: dict[int, np.ndarray] = {}  # of stretches whose windows do not all have one smallest id
+            if len(shared):
+                data = np.frombuffer(b"".join([contexts[k][1] for k in shared.tolist()]), np.uint8)
+                begin, many = np.cumsum([0, *(windows[shared] + length - 1)])[:-1], windows[shared]
+                cut = np.cumsum([0, *many])
+                own = np.repeat(np.arange(len(shared)), many)
+                offset = np.arange(cut[-1]) - cut[own]
+                group = back[shared][own] * (2 * length) + np.array(before)[shared][own] - offset + length  # equal windows have their anchor at the same distance
+                place, smallest = begin[own] + offset, first_of[shared][own]
+                hashes = window_hashes(data, length)[place]
+                order = np.lexsort((hashes, group))
+                near = (group[order][1:] == group[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
+                some = order[np.append(near, False) | np.append(False, near)]
+                if len(some):
+                    up = up if len(up) > len(data) else powers(len(data) + 1)
+                    order, equal = SuffixOrder(data, length, up).sort(place[some], group[some])
+                    start = np.flatnonzero(~equal)
+                    item = some[order]
+                    smallest[item] = np.repeat(np.minimum.reduceat(smallest[item], start), np.diff(np.append(start, len(item))))
+                    for x in np.unique(own[some]).tolist():
+                        runs[int(shared[x])] = smallest[cut[x] : cut[x + 1]]
+            lowest = {k: int(r.min()) for k, r in runs.items()}
+            rows = sorted((shard, k) for shard, k, last in rows if lowest.get(k, least[k]) < last)  # in other shards no text loses a byte of it
+            out: list[tuple[int, bytes]] = []
+            for shard, turn in groupby(rows, lambda r: r[0]):
+                mine = [k for _, k in turn]
+                answers = [_run_lengths(runs[k]) if k in runs else struct.pack("<qq", windows[k], least[k]) for k in mine]
+                columns = [keys[mine], np.array([others[k] for k in mine], np.int64), np.array([_name(contexts[k][1]) for k in mine], np.int64), np.array([len(x) for x in answers], np.int64)]
+                out.append((shard, pack(columns, answers)))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
+
+    answers = sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(resolve, "shard int, block binary")
 
     def mark(table: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts, own = _texts(table)
         least = _least_ids(ids, own, len(texts))
         known: dict[tuple[int, int], bytes] = {}
+        asked, heavy = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for block in found["block"].to_pylist():
-            (keys, names, sizes), joined = unpack(block, 3)
+            (keys, others, names, sizes), joined = unpack(block, 4)
+            asked.append(keys ^ others)
+            heavy.append(others != 0)
             end = np.cumsum(sizes)
             for key, title, a, b in zip(keys.tolist(), names.tolist(), (end - sizes).tolist(), end.tolist()):
                 known[key, title] = joined[a:b]
-        asked = np.unique(short(np.array([k for k, _ in known], np.int64).view(np.uint64)))
+        anchors, at = np.unique(short(np.concatenate(asked).view(np.uint64)), return_index=True)
         gone = [np.zeros(len(t) + 1, np.int32) for t in texts]
-        for k, key, first, _, _, body in _contexts(texts, asked, length, q):
+        for k, key, other, first, _, _, body in _contexts(texts, (anchors, np.concatenate(heavy)[at]), length, q):
+            answer = known.get((key, key if other else _name(body)))
             at = first
-            for number, smallest in np.frombuffer(known.get((key, _name(body)), b""), "<i8").reshape(-1, 2).tolist():
+            for number, smallest in struct.iter_unpack("<qq", answer) if answer else ():
                 if smallest < least[k]:
                     gone[k][at] += 1
                     gone[k][at + number + length - 1] -= 1

@@ -2,8 +2,7 @@
 
 The pattern keeps one space with the word after it and never joins two words, so a text in which
 no two white-space characters meet can be cut before every space and around every line end. Most
-parts repeat: the parts of many texts are hashed together, and each distinct part is encoded
-once per worker.
+parts repeat, and each distinct part is encoded once per worker, as long as it is remembered.
 """
 
 from __future__ import annotations
@@ -12,74 +11,70 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 
-from .hashing import BASE, POWERS, byte_values, prefix_hashes
-
-#: Two white-space characters in a row; such texts are cut one by one, with more care.
-_RUN = re.compile(r"\s\s")
+#: Two white-space characters in a row, or the mark that cuts are made at; such texts are cut with more care.
+_RUN = re.compile(r"\s\s|\0")
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
-class UnitEncoder:
+
+class UnitEncoder(dict):
     """Turns texts into ids; `encode` gives the ids of one part.
 
-    Parts are told apart by 64-bit hashes with their length.
+    Parts are told apart by themselves. Those of up to 64 characters are remembered, `most` at a time, so
+    that what a worker holds is bounded: about 60 MB.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 250_000):
         self.encode, self.most = encode, most
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.clear()
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self._lengths: list[int] = []
+        self._ids: list[int] = []
+
+    def __missing__(self, part: str) -> int:
+        ids = self.encode(part)
+        n = len(self.starts) - 1 + len(self._lengths)
+        self._lengths.append(len(ids))
+        self._ids += ids
+        if len(part) <= 64:
+            self[part] = n
+        return n
 
-    def _learn(self, keys: list[int], parts: list[str]) -> None:
-        got = [self.encode(p) for p in parts]
-        n = len(self.known)
-        self.known.update(zip(keys, range(n, n + len(keys))))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])])
-        self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
+    def _settle(self) -> None:
+        if self._lengths:
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(self._lengths)])
+            self.ids = np.concatenate([self.ids, np.array(self._ids, np.uint32)])
+            self._lengths, self._ids = [], []
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
+        if len(self.starts) > self.most:
+            self.forget()
         out: list = [None] * len(texts)
-        plain = []
+        plain, parts, cuts = [], [], [0]
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, np.uint32)
             elif _RUN.search(text):
                 out[k] = np.array([i for p in _CUT.split(text) if p for i in self.encode(p)], np.uint32)
             else:
+                own = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                parts += own
                 plain.append(k)
+                cuts.append(len(parts))
         if plain:
-            for k, ids in zip(plain, self._together([texts[k].encode() for k in plain])):
+            self[""] = self[""] if "" in self else self.__missing__("")
+            for k, ids in zip(plain, self._gathered(parts, cuts)):
                 out[k] = ids
         return out
 
-    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
-        joined = b"".join(texts)
-        data = np.frombuffer(joined, np.uint8)
-        begin = np.cumsum([0, *map(len, texts)])
-        line_ends = np.flatnonzero(data == 10)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[np.flatnonzero(data == 32)] = cut[line_ends] = cut[line_ends + 1] = cut[begin] = True
-        cuts = np.flatnonzero(cut)
-        a, b = cuts[:-1], cuts[1:]
-        p, (_, down) = prefix_hashes(byte_values(data)), POWERS.upto(len(data) + 1)
-        hashes = (p[b] - p[a]) * down[a] ^ (b - a).astype(np.uint64) * np.uint64(BASE)
-        back, keys = pd.factorize(hashes)
-        if len(self.known) + len(keys) > self.most:
-            self.forget()
-        listed = keys.tolist()
-        index = np.fromiter((self.known.get(x, -1) for x in listed), np.int64, len(listed))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            where = np.empty(len(keys), np.int64)
-            where[back[::-1]] = np.arange(len(back))[::-1]
-            index[new] = len(self.known) + np.arange(len(new))
-            self._learn(keys[new].tolist(), [joined[i:j].decode() for i, j in zip(a[where[new]].tolist(), b[where[new]].tolist())])
-        lengths, starts = (self.starts[index + 1] - self.starts[index])[back], self.starts[index][back]
+    def _gathered(self, parts: list[str], cuts: list[int]) -> list[np.ndarray]:
+        index = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        self._settle()
+        lengths, starts = self.starts[index + 1] - self.starts[index], self.starts[index]
         ends = np.cumsum(lengths)
         ids = self.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
-        return np.split(ids, np.concatenate([[0], ends])[np.searchsorted(cuts, begin[1:-1])])
+        return np.split(ids, np.concatenate([[0], ends])[cuts[1:-1]])

@@ -3,14 +3,14 @@
 
 import re
 
-
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from listingflow.llm import bpe, fingerprints, order_minhash, packing, quality_rules, sharding, substring_dedup, suffix_dedup
+from listingflow.llm import anchors, bpe, fingerprints, order_minhash, packing, quality_rules, sharding, substring_dedup, suffix_dedup
 from listingflow.llm.lm_scoring import Lattice, score_texts
+from listingflow.llm.quality_classifier import FILTERS, SEGMENT, WIDTH, Network, score_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BODY = " ".join(f"w{i}" for i in range(60))
@@ -207,3 +207,149 @@ def test_lattice_and_scores(docs, empty):
     assert score_texts(empty, F.lit(True), path).count() == 0
 
 
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(k).count("1") % 2 else b for k in range(n))
+
+
+def test_texts_that_linear_hashes_confuse(spark):
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = [thue_morse(n, *ab) for n in (1024, 4096) for ab in ("ab", "ba")]
+    rows = [(i, texts[i % 4]) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.encode_decode(docs, path, P.PATTERN).collect():
+        text = rows[r["doc_id"]][1]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == e.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
+    t, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}
+    for r in packing.pack(docs, P.path("byte_bpe_50k.json")).collect():
+        own.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    for i, text in rows:
+        assert sum((ids for _, ids in sorted(own[i])), []) == [*t.encode(text, add_special_tokens=False).ids, 1]
+    rest = [f"w{k}" for k in range(34)]
+    two = spark.createDataFrame([(k, " ".join([texts[k], *rest])) for k in (0, 1)], DOCS)
+    assert [r["n_removed"] for r in substring_dedup.dedup_passages(two).collect()] == [0, 0]
+
+
+def test_edit_distance_equals_the_table_method():
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(4)
+    cases = [([ord(c) for c in thue_morse(128, "a", "b")], [ord(c) for c in thue_morse(128, "b", "a")]), ([], []), ([1], []), ([1] * 300, [1] * 290)]
+    for _ in range(30):
+        a = rng.integers(0, 50, int(rng.integers(1, 150))).tolist()
+        b = [x for x in a if rng.random() > 0.05]
+        b[len(b) // 2 : len(b) // 2] = rng.integers(0, 50, int(rng.integers(0, 6))).tolist()
+        cases.append((a, b))
+    for a, b in cases:
+        want = edits(a, b)
+        for most in (want, want + 3, max(want - 1, 0)):
+            assert order_minhash.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), most) == min(want, most + 1)
+
+
+def passages_removed(rows, length=35):
+    words = [t.split() for _, t in rows]
+    seen = {}
+    for w in words:
+        for k in range(len(w) - length + 1):
+            seen[tuple(w[k : k + length])] = seen.get(tuple(w[k : k + length]), 0) + 1
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = {x for k in range(len(w) - length + 1) if seen[tuple(w[k : k + length])] > 1 for x in range(k, k + length)}
+        out.append((i, len(gone)))
+    return sorted(out)
+
+
+def bytes_removed(rows, length=50):
+    first, out = {}, []
+    for i, t in sorted(rows):
+        for k in range(len(t) - length + 1):
+            first.setdefault(t[k : k + length], i)
+    for i, t in rows:
+        out.append((i, len({x for k in range(len(t) - length + 1) if first[t[k : k + length]] < i for x in range(k, k + length)})))
+    return sorted(out)
+
+
+def test_heavy_anchors_and_very_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    phrase, passage = [f"common{k}" for k in range(20)], [f"shared{k}" for k in range(45)]
+
+    def own(n):
+        return [f"x{v}" for v in rng.integers(0, 5000, n)]
+
+    rows = [(i, " ".join(own(20) + phrase + own(20) + (passage if i % 2 else []) + own(15))) for i in range(40)]
+    long = own(20_000)
+    rows += [(90, " ".join(long + passage + long[500:900])), (91, " ".join(long[3000:3100])), (92, " ".join(phrase * 300))]
+    docs, words, letters = spark.createDataFrame(rows, DOCS), passages_removed(rows), bytes_removed(rows)
+    for heavy in (512, 2):
+        monkeypatch.setattr(anchors, "HEAVY", heavy)
+        assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_passages(docs, shard_bytes=1 << 15).collect()) == words
+        assert sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.dedup_bytes(docs, shard_bytes=1 << 15).collect()) == letters
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", 50)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_passages(docs).collect()) == words
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda passages, texts: [np.zeros(len(t.split()), bool) for t in texts])
+    assert {r["n_removed"] for r in substring_dedup.dedup_passages(docs).collect()} == {0}  # what the automata find is all that goes
+
+
+def test_runs_of_pieces_are_those_of_the_whole():
+    values = np.random.default_rng(1).integers(0, 4, 5000).astype(np.uint64)
+
+    def windows(block):
+        return sorted((f + k, f + b, key) for r in anchors.runs_of([values, values[:40], values[:3]], 35, 8, block) for f, n, b, key in zip(r.first.tolist(), r.count.tolist(), r.before.tolist(), r.key.tolist()) for k in range(n))
+
+    assert windows(100) == windows(1 << 20) and len(windows(100)) == 4966 + 6
+
+
+def test_fingerprints_by_join_are_those_by_broadcast(docs, empty, spark):
+    rows = [(i % 7 if i % 3 else None, f"same words {i % 11} and others {i}" * (i % 4)) for i in range(200)]
+    for table in (docs, empty, spark.createDataFrame(rows, DOCS)):
+        one, two = (sorted(map(repr, fingerprints.fingerprint_pairs(table, most_sent=n).collect())) for n in (1 << 20, -1))
+        assert one == two and len(one) == table.count()
+
+
+def test_network_scores_whole_texts_as_loops_do():
+    rng = np.random.default_rng(2)
+    net = Network(rng.normal(size=(256, 8)), rng.normal(size=(WIDTH, 8, FILTERS)), rng.normal(size=FILTERS), rng.normal(size=2 * FILTERS) / 9, 0.1)
+    texts = [b"", b"a", rng.integers(32, 120, SEGMENT * 3 + 5, np.uint8).tobytes(), rng.integers(0, 256, 1000, np.uint8).tobytes() * 3]
+    for text, got in zip(texts, net.scores(texts)):
+        n = max(1, -(-len(text) // SEGMENT))
+        data = net.embedding[np.frombuffer(text.ljust(n * SEGMENT + WIDTH, b"\0"), np.uint8)]
+        at = np.array([sum(data[p + k] @ net.kernel[k] for k in range(WIDTH)) for p in range(n * SEGMENT)]).reshape(n, SEGMENT, FILTERS).max(axis=1)
+        chunks = np.maximum(np.array([np.maximum(at[k], at[min(k + 1, n - 1)]) for k in range(max(1, n - 1))]) + net.bias, 0)
+        want = 1 / (1 + np.exp(-(np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ net.head + net.prior)))
+        assert abs(got - want) < 1e-4
+
+
+def test_odd_rows_of_row_by_row_operators(docs, empty, spark):
+    """Null ids, null and empty texts, repeated rows, a very long text and columns of clashing names."""
+    long = " ".join(f"word{k % 977} é" for k in range(30_000))
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(11, long), (11, long)], DOCS)).withColumns({"score": F.lit("x"), "ids": F.lit(1), "n_words": F.lit(0), "lang": F.lit(None).cast("string"), "kept": F.lit(5)})
+    texts = [t or "" for _, t in TEXTS] + [long, long]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    decoded = sorted(bytes(r["decoded"]).decode() for r in bpe.encode_decode(table, path, P.PATTERN).collect())
+    assert decoded == sorted(texts) and bpe.encode_decode(empty, path, P.PATTERN).count() == 0
+    ruled = quality_rules.apply_rules(table).collect()
+    assert sorted(r["n_words"] for r in ruled) == sorted(len(WORD.findall(t)) for t in texts)
+    assert [r["kept"] for r in ruled if r["doc_id"] == 11] == [True] * 2 or [r["kept"] for r in ruled if r["doc_id"] == 11] == [False] * 2
+    assert sum(r["doc_id"] is None for r in ruled) == 1
+    labels = spark.createDataFrame([(1, 1), (3, 1), (7, 0), (6, 0), (None, 1)], "doc_id long, quality int")
+    scored = score_quality(table, labels, F.lit(True)).collect()
+    assert len(scored) == len(texts) and len({r["score"] for r in scored if r["doc_id"] == 11}) == 1 and len({r["score"] for r in scored if r["doc_id"] in (5, 6)}) == 1
+    packed = packing.pack(table, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 11) == 2 * next(r["doc_tokens"] for r in packed if r["doc_id"] == 11)
+    lines = score_texts(table, F.lit(True), P.path("piece_bpe_32k.model")).collect()
+    assert sorted(r["n_tokens"] for r in lines) == sorted(len(WORD.findall(t)) + 1 for t in texts)
+    assert sorted(r["size"] for r in sharding.assign_shards(table, 3).collect()) == sorted(len(t.encode()) + 16 for t in texts)

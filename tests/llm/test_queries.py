@@ -10,10 +10,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from listingflow.llm import queries
+from listingflow.llm import fingerprints, lm_scoring, queries
 from listingflow.llm.order_minhash import near_duplicates
 from listingflow.llm.quality_classifier import score_quality
 from listingflow.llm.sharding import jump
@@ -74,6 +75,55 @@ def test_op3_equals_brute_force(spark, texts):
     assert sorted(map(tuple, rows_of(spark, "op3_substring_dedup"))) == want
 
 
+def test_op2_measures_and_verdicts_equal_brute_force(spark, texts):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    langs = {r["doc_id"]: r["lang"] or "" for r in docs.select("doc_id", "lang").collect()}
+    toxic_of = {r["doc_id"]: r["toxic"] for r in labels.where("toxic IS NOT NULL").collect()}
+    seen = {}
+    for i, t in texts.items():
+        if i in toxic_of:
+            for term in {w.strip(".,;:!?\"'()").lower() for w in WORD.findall(t)}:
+                seen.setdefault((langs[i], term), [0, 0])[toxic_of[i]] += 1
+    toxic = {k for k, (clean, bad) in seen.items() if k[1] and bad >= 3 and bad >= 20 * clean}
+    assert len(toxic) < 4096
+    for r in rows_of(spark, "op2_quality_rules"):
+        t, w = texts[r["doc_id"]], WORD.findall(texts[r["doc_id"]])
+        grams = Counter(zip(w, w[1:], w[2:]))
+        again = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        chars, symbols, dup = sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+        assert tuple(r)[:6] == (r["doc_id"], len(w), chars, symbols, dup, len(again))
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        letters, upper = sum(c.isalpha() for c in t), sum(c.isupper() for c in t)
+        hits = sum((langs[r["doc_id"]], x.strip(".,;:!?\"'()").lower()) in toxic for x in w)
+        refused = symbols > 0.1 * len(w) or chars > 20 * len(w) or upper > 0.3 * letters or letters < 0.5 * chars or 2 * dup > len(lines) or (hits >= 2 and 500 * hits >= len(w))
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not refused)
+
+
+def test_op5_score_equals_brute_force(spark, texts):
+    pieces, scores = lm_scoring.vocabulary(P.path("piece_bpe_32k.model"))
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    tokens = {i: [w.encode() for w in WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))] for i, t in texts.items()}
+    c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    longest, rank = max(map(len, pieces)), dict(zip(pieces, scores.tolist()))
+
+    def logs(words, exponent):
+        norm = sum((10.0 - s) ** -exponent for s in rank.values())
+        p = {k: 0.7 * (10.0 - s) ** -exponent / norm for k, s in rank.items()}
+        out = {}
+        for w in words:
+            a = [1.0] + [0.0] * len(w)
+            for e in range(1, len(w) + 1):
+                a[e] = sum(a[b] * p[w[b:e]] for b in range(max(0, e - longest), e) if w[b:e] in p)
+            out[w] = math.log10(a[-1] * 0.3)
+        return out
+
+    best = max(lm_scoring.EXPONENTS, key=lambda e: sum(n * lp for n, lp in zip(c.values(), logs(c, e).values())))
+    lp = logs({w for t in tokens.values() for w in t}, best)
+    for r in rows_of(spark, "op5_lm_scoring"):
+        assert r["score"] == pytest.approx(sum(lp[w] for w in tokens[r["doc_id"]]) + math.log10(0.3), rel=1e-6)
+
+
 def test_op5_base_equals_brute_force(spark, texts):
     tokens = {i: [*WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t)), " "] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
@@ -92,7 +142,16 @@ def test_op6_follows_jump_hash(spark, texts):
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts.items())
     for shard in range(40):
         assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
-    assert all(r["law"] == "key" and r["grown_shard"] in (r["shard"], 40) for r in rows)
+    def scalar(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2.0**31 / ((key >> 33) + 1)))
+        return b
+
+    keys = {r["doc_id"]: r["k"] % 2**64 for r in spark.createDataFrame([(i,) for i in texts], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    for r in rows:
+        assert (r["law"], r["shard"], r["grown_shard"]) == ("key", scalar(keys[r["doc_id"]], 40), scalar(keys[r["doc_id"]], 41))
     assert jump(np.zeros(1, np.uint64), 1)[0] == 0
 
 
@@ -154,7 +213,35 @@ def test_op10_edits(spark, texts):
     for i, t in texts.items():
         half = len(t) // 2
         assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == sha((t[: len(t) - half] + texts[after[i]][:half]).encode())
-        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
+
+    def terms(t):
+        return {xxhash.xxh3_64_intdigest(w.encode()) for w in WORD.findall(t.lower())}
+
+    df = Counter(x for t in texts.values() for x in terms(t))
+    band = {x for x, n in df.items() if 2 <= n <= 0.2 * len(texts)}
+
+    def mixed(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m % 2**64
+        return x ^ x >> 33
+
+    def signed(t):
+        own = terms(t) & band
+        few, used = not own, own or terms(t)
+        out = []
+        for seed, limit in zip(fingerprints._SEEDS.tolist(), fingerprints._LIMITS.tolist()):
+            total = sum(h for x in used if (h := mixed(x ^ seed)) & 0xFFFFFFFF < limit or few) % 2**64
+            out.append(1 if few and not total else mixed(total) >> 32)
+        return out
+
+    def alike(a, b):
+        return 1.0 if a == b else sum(x == y for x, y in zip(a, b) if x or y) / max(1, sum(1 for x, y in zip(a, b) if x or y))
+
+    for i in order[::2]:
+        t, half = texts[i], len(texts[i]) // 2
+        own, edited, other = signed(t), signed(t[: len(t) - half] + texts[after[i]][:half]), signed(texts[after[i]])
+        assert rows[i]["fingerprint"] == "".join(f"{x:08x}" for x in own) and rows[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in edited)
+        assert (rows[i]["near_edited"], rows[i]["near_next"]) == pytest.approx((alike(own, edited), alike(own, other)))
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -186,10 +273,10 @@ def test_pipeline_stages(spark, texts, tmp_path):
     ruled = stages["quality_rules"](spark, docs, SF).collect()
     assert {r["text"] for r in ruled} >= set(extra) and not {r["doc_id"] for r in ruled} & {901, 902}
 
-    classes = {(r["doc_id"], r["node"]): (r["class_id"], r["class_node"]) for r in near_duplicates(docs).collect()}
+    classes = {(r["doc_id"], bytes(r["digest"])): (r["class_id"], bytes(r["class_digest"])) for r in near_duplicates(docs).collect()}
     single = stages["near_dedup"](spark, docs, SF)
-    kept = single.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")).collect()
-    assert len(kept) == len(set(classes.values())) and {(r["doc_id"], r["node"]) for r in kept} == set(classes.values())
+    kept = single.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node")).collect()
+    assert len(kept) == len(set(classes.values())) and {(r["doc_id"], bytes(r["node"])) for r in kept} == set(classes.values())
     assert {(r["doc_id"], r["text"]) for r in kept} <= own and set(extra) <= {r["text"] for r in kept}
 
     numbered = dict(enumerate(t or "" for _, t, *_ in [*rows, rows[0], rows[1]]))
