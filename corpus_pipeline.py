@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingflow.llm.common import bucket_of
+from listingflow.llm.common import bucket_of, checkpoint_folder
 from listingflow.llm.order_minhash import near_duplicates
 from listingflow.llm.packing import pack
 from listingflow.llm.quality_classifier import score_quality
@@ -38,9 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A class whose rows all have null ids keeps one of them; repeated rows are copies.
     """
     key = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
-    first = near_duplicates(docs).where("node = class_node AND doc_id <=> class_id").select(key, "node").distinct()
-    rows = docs.select(*COLUMNS, key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
-    return rows.join(first, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select(*COLUMNS)
+    first = near_duplicates(docs).where("digest = class_digest AND doc_id <=> class_id").select(key, "digest").distinct()
+    rows = docs.select(*COLUMNS, key, F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    return rows.join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over the documents; each is written as Parquet to the shared folder and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    base = checkpoint_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{base}/pipeline-{uuid.uuid4()}/{name}"
