@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..operators.components import connected_components
 from .common import checkpointed, in_chunks, spread, texts_of
 from .hashing import mix, window_hashes
-from .wording import Hashes, hashed_words
+from .wording import hashed_words
 
 #: Samples of a sketch, and occurrence-labelled shingles in each, in the order of the text.
 SAMPLES, EACH, SHINGLE = 32, 4, 5
@@ -168,13 +168,11 @@ class _Known:
     """Words and shingles of the texts last seen; pairs come grouped by one of their texts."""
 
     def __init__(self, most: int = 64):
-        self.most, self.kept, self.hashes = most, OrderedDict(), Hashes()
+        self.most, self.kept = most, OrderedDict()
 
     def __call__(self, node: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if (found := self.kept.get(node)) is None:
-            if len(self.hashes) > 100_000:
-                self.hashes.clear()
-            words = hashed_words([text], self.hashes)[0]
+            words = hashed_words([text])[0]
             found = self.kept[node] = words, np.unique(shingles(words))
             if len(self.kept) > self.most:
                 self.kept.popitem(last=False)

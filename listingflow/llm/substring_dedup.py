@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 from .anchors import by_part, by_turn, kept, pack, parts_for, recurring, runs_of, shard_keys, short, signed, sorted_keys, unpack
 from .common import sharded
 from .hashing import window_hashes
-from .wording import Numbers, hashed_words, numbered, word_hashes
+from .wording import Known, Numbers, hashed_words, numbered, word_hashes
 
 #: Words of the passages that one automaton holds; a shard with more of them compiles several.
 AUTOMATON_WORDS = 300_000
@@ -95,8 +95,9 @@ def occurrences(passages: list[bytes], texts: list[bytes]) -> list[np.ndarray]:
     A node of an automaton looks through its branches one by one, so a word goes in as two letters, each
     of which has about as many values as the square root of the number of words.
     """
-    numbers = Numbers({b"": 0})  # for words that no passage has
-    own = [numbered(p.split(), numbers) for p in passages]
+    learned = Numbers({b"": 0})  # for words that no passage has
+    own = numbered(b" ".join(passages).split(), learned)
+    numbers = Known(learned)
     base = isqrt(len(numbers)) + 1
     gap = lambda x: x + 0x800 * (x >= 0xD800)  # noqa: E731  letters that are none
 
@@ -105,18 +106,15 @@ def occurrences(passages: list[bytes], texts: list[bytes]) -> list[np.ndarray]:
         letters[:, 0], letters[:, 1] = gap(words // base + 1), gap(words % base + base + 2)
         return letters.tobytes().decode("utf-32-le")
 
-    known = numbers.get
-    spellings = []
-    for t in texts:
-        words = t.split()
-        spellings.append(spelled(np.fromiter((known(w, 0) for w in words), np.int64, len(words))))
+    sizes, spelling = [p.count(b" ") + 1 for p in passages], spelled(own)
+    spellings = [spelled(numbered(t.split(), numbers)) for t in texts]
     edges = [np.zeros(len(s) // 2 + 1, np.int32) for s in spellings]
-    at = 0
-    while at < len(own):
+    at = first = 0
+    while at < len(passages):
         automaton, held = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), 0
-        while at < len(own) and held < AUTOMATON_WORDS:
-            automaton.add_word(spelled(own[at]))
-            held, at = held + len(own[at]), at + 1
+        while at < len(passages) and held < AUTOMATON_WORDS:
+            automaton.add_word(spelling[2 * first : 2 * (first + sizes[at])])
+            held, first, at = held + sizes[at], first + sizes[at], at + 1
         automaton.make_automaton()
         for s, edge in zip(spellings, edges):
             found = np.array(list(automaton.iter(s)), np.int64).reshape(-1, 2)

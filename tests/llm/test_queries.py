@@ -10,7 +10,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -18,6 +17,7 @@ from listingflow.llm import fingerprints, lm_scoring, queries
 from listingflow.llm.order_minhash import near_duplicates
 from listingflow.llm.quality_classifier import score_quality
 from listingflow.llm.sharding import jump
+from listingflow.llm.wording import hashed_words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,7 +215,10 @@ def test_op10_edits(spark, texts):
         assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == sha((t[: len(t) - half] + texts[after[i]][:half]).encode())
 
     def terms(t):
-        return {xxhash.xxh3_64_intdigest(w.encode()) for w in WORD.findall(t.lower())}
+        return {numbers[w] for w in WORD.findall(t.lower())}
+
+    vocabulary = sorted({w for t in texts.values() for half in (t, t[: len(t) - len(t) // 2], t[: len(t) // 2]) for w in WORD.findall(half.lower())} | {w for i, t in texts.items() for w in WORD.findall((t[: len(t) - len(t) // 2] + texts[after[i]][: len(t) // 2]).lower())})
+    numbers = dict(zip(vocabulary, hashed_words([" ".join(vocabulary).encode()])[0].tolist()))
 
     df = Counter(x for t in texts.values() for x in terms(t))
     band = {x for x, n in df.items() if 2 <= n <= 0.2 * len(texts)}
