@@ -33,17 +33,34 @@ ATS_PATTERNS = (
     (r"linkedin\.com/jobs/view/(?:[^/]*-)?(\d{6,})", "li", ((1, "same"),)),
 )
 
-# Fixed values of the frozen older scheme: only what differs from the list above, by place; None drops the shape.
-LEGACY_CHANGES = {
-    4: (r"myworkdayjobs\.com/.*?_((?:JR|R|REQ)[-_]?\d[\w-]*)", "wd", ((1, "squash"),)),
-    5: None,
-    6: None,
-    7: None,
-    11: (r"smartrecruiters\.com/[^/]+/(\d+)", "sr", ((1, "same"),)),
-    17: (r"jobs\.jobvite\.com/[^/]+/job/([a-zA-Z0-9]+)", "jv", ((1, "same"),)),
-    18: (r"icims\.com/jobs/(\d+)", "icims", ((1, "same"),)),
-    19: (r"workable\.com/[^/]*j(?:obs)?/([A-Z0-9]{8,})", "wk", ((1, "upper"),)),
-}
+# Fixed values of the frozen older scheme, in full: stored keys were written with these shapes.
+LEGACY_PATTERNS = (
+    (r"greenhouse\.io/(?:embed/job_app\?for=)?([a-z0-9_.-]+)/jobs/(\d+)", "gh", ((1, "lower"), (2, "same"))),
+    (r"greenhouse\.io/embed/job_app\?for=([a-z0-9_.-]+).*?[?&]token=(\d+)", "gh", ((1, "lower"), (2, "same"))),
+    (r"lever\.co/([a-z0-9_.-]+)/([0-9a-f-]{36})", "lv", ((1, "lower"), (2, "lower"))),
+    (r"ashbyhq\.com/([a-z0-9_.-]+)/([0-9a-f-]{36})", "ab", ((1, "lower"), (2, "lower"))),
+    (r"myworkdayjobs\.com/.*?_((?:JR|R|REQ)[-_]?\d[\w-]*)", "wd", ((1, "squash"),)),
+    (r"google\.com/about/careers/applications/jobs/results/(\d+)|careers\.google\.com/jobs/results/(\d+)", "goog", ((0, "either"),)),
+    (r"jobs\.apple\.com/[a-z-]+/details/(\d+)", "appl", ((1, "same"),)),
+    (r"metacareers\.com/jobs/(\d+)", "meta", ((1, "same"),)),
+    (r"smartrecruiters\.com/[^/]+/(\d+)", "sr", ((1, "same"),)),
+    (r"[?&]gh_jid=(\d+)", "gh:jid", ((1, "same"),)),
+    (r"([a-z0-9-]+)\.applytojob\.com/apply/([A-Za-z0-9]+)", "atj", ((1, "lower"), (2, "same"))),
+    (r"ats\.rippling\.com/(?:[a-z-]+/)?([a-z0-9_.-]+)/jobs/([0-9a-f-]{36})", "rip", ((1, "lower"), (2, "lower"))),
+    (r"amazon\.jobs/(?:[a-z-]+/)?jobs/(\d+)", "amzn", ((1, "same"),)),
+    (r"lifeattiktok\.com/(?:search|position)/(\d+)", "tt", ((1, "same"),)),
+    (r"jobs\.jobvite\.com/[^/]+/job/([a-zA-Z0-9]+)", "jv", ((1, "same"),)),
+    (r"icims\.com/jobs/(\d+)", "icims", ((1, "same"),)),
+    (r"workable\.com/[^/]*j(?:obs)?/([A-Z0-9]{8,})", "wk", ((1, "upper"),)),
+    (r"linkedin\.com/jobs/view/(?:[^/]*-)?(\d{6,})", "li", ((1, "same"),)),
+)
+
+# What a URL of each shape holds, in lower case, by the shape's prefix; a shape is looked for only where it stands.
+SIGNS = {
+    "gh": "greenhouse.io/", "lv": "lever.co/", "ab": "ashbyhq.com/", "wd": "myworkday", "goog": "google.com/", "appl": "jobs.apple.com/", "meta": "metacareers.com/jobs/",
+    "sr": "smartrecruiters.com/", "gh:jid": "gh_jid=", "atj": ".applytojob.com/apply/", "rip": "ats.rippling.com/", "amzn": "amazon.jobs/", "tt": "lifeattiktok.com/",
+    "jv": "jobs.jobvite.com/", "icims": "icims.com/jobs/", "wk": "workable.com/", "li": "linkedin.com/jobs/view/",
+}
 
 # Query parameters without identity, and words without meaning in names and places.
 TRACKING = (
@@ -81,17 +98,20 @@ def _written(url: Column, pattern: str, group: int, how: str) -> Column:
     return ways[how](part)
 
 
-def _first_shape(url: Column, shapes) -> Column:
-    found = [
-        F.when(url.rlike("(?i)" + pattern), F.concat_ws(":", F.lit(prefix), *(_written(url, "(?i)" + pattern, g, how) for g, how in parts)))
-        for pattern, prefix, parts in shapes
-    ]
+def _first_shape(url: Column, low: Column, shapes) -> Column:
+    """The key of the first shape that the URL (and in lower case) has; few URLs hold the sign of more than one, so few
+    patterns are tried."""
+    found = []
+    for pattern, prefix, parts in shapes:
+        written = [_written(url, "(?i)" + pattern, g, how) for g, how in parts]
+        there = low.contains(SIGNS[prefix])
+        found.append(F.when(there & (written[0] != ""), F.concat_ws(":", F.lit(prefix), *written)))  # no part of a shape is empty
     return F.coalesce(*found, F.lit(""))
 
 
 def ats_key(url: Column | str) -> Column:
     """The requisition's key by the first applicant system whose URL shape is found, or ''."""
-    return _first_shape(_text(url), ATS_PATTERNS)
+    return _first_shape(_text(url), F.lower(_text(url)), ATS_PATTERNS)
 
 
 def employer_key(url: Column | str) -> Column:
@@ -122,15 +142,17 @@ def _address(url: Column) -> Column:
 
 def url_key(url: Column | str) -> Column:
     """ats_key(), else host, path and identity-bearing query; '' for an empty URL."""
-    u = _text(url)
-    return F.when(u == "", "").otherwise(F.coalesce(F.nullif(ats_key(u), F.lit("")), F.concat(_address(u), query_signature(F.regexp_extract(u, _URL, 4)))))
+    return _url_key(_text(url), ats_key(url))
+
+
+def _url_key(u: Column, shape: Column) -> Column:
+    return F.when(u == "", "").when(shape != "", shape).otherwise(F.concat(_address(u), query_signature(F.regexp_extract(u, _URL, 4))))
 
 
 def legacy_url_key(url: Column | str) -> Column:
     """The key an older scheme gave: fewer tenants, and no query."""
     u = _text(url)
-    shapes = [LEGACY_CHANGES.get(k, shape) for k, shape in enumerate(ATS_PATTERNS)]
-    return F.when(u == "", "").otherwise(F.coalesce(F.nullif(_first_shape(u, [s for s in shapes if s]), F.lit("")), _address(u)))
+    return F.when(u == "", "").otherwise(F.coalesce(F.nullif(_first_shape(u, F.lower(u), LEGACY_PATTERNS), F.lit("")), _address(u)))
 
 
 def uuid_key(uuid: Column | str) -> Column:
@@ -172,14 +194,21 @@ def level_token(title: Column | str) -> Column:
     return F.when(t.rlike(INTERN), "intern").when(t.rlike(NEW_GRAD), "newgrad").otherwise("")
 
 
+def _prefix(company: Column, title: Column) -> Column:
+    return F.concat(F.lit("id:"), company, F.lit("|"), title, F.lit("|"))
+
+
+def _identity(company: Column, title: Column, location: Column, level: Column, season: Column) -> Column:
+    return F.when((company == "") | (title == ""), "").otherwise(F.concat(_prefix(company, title), F.concat_ws("|", location, level, season)))
+
+
 def id_prefix(company: Column | str, title: Column | str) -> Column:
-    return F.concat(F.lit("id:"), normalize_company(company), F.lit("|"), normalize_title(title), F.lit("|"))
+    return _prefix(normalize_company(company), normalize_title(title))
 
 
 def identity_key(company: Column | str, title: Column | str, location: Column | str, season: Column | str) -> Column:
     """Company, title, place, level and season; '' if company or title has nothing left."""
-    rest = F.concat_ws("|", normalize_location(location), level_token(title), season_token(season, title))
-    return F.when((normalize_company(company) == "") | (normalize_title(title) == ""), "").otherwise(F.concat(id_prefix(company, title), rest))
+    return _identity(normalize_company(company), normalize_title(title), normalize_location(location), level_token(title), season_token(season, title))
 
 
 def _distinct(*keys: Column) -> Column:
@@ -187,8 +216,21 @@ def _distinct(*keys: Column) -> Column:
 
 
 def with_keys(df: DataFrame) -> DataFrame:
-    """Adds url_key, employer_key, identity_key, id_prefix and keys, strongest first."""
-    df = df.withColumns({"url_key": url_key("apply_url"), "employer_key": employer_key("apply_url"), "identity_key": identity_key("company", "title", "location", "season"), "id_prefix": id_prefix("company", "title")})
+    """Adds url_key, employer_key, identity_key, id_prefix and keys, strongest first. Null fields count as empty.
+
+    What several keys share is computed once, in a step before.
+    """
+    steps = {"_company": normalize_company("company"), "_title": normalize_title("title"), "_place": normalize_location("location"), "_level": level_token("title"), "_season": season_token("season", "title")}
+    df = df.withColumns({"_url": _text("apply_url"), "_low": F.lower(_text("apply_url")), **steps})
+    df = df.withColumn("_shape", _first_shape(F.col("_url"), F.col("_low"), ATS_PATTERNS))
+    df = df.withColumn("url_key", _url_key(F.col("_url"), F.col("_shape"))).drop("_url", "_low", "_shape")
+    df = df.withColumns(
+        {
+            "employer_key": F.when(F.col("url_key").startswith("li:") | F.col("url_key").startswith("url:"), "").otherwise(F.col("url_key")),
+            "identity_key": _identity(*(F.col(c) for c in steps)),
+            "id_prefix": _prefix(F.col("_company"), F.col("_title")),
+        }
+    ).drop(*steps)
     return df.withColumn("keys", _distinct(uuid_key("posting_uuid"), F.col("url_key"), F.col("identity_key")))
 
 

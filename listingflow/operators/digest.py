@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import short_location
+from .components import checkpointed
+from .rules import is_meaningful
 
 ORDER = ("is_maybe", "indirect", "company_low", "title_low", "ord")
 
 
+def ranked_within(df: DataFrame, by: str, *order: str, name: str = "rank") -> DataFrame:
+    """Adds the place of each row among those of its group: rows are dealt by ranges of the whole order and numbered
+    within them, and counts of the ranges before are added, so no group is sorted in one task."""
+    placed = checkpointed(df.repartitionByRange(by, *order).withColumn("_run", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(by, "_run").agg(F.count("*").alias("_n")).select(by, "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(by, "_run").orderBy(*order)
+    rows = placed.withColumn(name, F.row_number().over(within)).join(first, [by, "_run"])
+    return rows.withColumn(name, (F.col(name) + F.col("_first")).cast("int")).drop("_run", "_first")
+
+
 def order_digest(df: DataFrame) -> DataFrame:
-    """Adds rank within digest_id: direct first, maybe last, by company and title, then input order."""
-    low = df.withColumns({"is_maybe": F.col("relevance") == "maybe", "company_low": F.lower("company"), "title_low": F.lower("title")})
-    return low.withColumn("rank", F.row_number().over(Window.partitionBy("digest_id").orderBy(*ORDER)))
+    """Adds rank within digest_id: direct first, maybe last, by company and title, then input order. Null companies
+    and titles come first; rows without a digest_id are none of any digest."""
+    low = df.where("digest_id IS NOT NULL").withColumns({"is_maybe": F.col("relevance") == "maybe", "company_low": F.lower("company"), "title_low": F.lower("title")})
+    return ranked_within(low, "digest_id", *ORDER)
 
 
 def _halved(rows: pd.DataFrame) -> pd.DataFrame:
@@ -42,21 +56,22 @@ def pack(df: DataFrame, limit: int = 92_000, overhead: int = 2_000, tries: int =
     Parts are even in entries: as many as the bytes need, and up to `tries` more until every part fits. If
     none does, parts that are too large are halved.
     """
-    per = Window.partitionBy("digest_id")
-    sized = df.withColumns({"n": F.count("*").over(per), "total": F.sum("size").over(per)})
+    df = checkpointed(df.select("digest_id", "posting_id", "rank", "size"))
+    sized = df.join(df.groupBy("digest_id").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "digest_id")
     sized = sized.withColumn("least", F.greatest(F.ceil((F.col("total") + overhead) / limit), F.lit(1)).cast("int"))
     tried = sized.withColumn("parts", F.explode(F.expr(f"sequence(least, least + {tries})"))).withColumn("part", ((F.col("rank") - 1) / F.ceil(F.col("n") / F.col("parts"))).cast("int"))
     sums = tried.groupBy("digest_id", "least", "parts", "part").agg((F.sum("size") + overhead).alias("bytes"))
     fits = sums.groupBy("digest_id", "least", "parts").agg(F.max("bytes").alias("most"))
     chosen = fits.groupBy("digest_id").agg(F.coalesce(F.min(F.when(F.col("most") <= limit, F.col("parts"))), F.max("parts")).alias("parts"))
     placed = sized.join(chosen, "digest_id").withColumn("part", ((F.col("rank") - 1) / F.ceil(F.col("n") / F.col("parts"))).cast("int"))
-    bytes_ = Window.partitionBy("digest_id", "part")
-    placed = placed.withColumn("over", (F.sum("size").over(bytes_) + overhead > limit) & (F.count("*").over(bytes_) > 1))
+    large = placed.groupBy("digest_id", "part").agg(((F.sum("size") + overhead > limit) & (F.count("*") > 1)).alias("over"))
+    placed = placed.join(large, ["digest_id", "part"])
     rest = placed.where("over").select("digest_id", "posting_id", "rank", "part", "size", F.lit(limit).alias("limit"), F.lit(overhead).alias("overhead"))
     halved = rest.groupBy("digest_id", "part").applyInPandas(_halved, "digest_id string, posting_id long, rank int, part int, sub int")
     both = placed.where("NOT over").select("digest_id", "posting_id", "rank", "part", F.lit(0).alias("sub")).union(halved)
-    number = F.dense_rank().over(Window.partitionBy("digest_id").orderBy("part", "sub"))
-    return both.withColumn("part_no", number).withColumn("parts", F.max("part_no").over(per)).select("digest_id", "posting_id", "rank", "part_no", "parts")
+    per = Window.partitionBy("digest_id")  # over a row per part
+    numbers = both.select("digest_id", "part", "sub").distinct().withColumn("part_no", F.row_number().over(per.orderBy("part", "sub"))).withColumn("parts", F.count("*").over(per).cast("int"))
+    return both.join(numbers, ["digest_id", "part", "sub"]).select("digest_id", "posting_id", "rank", "part_no", "parts")
 
 
 def batch(df: DataFrame, n: int = 150) -> DataFrame:
@@ -92,12 +107,40 @@ def section_counts(df: DataFrame) -> DataFrame:
     )
 
 
+SECTIONS = ((1, "Direct Apply"), (2, "LinkedIn (opens on LinkedIn)"), (3, "Maybe (off-domain or restricted -- review)"))  # fixed values: sections of a report, in order
+
+
 def render_text(df: DataFrame) -> DataFrame:
-    """(digest_id, part_no, body): a line per entry in order, under a header where its section begins."""
-    section = F.when(F.col("relevance") == "maybe", "Maybe").when(F.col("indirect"), "Via aggregators").otherwise("Direct")
-    line = F.concat_ws(" - ", "company", "title", F.nullif("location", F.lit("")), "apply_url")
-    rows = df.withColumns({"section": section, "line": line})
-    before = F.lag("section").over(Window.partitionBy("digest_id", "part_no").orderBy("rank"))
-    rows = rows.withColumn("text", F.when(before.isNull() | (before != F.col("section")), F.concat(F.lit("== "), "section", F.lit(" ==\n"), "line")).otherwise(F.col("line")))
-    held = rows.groupBy("digest_id", "part_no").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("t"))
-    return held.select("digest_id", "part_no", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("body"))
+    """(digest_id, part_no, body) of ordered entries (digest_id, part_no, rank, relevance, relevance_rule, indirect, company,
+    title, season, source, location, salary, apply_url): under each section's header and count, a block per company,
+    title, season and source, with places, season and salary, the rule that demoted it, and a line per posting.
+
+    Null and placeholder fields are left out. A part is bounded by pack(), and so is a body. An empty table
+    gives no rows.
+    """
+    where = F.when(F.col("relevance") == "maybe", 3).when(F.col("indirect"), 2).otherwise(1)
+    fields = {c: F.coalesce(F.col(c), F.lit("")) for c in ("company", "title", "season", "source", "location", "salary", "apply_url", "relevance_rule")}
+    rows = df.withColumns({**fields, "section": where})
+    p = F.struct("rank", "company", "title", "season", "location", "salary", "relevance_rule", "apply_url", short_location(F.col("location")).alias("place"))
+    keys = ["digest_id", "part_no", "section"]
+    low = [F.lower(c).alias(f"k_{c}") for c in ("company", "title", "season")]
+    held = rows.select(*keys, *low, "source", p.alias("p")).groupBy(*keys, "k_company", "k_title", "k_season", "source").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    first = F.get("p", F.lit(0))
+    places = F.array_join(F.filter(F.array_distinct(F.transform("p", lambda x: x["place"])), lambda x: x != ""), ", ")
+    meta = F.array_join(F.filter(F.array(F.when(places == "", first["location"]).otherwise(places), first["season"], first["salary"]), is_meaningful), " | ")
+    lines = F.transform("p", lambda x: F.concat(F.when(F.size("p") > 1, F.concat(F.lit("  ["), x["place"], F.lit("] "))).otherwise("  "), x["apply_url"]))
+    text = F.array_join(
+        F.concat(
+            F.array(F.concat(first["company"], F.lit(" - "), first["title"])),
+            F.when(meta != "", F.array(F.concat(F.lit("  "), meta))).otherwise(F.array().cast("array<string>")),
+            F.when(first["relevance_rule"] != "", F.array(F.concat(F.lit("  filtered: "), first["relevance_rule"]))).otherwise(F.array().cast("array<string>")),
+            lines,
+        ),
+        "\n",
+    )
+    blocks = held.select(*keys, F.struct("k_company", "k_title", F.get("p", F.lit(0))["rank"].alias("rank"), text.alias("text")).alias("b"), F.size("p").alias("n"))
+    per = blocks.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("b")).alias("b"))
+    title = F.element_at(F.create_map(*(F.lit(x) for pair in SECTIONS for x in pair)), F.col("section"))
+    head = F.concat(F.lit("== "), title, F.lit(" ("), F.col("n").cast("string"), F.lit(") ==\n\n"))
+    whole = per.select("digest_id", "part_no", F.struct("section", F.concat(head, F.array_join(F.transform("b", lambda x: x["text"]), "\n\n")).alias("text")).alias("s"))
+    return whole.groupBy("digest_id", "part_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), "\n\n").alias("body"))

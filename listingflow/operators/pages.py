@@ -133,10 +133,17 @@ def section_phrases(html: Column) -> Column:
     return sum((low.contains(p).cast("int") for p in SECTIONS), F.lit(0))
 
 
-def _posting(html: Column) -> Column:
-    """JSON text of the first JobPosting in a page's ld+json blocks, in arrays and graphs too."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    nodes = F.flatten(F.transform(blocks, lambda b: F.concat(F.array(b), *(F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>")) for x in (b, F.get_json_object(b, "$.@graph"))))))
+def _inner(node: Column) -> Column:
+    """A JSON node, and after it those of its array or of its graph."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(node), *(F.coalesce(F.from_json(x, "array<string>"), none) for x in (node, F.get_json_object(node, "$.@graph"))))
+
+
+def _posting(html: Column, depth: int = 4) -> Column:
+    """JSON text of the first JobPosting in a page's ld+json blocks; arrays and graphs are opened depth-first, `depth` in each other."""
+    nodes = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    for _ in range(depth):
+        nodes = F.array_distinct(F.flatten(F.transform(nodes, _inner)))  # a node that was opened stands before its own
     return F.get(F.filter(nodes, lambda n: F.get_json_object(n, "$.@type").rlike(r'(^|")JobPosting("|$)')), F.lit(0))
 
 
@@ -148,8 +155,14 @@ def detect_job_pages(df: DataFrame) -> DataFrame:
     link = F.coalesce(F.get_json_object("posting", "$.url"), F.get_json_object("posting", "$.hiringOrganization.sameAs"))
     ident = F.coalesce(F.get_json_object("posting", "$.identifier.value"), F.get_json_object("posting", "$.identifier"))
     og = F.regexp_extract(html, r"(?i)<meta[^>]*property=[\"']og:type[\"'][^>]*content=[\"']([^\"']*)", 1).rlike("(?i)job")
-    controls = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|button)\b[^>]*>(.*?)</(?:a|button)>"), F.lit(1))
-    words = F.transform(controls, lambda c: F.lower(F.trim(F.regexp_replace(c, "<[^>]+>", ""))))
+    tagged = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|button)\b[^>]*>.*?</(?:a|button)>|<[a-z0-9]+\b[^>]*\brole=[\"']button[\"'][^>]*>[^<]*|<input\b[^>]*\btype=[\"'](?:submit|button)[\"'][^>]*>"), F.lit(0))
+
+    def said(control: Column) -> Column:
+        """A control's text, else its value, else its label."""
+        own = [F.trim(F.regexp_replace(control, "<[^>]+>", "")), *(F.trim(F.regexp_extract(control, rf"(?is)^<[^>]*\b{a}=[\"']([^\"']*)", 1)) for a in ("value", "aria-label"))]
+        return F.lower(F.coalesce(*(F.nullif(x, F.lit("")) for x in own), F.lit("")))
+
+    words = F.transform(tagged, said)
     apply = F.exists(words, lambda w: (F.length(w) <= 40) & w.rlike(r"^apply\b|^submit application$|apply (for|to) this (job|position|role)"))
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]+>", " ")
     signal = F.when((F.col("k") != "") & ~F.col("k").startswith("url:"), "url").when(F.col("posting").isNotNull(), "json-ld").when(og, "og").when(apply & (section_phrases(body) >= 2), "text")
@@ -159,7 +172,7 @@ def detect_job_pages(df: DataFrame) -> DataFrame:
     return page.select("page_id", signal.isNotNull().alias("is_job"), signal.alias("signal"), F.when(signal.isNotNull(), key).alias("key"), F.when(signal.isNotNull(), title).alias("title"))
 
 
-def _pattern(alias: str, exact: bool) -> str:
+def alias_pattern(alias: str, exact: bool) -> str:
     body = alias if "\\" in alias else re.sub(r"([.*+?^${}()|\[\]])", r"\\\1", alias)
     return f"{'' if exact else '(?i)'}(?:^|{_BOUND})(?:{body})(?:{_BOUND}|$)"
 
@@ -169,7 +182,7 @@ def keyword_counts(df: DataFrame, terms: tuple = TERMS, id_col: str = "doc_id",
     is part of a match, so of two equal words with one space between them one counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = [
-        F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), sum((F.size(F.regexp_extract_all(text, F.lit(_pattern(a, exact)), F.lit(0))) for a in aliases), F.lit(0)).alias("n"))
+        F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), sum((F.size(F.regexp_extract_all(text, F.lit(alias_pattern(a, exact)), F.lit(0))) for a in aliases), F.lit(0)).alias("n"))
         for name, category, aliases, exact in terms
     ]
     return df.select(id_col, F.inline(F.filter(F.array(*counts), lambda x: x["n"] > 0)))

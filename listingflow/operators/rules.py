@@ -118,7 +118,7 @@ def profile_filter(df: DataFrame, filters: dict[str, list]) -> Column:
 
 
 def _first(c: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.when(c.rlike("(?i)" + p), F.lit(p)) for p in patterns))
+    return F.coalesce(*(F.when(c.rlike("(?i)" + p), F.lit(p)) for p in patterns), F.lit(None).cast("string"))
 
 
 def judge(df: DataFrame, rules: dict[str, tuple[str, ...]] = RULES, mode: str = "maybe", enabled: bool = True) -> DataFrame:
@@ -173,11 +173,13 @@ def unknown_categories(df: DataFrame, known: list[str], deny: list[str]) -> Data
 
 
 def filter_audit(judged: DataFrame) -> DataFrame:
-    """Members of each bucket: label (DROP, MAYBE or SAVED), rule, pattern, n and titles."""
+    """Members of each bucket, a row each: label (DROP, MAYBE or SAVED), rule, pattern, n of the bucket, posting_id, title.
+    So no bucket is gathered in one row, whatever its size."""
     v = F.col("verdict")
     label = F.when(v["rescued"], "SAVED").when(v["action"] == "drop", "DROP").when(v["action"] == "maybe", "MAYBE")
-    rows = judged.select(label.alias("label"), v["rule"].alias("rule"), v["pattern"].alias("pattern"), "title").where("label IS NOT NULL")
-    return rows.groupBy("label", "rule", "pattern").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("title")).alias("titles"))
+    rows = judged.select(label.alias("label"), v["rule"].alias("rule"), v["pattern"].alias("pattern"), "posting_id", "title").where("label IS NOT NULL")
+    bucket = ["label", "rule", "pattern"]  # a bucket per rule pattern: a small table
+    return rows.join(rows.groupBy(bucket).agg(F.count("*").alias("n")), bucket).select(*bucket, "n", "posting_id", "title")
 
 
 def audit_summary(judged: DataFrame) -> DataFrame:

@@ -56,6 +56,10 @@ p AS (
       WHEN l_partkey % 4 = 0 THEN 'gh:sup' || l_suppkey || ':' || (l_partkey % 200)
       WHEN l_partkey % 4 = 1 THEN 'wd:sup' || l_suppkey || ':jr' || (l_partkey % 200 + 1000)
       ELSE 'url:careers.sup' || l_suppkey || '.com/job?job=' || (l_partkey % 200) END AS url_key,
+    CASE WHEN l_linenumber % 7 = 6 THEN 'https://www.linkedin.com/jobs/view/role-' || (l_orderkey + 100000)
+      WHEN l_partkey % 4 = 0 THEN 'https://boards.greenhouse.io/sup' || l_suppkey || '/jobs/' || (l_partkey % 200) || '?utm_source=src' || (l_linenumber % 7)
+      WHEN l_partkey % 4 = 1 THEN 'https://sup' || l_suppkey || '.wd' || (l_linenumber % 5 + 1) || '.myworkdayjobs.com/careers/job/x_JR-' || (l_partkey % 200 + 1000)
+      ELSE 'https://www.careers.sup' || l_suppkey || '.com/Job/?ref=feed' || l_linenumber || '&job=' || (l_partkey % 200) END AS apply_url,
     trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS company_norm,
     CASE l_partkey % 5 WHEN 0 THEN 'software engineer' WHEN 1 THEN 'data analyst' WHEN 2 THEN 'mechanical engineer co op'
       WHEN 3 THEN 'senior hardware engineer' ELSE 'marketing associate' END || ' ' || (l_partkey % 40) AS title_norm,

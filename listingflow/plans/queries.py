@@ -6,26 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.keys import url_key, with_keys, with_legacy_keys
+from ..functions.keys import with_keys, with_legacy_keys
 from ..operators import audit, digest, ledger, migrate, pages, rules
 from ..operators.cluster import cluster, first_wins, hard_components, strip_ambiguous, with_order
 from ..operators.components import checkpointed
-from ..sources.feeds import parse_cards
 from .postings import POSTINGS_SQL, postings_view, table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import query
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_keys(postings_view(spark, sf_dir))
@@ -49,7 +35,8 @@ c AS (SELECT n AS ord, min(m) AS root FROM r GROUP BY n)
 
 @query(_HARD + "SELECT root, count(*) AS n_members FROM c GROUP BY root")
 def hard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hard_components(with_order(_keyed(spark, sf_dir))).groupBy("root").agg(F.count("*").alias("n_members"))
+    keyed = checkpointed(with_order(_keyed(spark, sf_dir)).select("ord", "keys"))  # the keys are used several times
+    return hard_components(keyed).groupBy("root").agg(F.count("*").alias("n_members"))
 
 
 @query()
@@ -87,9 +74,17 @@ def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.audit_summary(rules.judge(postings_view(spark, sf_dir)))
 
 
-@query()
+_PATTERN = {word: next(p for p in rules.RULES["maybe_title"] if word in p) for word in ("mechanical", "marketing", "hardware")}
+
+
+@query(
+    _JUDGED
+    + f""", b AS (SELECT CASE WHEN rescued THEN 'SAVED' ELSE 'MAYBE' END AS label, rule, CASE off WHEN 'mechanical' THEN '{_PATTERN["mechanical"]}' WHEN 'marketing' THEN '{_PATTERN["marketing"]}'
+  WHEN 'hardware' THEN '{_PATTERN["hardware"]}' ELSE category END AS pattern, posting_id, title FROM v WHERE rescued OR action = 'maybe')
+SELECT *, count(*) OVER (PARTITION BY label, rule, pattern) AS n FROM b"""
+)
 def filter_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.filter_audit(rules.judge(postings_view(spark, sf_dir))).select("label", "rule", "pattern", "n", F.array_join("titles", "; ").alias("titles"))
+    return rules.filter_audit(rules.judge(postings_view(spark, sf_dir)))
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT source, count(*) FILTER (level = 'intern') AS kept, count(*) FILTER (level <> 'intern') AS dropped FROM p GROUP BY source UNION ALL SELECT 'src9', 0, 0")
@@ -117,7 +112,7 @@ _SEEN = "seen AS (SELECT DISTINCT url_key AS key FROM k WHERE posting_id % 3 = 0
 
 @query(f"WITH {POSTINGS_SQL}, {_SEEN}, hit AS (SELECT posting_id FROM k WHERE url_key IN (SELECT key FROM seen)) SELECT posting_id, url_key FROM k WHERE posting_id NOT IN (SELECT posting_id FROM hit)")
 def new_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _keyed(spark, sf_dir)
+    k = checkpointed(_keyed(spark, sf_dir).select("posting_id", "url_key", "keys"))
     seen = k.where("posting_id % 3 = 0").select(F.col("url_key").alias("key")).distinct()
     return ledger.new_only(k.withColumn("cluster_id", F.col("posting_id")), seen).select("posting_id", "url_key")
 
@@ -127,7 +122,7 @@ n AS (SELECT regexp_extract(key, '^(id:[^|]*\\|[^|]*\\|)', 1) AS pre, min(key) A
 SELECT DISTINCT k.url_key || '~' || k.identity_key AS query_id, CASE WHEN a.key IS NOT NULL THEN 2 WHEN s.key IS NOT NULL OR near IS NOT NULL THEN 1 ELSE 0 END AS status, coalesce(a.key, s.key, near) AS key
 FROM k LEFT JOIN a ON k.url_key = a.key LEFT JOIN s ON k.identity_key = s.key LEFT JOIN n ON n.pre = 'id:' || company_norm || '|' || title_norm || '|'""")
 def lookup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _keyed(spark, sf_dir)
+    k = checkpointed(_keyed(spark, sf_dir).select("posting_id", "url_key", "identity_key", "id_prefix", "keys"))
     applied = k.where("posting_id % 5 = 0").select(F.col("url_key").alias("key")).distinct()
     seen = k.where("posting_id % 3 = 0").select(F.col("identity_key").alias("key")).distinct()
     asked = k.select(F.concat_ws("~", "url_key", "identity_key").alias("query_id"), "keys", "id_prefix").dropDuplicates(["query_id"])
@@ -204,14 +199,17 @@ def digest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.batch(ranked).select("digest_id", "posting_id", "rank", "batch_no")
 
 
-_PACK = _JUDGED + """, d AS (SELECT digest_id, posting_id, row_number() OVER (PARTITION BY digest_id ORDER BY action = 'maybe', indirect, lower(company), lower(title), pos) AS rank,
+_PACK = _JUDGED + """, d AS (SELECT *, row_number() OVER (PARTITION BY digest_id ORDER BY action = 'maybe', indirect, lower(company), lower(title), pos, apply_url, season, location) AS rank,
   400 + length(company) + length(title) AS size FROM v),
-t AS (SELECT *, count(*) OVER (PARTITION BY digest_id) AS n, sum(size) OVER (PARTITION BY digest_id) AS total FROM d),
-q AS (SELECT *, CAST(greatest(ceil((total + 2000) / 92000.0), 1) AS BIGINT) AS least FROM t),
-tried AS (SELECT q.*, least + g.i AS parts FROM q, range(0, 9) g(i)),
-s AS (SELECT digest_id, parts, CAST(floor((rank - 1) / ceil(n / CAST(parts AS DOUBLE))) AS BIGINT) AS part, sum(size) + 2000 AS bytes FROM tried GROUP BY ALL),
+t AS (SELECT digest_id, count(*) AS n, sum(size) AS total, CAST(greatest(ceil((sum(size) + 2000) / 92000.0), 1) AS BIGINT) AS least FROM d GROUP BY digest_id),
+tried AS (SELECT digest_id, n, unnest(generate_series(least, least + 8)) AS parts FROM t),
+r AS (SELECT digest_id, rank, sum(size) OVER (PARTITION BY digest_id ORDER BY rank) AS upto FROM d),
+cut AS (SELECT digest_id, n, parts, CAST(ceil(n / CAST(parts AS DOUBLE)) AS BIGINT) AS step, unnest(generate_series(1, parts)) AS k FROM tried),
+s AS (SELECT cut.digest_id, cut.parts, coalesce(e.upto, 0) - coalesce(b.upto, 0) + 2000 AS bytes FROM cut
+  LEFT JOIN r e ON e.digest_id = cut.digest_id AND e.rank = least(k * step, n) LEFT JOIN r b ON b.digest_id = cut.digest_id AND b.rank = (k - 1) * step WHERE (k - 1) * step < n),
 m AS (SELECT digest_id, parts, max(bytes) AS most FROM s GROUP BY ALL),
-c AS (SELECT digest_id, coalesce(min(parts) FILTER (most <= 92000), max(parts)) AS parts FROM m GROUP BY digest_id)
+c AS (SELECT digest_id, coalesce(min(parts) FILTER (most <= 92000), max(parts)) AS parts FROM m GROUP BY digest_id),
+q AS (SELECT d.*, t.n FROM d JOIN t ON d.digest_id = t.digest_id)
 """
 
 
@@ -222,11 +220,24 @@ def digest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.pack(entries).select("digest_id", "posting_id", "rank", "part_no")
 
 
-@query()
+@query(
+    _PACK
+    + """, e AS (SELECT q.digest_id, q.rank, CAST(floor((q.rank - 1) / ceil(q.n / CAST(c.parts AS DOUBLE))) + 1 AS INTEGER) AS part_no, q.source, q.company, q.title, q.season, q.location,
+  CASE WHEN q.action = 'maybe' THEN q.rule ELSE '' END AS note, CASE WHEN q.action = 'maybe' THEN 3 WHEN q.indirect THEN 2 ELSE 1 END AS section, q.apply_url FROM q JOIN c ON q.digest_id = c.digest_id),
+g AS (SELECT digest_id, part_no, section, lower(company) AS lc, lower(title) AS lt, lower(season) AS ls, source, count(*) AS n, min(rank) AS rank, arg_min(company, rank) AS company, arg_min(title, rank) AS title,
+  arg_min(season, rank) AS season, arg_min(note, rank) AS note, arg_min(location, rank) AS place,
+  string_agg(CASE WHEN 1 < (SELECT count(*) FROM e f WHERE f.digest_id = e.digest_id AND f.part_no = e.part_no AND f.section = e.section AND lower(f.company) = lower(e.company)
+    AND lower(f.title) = lower(e.title) AND lower(f.season) = lower(e.season) AND f.source = e.source) THEN '  [' || location || '] ' ELSE '  ' END || apply_url, chr(10) ORDER BY rank) AS lines FROM e GROUP BY 1, 2, 3, 4, 5, 6, 7),
+b AS (SELECT digest_id, part_no, section, lc, lt, rank, n, company || ' - ' || title || chr(10) || '  ' || place || ' | ' || season || CASE WHEN note <> '' THEN chr(10) || '  filtered: ' || note ELSE '' END || chr(10) || lines AS text FROM g),
+w AS (SELECT digest_id, part_no, section, '== ' || CASE section WHEN 1 THEN 'Direct Apply' WHEN 2 THEN 'LinkedIn (opens on LinkedIn)' ELSE 'Maybe (off-domain or restricted -- review)' END || ' (' || sum(n) || ') ==' || chr(10) || chr(10)
+  || string_agg(text, chr(10) || chr(10) ORDER BY lc, lt, rank) AS text FROM b GROUP BY 1, 2, 3),
+z AS (SELECT digest_id, part_no, string_agg(text, chr(10) || chr(10) ORDER BY section) AS body FROM w GROUP BY 1, 2)
+SELECT digest_id, part_no, CAST(strlen(body) AS INTEGER) AS bytes, md5(body) AS body_md5 FROM z"""
+)
 def digest_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = digest.order_digest(rules.tag(postings_view(spark, sf_dir)).withColumn("ord", F.col("pos")))
+    ranked = digest.order_digest(rules.tag(postings_view(spark, sf_dir)).withColumn("ord", F.struct("pos", "apply_url", "season", "location")))
     parts = digest.pack(ranked.select("digest_id", "posting_id", "rank", (F.octet_length("company") + F.octet_length("title") + 400).alias("size")))
-    rows = ranked.drop("rank").join(parts, ["digest_id", "posting_id"])
+    rows = ranked.join(parts.drop("posting_id"), ["digest_id", "rank"]).withColumn("salary", F.lit("-"))
     return digest.render_text(rows).select("digest_id", "part_no", F.octet_length("body").alias("bytes"), F.md5("body").alias("body_md5"))
 
 
@@ -260,12 +271,22 @@ def merged_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.merge_frames(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), "conv_id", "turn")
 
 
-@query()
+def _found(text: str, alias: str, exact: bool) -> str:
+    pattern = pages.alias_pattern(alias, exact).replace("'", "''")
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+_KEYWORDS = "\nUNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS name, '{category}' AS category, {' + '.join(_found('text', a, exact) for a in aliases)} AS n FROM documents" for name, category, aliases, exact in pages.TERMS
+)
+
+
+@query(f"SELECT doc_id, name, category, n FROM ({_KEYWORDS}) WHERE n > 0")
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.keyword_counts(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"SELECT name, category, sum(n) AS n FROM ({_KEYWORDS}) WHERE n > 0 GROUP BY 1, 2")
 def keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.rank_keywords(pages.keyword_counts(table(spark, sf_dir, "documents")))
 
@@ -275,22 +296,38 @@ def page_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.detect_job_pages(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, len(string_split(html, '<li>')) - 1 >= 0 AS has_cards, CASE WHEN url IS NULL THEN '' ELSE regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') END AS host FROM pages")
-def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    host = F.regexp_extract(url_key("url"), "^url:([^/?]*)", 1)
-    return p.select("page_id", (F.size(F.split("html", "<li>")) >= 1).alias("has_cards"), host.alias("host"))
+_LEGACY = f"""WITH {POSTINGS_SQL},
+l AS (SELECT posting_id, url_key, identity_key, posting_uuid, CASE WHEN url_key LIKE 'wd:%' THEN 'wd:' || split_part(url_key, ':', 3) WHEN url_key LIKE 'url:%' THEN split_part(url_key, '?', 1) ELSE url_key END AS old_url,
+  'id:' || company_norm || '|' || title_norm || '|' || regexp_replace(lower(location), '[^a-z0-9]+', ' ', 'g') AS old_id FROM k),
+old AS (SELECT posting_id, url_key AS cluster_id, unnest([old_url, old_id, 'sj:' || posting_uuid]) AS key FROM l),
+h AS (SELECT DISTINCT cluster_id, key FROM old WHERE key <> 'sj:'),
+s AS (SELECT DISTINCT key FROM old WHERE posting_id % 3 = 0 AND key <> 'sj:'),
+n AS (SELECT key, count(*) AS n FROM h GROUP BY key),
+now AS (SELECT DISTINCT url_key AS cluster_id, unnest([url_key, identity_key, 'sj:' || posting_uuid]) AS key FROM l),
+kept AS (SELECT * FROM now WHERE key <> 'sj:'),
+w AS (SELECT DISTINCT kept.key FROM s JOIN n ON s.key = n.key AND n = 1 JOIN h ON h.key = s.key JOIN kept ON kept.cluster_id = h.cluster_id WHERE kept.key NOT IN (SELECT key FROM s)),
+c AS (SELECT DISTINCT url_key AS cluster_id FROM l),
+b AS (SELECT count(*) AS new_before FROM c WHERE cluster_id NOT IN (SELECT cluster_id FROM kept WHERE key IN (SELECT key FROM s))),
+a AS (SELECT count(*) AS new_after FROM c WHERE cluster_id NOT IN (SELECT cluster_id FROM kept WHERE key IN (SELECT key FROM s UNION SELECT key FROM w)))
+"""
 
 
-@query()
-def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_cards(table(spark, sf_dir, "pages"), "page_id")
+def _migrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = checkpointed(with_legacy_keys(_keyed(spark, sf_dir)).select("posting_id", "url_key", "keys", "legacy_keys"))
 
+    def held(column: str) -> DataFrame:
+        rows = k.select(F.col("url_key").alias("cluster_id"), F.explode(column).alias("key")).distinct()  # copies of a key go before they are gathered
+        return rows.groupBy("cluster_id").agg(F.collect_set("key").alias(column))
 
-@query()
-def key_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = checkpointed(with_legacy_keys(_keyed(spark, sf_dir)))
-    clusters = k.groupBy(F.col("url_key").alias("cluster_id")).agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-    legacy = k.select(F.col("url_key").alias("cluster_id"), "legacy_keys")
     seen = k.where("posting_id % 3 = 0").select(F.explode("legacy_keys").alias("key")).distinct().withColumn("first_seen", F.lit("2026-01-01T00:00:00"))
-    return migrate.migrate(seen, clusters, legacy)[1]
+    return migrate.migrate(seen, held("keys"), held("legacy_keys"))
+
+
+@query(_LEGACY + """SELECT (SELECT count(*) FROM w) AS written, (SELECT count(*) FROM s JOIN n ON s.key = n.key WHERE n > 1) AS poisoned, new_before, new_after, greatest(new_after - new_before, 0) AS resends FROM a, b""")
+def key_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _migrated(spark, sf_dir)[1]
+
+
+@query(_LEGACY + "SELECT s.key, n FROM s JOIN n ON s.key = n.key WHERE n > 1 ORDER BY n DESC, s.key LIMIT 10")
+def poisoned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return migrate.worst_keys(_migrated(spark, sf_dir)[2])
