@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import in_chunks, spread, texts_of
-from .units import UnitEncoder
+from .units import Recent, UnitEncoder
 
 
 class PerfectHash:
@@ -61,45 +61,56 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else -1
 
 
+class Pairs(dict):
+    """The rank of two tokens joined, by their ids, or -1; asked of the perfect hash once, as long as it is remembered."""
+
+    def __init__(self, rank: PerfectHash, token: dict[int, bytes], most: int = 300_000):
+        self.rank, self.token, self.most = rank, token, most
+
+    def __missing__(self, pair: int) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        r = self[pair] = self.rank.get(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF])
+        return r
+
+
 class Merger:
     """Joins the bytes of a pre-token: the pair of lowest rank, the leftmost of equals, until no pair has a rank."""
 
     def __init__(self, rank: PerfectHash, token: dict[int, bytes]):
-        self.rank, self.token = rank, token
         self.byte = [rank.get(bytes([b])) for b in range(256)]
-        self.pairs: dict[int, int] = {}
-
-    def joined(self, a: int, b: int) -> int:
-        """The id, and so the rank, of two tokens joined, or -1; asked of the perfect hash once."""
-        key = a << 32 | b
-        if (r := self.pairs.get(key)) is None:
-            if len(self.pairs) > 300_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.rank.get(self.token[a] + self.token[b])
-        return r
+        self.pairs = Pairs(rank, token)
 
     def __call__(self, piece: bytes) -> list[int]:
-        ids = [self.byte[b] for b in piece]
-        n, joined, known = len(ids), self.joined, self.pairs.get
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := known(ids[i] << 32 | ids[i + 1])) is None:
-                r = joined(ids[i], ids[i + 1])
-            if r >= 0:
-                heap.append((r, i, ids[i], ids[i + 1]))
+        ids, rank_of, push = list(map(self.byte.__getitem__, piece)), self.pairs.__getitem__, heapq.heappush
+        pop = heapq.heappop
+        n = len(ids)
+        ranks = [rank_of(a << 32 | b) for a, b in zip(ids, ids[1:])]  # of the pair that begins at each place
+        bits = 12 if n < 1 << 12 else 40  # a heap entry is rank and place in one number, a small one for all but the longest
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(ranks) if r >= 0]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        ranks.append(-1)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 2))
         while heap:
-            r, i, a, b = heapq.heappop(heap)
-            if ids[i] != a or (j := after[i]) >= n or ids[j] != b:
+            e = pop(heap)
+            r, i = e >> bits, e & low
+            if ranks[i] != r:
                 continue  # one of the two was joined meanwhile
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if (k := after[i]) < n:
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j], ranks[i], ranks[j] = r, -1, -1, -1
+            if k < n:
                 before[k] = i
-                if (s := joined(r, ids[k])) >= 0:
-                    heapq.heappush(heap, (s, i, r, ids[k]))
-            if (k := before[i]) >= 0 and (s := joined(ids[k], r)) >= 0:
-                heapq.heappush(heap, (s, k, ids[k], r))
+                if (s := rank_of(r << 32 | ids[k])) >= 0:
+                    ranks[i] = s
+                    push(heap, s << bits | i)
+            if (k := before[i]) >= 0:
+                s = ranks[k] = rank_of(ids[k] << 32 | r)
+                if s >= 0:
+                    push(heap, s << bits | k)
         return [i for i in ids if i >= 0]
 
 
@@ -115,7 +126,7 @@ class Codec:
         self.rank = PerfectHash(tokens, ids)
         self.merge = Merger(self.rank, dict(zip(ids, tokens)))
         self.matches = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent(self.encode_word)
         length = np.zeros(max(ids) + 1, np.int64)
         length[ids] = [len(t) for t in tokens]
         self.length, self.begin = length, np.concatenate([[0], np.cumsum(length)])[:-1]
@@ -126,15 +137,14 @@ class Codec:
     def encode_part(self, part: str) -> list[int]:
         out = []
         for word in self.matches(part):
-            if (ids := self.known.get(word)) is None:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                piece = word.encode()
-                whole = self.rank.get(piece)
-                ids = self.known[word] = [whole] if whole >= 0 else self.merge(piece)
-            out += ids
+            out += self.known[word]
         return out
 
+    def encode_word(self, word: str) -> list[int]:
+        piece = word.encode()
+        whole = self.rank.get(piece)
+        return [whole] if whole >= 0 else self.merge(piece)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encoder(texts)
 

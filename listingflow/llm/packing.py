@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import in_chunks, spread, texts_of
-from .units import UnitEncoder
+from .units import Recent, UnitEncoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -33,7 +33,7 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
         from tokenizers import Tokenizer
 
         tokenize, matches = Tokenizer.from_file(path).model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
-        known: dict[str, list[int]] = {}
+        known = Recent(lambda word: [t.id for t in tokenize(charmap_decode(word.encode(), "strict", _AS_LETTERS)[0])])
 
         def encode(part: str) -> list[int]:
             word = part.rstrip(",.!")
@@ -43,11 +43,7 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
                 words = matches(part)
             out = []
             for word in words:
-                if (ids := known.get(word)) is None:
-                    if len(known) > 100_000:
-                        known.clear()
-                    ids = known[word] = [t.id for t in tokenize(charmap_decode(word.encode(), "strict", _AS_LETTERS)[0])]
-                out += ids
+                out += known[word]
             return out
 
         _encoders[path] = UnitEncoder(encode)

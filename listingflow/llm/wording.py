@@ -42,9 +42,7 @@ _BLOCK = 1 << 13  # words hashed at a time
 _TOGETHER = 1 << 20  # text bytes looked at together
 
 
-def _of_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from each start on, eight at a time; 8 more bytes follow the last word."""
-
+def _of_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     def chunk(at: np.ndarray, left: np.ndarray) -> np.ndarray:
         return data[at[:, None] + np.arange(8)].view("<u8").ravel() & _MASK[np.minimum(left, 8)]
 
@@ -57,6 +55,24 @@ def _of_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the `size` bytes from each start on, eight at a time; 8 more bytes follow the last."""
+    out = np.empty(len(start), np.uint64)
+    for k in range(0, len(start), _BLOCK):
+        out[k : k + _BLOCK] = _of_spans(data, start[k : k + _BLOCK], size[k : k + _BLOCK])
+    return out
+
+
+def equal_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all spans of x from a on equal those of y from b on, byte by byte."""
+    for k in range(0, len(a), _BLOCK):
+        n = size[k : k + _BLOCK]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(x[np.repeat(a[k : k + _BLOCK], n) + step], y[np.repeat(b[k : k + _BLOCK], n) + step]):
+            return False
+    return True
+
+
 def hashed_words(texts: list[bytes]) -> list[np.ndarray]:
     """64-bit hashes of the words of each text: of each word's own bytes, eight at a time."""
     out: list[np.ndarray] = []
@@ -71,9 +87,7 @@ def hashed_words(texts: list[bytes]) -> list[np.ndarray]:
         inside = _IN_WORD[data]
         edge = np.flatnonzero(np.diff(inside, prepend=False))  # starts and ends in turn
         start, size = edge[::2], edge[1::2] - edge[::2]
-        hashes = np.empty(len(start), np.uint64)
-        for k in range(0, len(start), _BLOCK):
-            hashes[k : k + _BLOCK] = _of_words(data, start[k : k + _BLOCK], size[k : k + _BLOCK])
+        hashes = span_hashes(data, start, size)
         first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in some)]))
         out += [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
     return out
