@@ -101,12 +101,12 @@ class UnitEncoder:
         index = np.fromiter((self.known.get(x, -1) for x in listed), np.int64, len(listed))
         new, old = np.flatnonzero(index < 0), np.flatnonzero(index >= 0)
         lead, held = where[old], index[old]
-        if not (
-            np.array_equal(size, size[where][back])
-            and equal_spans(data, a, data, a[where][back], size)
-            and np.array_equal(size[lead], self.places[held + 1] - self.places[held])
-            and equal_spans(data, a[lead], self.bytes, self.places[held], size[lead])
-        ):
+        if not np.array_equal(size, size[where][back]) or not np.array_equal(size[lead], self.places[held + 1] - self.places[held]):
+            return None
+        # of one size, up to eight bytes have a hash of their own; more are compared
+        long, long_lead = np.flatnonzero(size > 8), np.flatnonzero(size[lead] > 8)
+        first, lead, held = a[where][back][long], lead[long_lead], held[long_lead]
+        if not equal_spans(data, a[long], data, first, size[long]) or not equal_spans(data, a[lead], self.bytes, self.places[held], size[lead]):
             return None
         if len(new):
             index[new] = len(self.known) + np.arange(len(new))

@@ -238,6 +238,18 @@ def test_texts_that_linear_hashes_confuse(spark):
     assert [r["n_removed"] for r in substring_dedup.dedup_passages(two).collect()] == [0, 0]
 
 
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    from listingflow.llm import units
+
+    texts = ["one more time", "two more times and longerwordsthaneight", "", "one  run", "longerwordsthaneighT\nmore"] * 3
+    want = [[ord(c) for c in t] for t in texts]
+    plain = units.UnitEncoder(lambda part: list(map(ord, part)))
+    for encoder in (plain, plain):
+        assert [x.tolist() for x in encoder(texts)] == want
+    monkeypatch.setattr(units, "span_hashes", lambda data, start, size: size.astype(np.uint64) % np.uint64(3))
+    assert [x.tolist() for x in units.UnitEncoder(lambda part: list(map(ord, part)))(texts)] == want
+
+
 def test_edit_distance_equals_the_table_method():
     def edits(a, b):
         row = list(range(len(b) + 1))
