@@ -23,6 +23,8 @@ SAMPLES, EACH, SHINGLE = 32, 4, 5
 #: 4 / 10 at least (four shingles of five): 24 samples miss with 3e-8, and 5e-6 at most, however often lines repeat.
 SET_SAMPLES, SET_EACH = 24, 3
 _SEEDS = np.random.default_rng(13).integers(0, 2**63, SAMPLES).astype(np.uint64)
+#: Keeps rounding from tightening a bound.
+_SLACK = 1e-6
 _SET_SEEDS = np.random.default_rng(17).integers(0, 2**63, SET_SAMPLES).astype(np.uint64)
 
 
@@ -224,6 +226,42 @@ def added_shingles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_texts(pairs, texts).mapInArrow(run, "a long, b long, shingle long")
 
 
+def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, shingle): the distinct shingles of the text of each node x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, size=1 << 20):
+            each = [np.unique(shingles(w)) for w in hashed_words([t.encode() for t in texts_of(batch)])]
+            x = np.repeat(batch.column(0).to_numpy(), [len(e) for e in each])
+            yield pa.RecordBatch.from_pydict({"x": x, "shingle": np.concatenate(each).view(np.int64)})
+
+    rows = nodes.select("x").join(texts.select(F.col("node").alias("x"), "text"), "x").select("x", "text")
+    return rows.mapInArrow(run, "x long, shingle long")
+
+
+def within_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that may be near, of texts that each have at least `least` of their shingles in a hub's text.
+
+    Of these only texts outside a hub's class matter, and those of its class whose size lets them be near
+    one outside. A near pair shares one among the rarest n - ceil(least * n) + 1 shingles of both, and after the
+    first that they share both have enough left for the rest.
+    """
+    lie = star.where(F.col("common") >= least * F.col("n") - _SLACK)
+    sizes = lie.where("NOT inside").groupBy("hub").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    lie = lie.join(sizes, "hub").where((F.col("n") >= least * F.col("low") - _SLACK) & (least * F.col("n") <= F.col("high") + _SLACK))
+    nodes = checkpointed(lie.groupBy("x").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.min("inside").alias("inside")))
+    each = checkpointed(own_shingles(nodes, texts))
+    counted = each.join(each.groupBy("shingle").agg(F.count("*").alias("often")), "shingle")
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("often", "shingle")))
+    prefix = ranked.join(nodes, "x").where((F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - _SLACK) + 1) & (F.col("often") > 1))
+    prefix = checkpointed(prefix.select("x", "shingle", "rank", "n", "class", "inside"))
+    other = prefix.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("x", "rank", "n", "class", "inside")))
+    left = F.least(F.col("n") - F.col("rank"), F.col("y_n") - F.col("y_rank")) + 1
+    near = left >= least / (1 + least) * (F.col("n") + F.col("y_n")) - _SLACK
+    differ = (F.col("x") < F.col("y_x")) & (F.col("class") != F.col("y_class")) & ~(F.col("inside") & F.col("y_inside"))
+    return prefix.join(other, "shingle").where(differ & near).select(F.col("x").alias("a"), F.col("y_x").alias("b"))
+
+
 def beyond_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that may be near though one of them is not in its hub's class, without holding all
     such pairs against each other.
@@ -231,16 +269,13 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     `star` has hub, x, n (of x), common (with the hub), inside (x is in the hub's class) and class. Let a
     link need s = least / (1 + least) * (n_x + n_y) common shingles. Of these at most
     min(common_x, common_y) lie in the hub's text. So x and y either satisfy s <= min(common_x, common_y),
-    which a join on sizes finds, or share a shingle that the hub lacks. A text outside the hub's class
-    needs k = least * n_x - common_x of those at least, and so shares one among all but its k - 1 most
+    and so lie within the hub's text as within_hub() says, or share a shingle that the hub lacks. A text outside the
+    hub's class needs k = least * n_x - common_x of those at least, and so shares one among all but its k - 1 most
     frequent ones: a prefix filter by rarity among the hub's members.
     """
-    ratio = least / (1 + least)
     open_ = star.where("NOT inside").select("hub").distinct()
     here = checkpointed(star.join(open_, "hub"))
-    y = here.select("hub", F.col("x").alias("y"), F.col("n").alias("yn"), F.col("common").alias("yc"), F.col("inside").alias("yi"), F.col("class").alias("yk"))
     differ = (F.col("class") != F.col("yk")) & ~F.col("inside") & (F.col("yi") | (F.col("x") < F.col("y"))) & (F.least("n", "yn") >= least * F.greatest("n", "yn"))
-    by_size = here.alias("h").join(y.withColumnRenamed("hub", "g"), (F.col("hub") == F.col("g")) & differ & (ratio * (F.col("n") + F.col("yn")) <= F.least("common", "yc")))
 
     extra = added_shingles(here.select(F.col("hub").alias("a"), F.col("x").alias("b")), texts).select(F.col("a").alias("hub"), F.col("b").alias("x"), "shingle")
     counted = checkpointed(extra.join(extra.groupBy("hub", "shingle").agg(F.count("*").alias("often")), ["hub", "shingle"]))
@@ -251,8 +286,8 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     prefix = checkpointed(prefix.select("hub", "x", "shingle", "n", "common", "inside", "class"))
     other = prefix.select(F.col("hub").alias("g"), F.col("shingle").alias("z"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("inside").alias("yi"), F.col("class").alias("yk"))
     by_shingle = prefix.join(other, (F.col("hub") == F.col("g")) & (F.col("shingle") == F.col("z")) & differ)
-    both = by_size.select("x", "y").union(by_shingle.select("x", "y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = within_hub(here, texts, least).union(by_shingle.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return both.distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:

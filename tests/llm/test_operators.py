@@ -154,6 +154,27 @@ def test_near_duplicates_with_a_line_repeated(spark):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
 
 
+def test_near_duplicates_that_lie_within_one_text(spark):
+    rng = np.random.default_rng(3)
+    whole = [f"w{k}" for k in rng.integers(0, 4000, 900)]
+    rows = [whole]
+    for at in (np.repeat([0, 120, 240, 360, 480], 8) + rng.integers(0, 16, 40)).tolist():  # parts of the whole, near those of their own kind but not the whole
+        rows.append(whole[at : at + 400])
+        rows.append(whole[at + 12 : at + 400] + ["other"])
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], DOCS)).collect()}
+    words = [order_minhash.hashed_words([" ".join(t).encode()])[0] for t in rows]
+    sets = [np.unique(order_minhash.shingles(w)) for w in words]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            n = order_minhash.common_shingles(sets[i], sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) and order_minhash.aligned(words[i], words[j], 0.8):
+                a, b = sorted((want[i], want[j]))
+                want = [a if c == b else c for c in want]
+    assert got == dict(enumerate(want))
+    assert len(set(want)) == 6
+
+
 def test_sharding(docs, empty):
     assert sharding.assign_shards(empty).count() == 0
     rows = sharding.assign_shards(docs, 4).collect()
