@@ -84,4 +84,37 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RUNS = """
+hits AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM marked),
+numbered AS (SELECT r, i, sum(CASE WHEN i - before <= {size} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hits),
+runs AS (SELECT r, min(i) AS a, max(i) + {size} AS b FROM numbered GROUP BY r, run),
+cuts AS (SELECT r, a, b FROM runs UNION ALL SELECT r, n AS a, n AS b FROM d),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS a, a AS b FROM cuts),
+gone AS (SELECT r, sum(b - a) AS n, count(*) AS runs FROM runs GROUP BY r)
+"""
+
+_PASSAGES = r"""
+WITH d AS (SELECT *, len(w) AS n FROM (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents)),
+windows AS (SELECT r, unnest(range(0, n - 34)) AS i, unnest(list_transform(range(0, n - 34), lambda k: md5_number(array_to_string(w[k + 1 : k + 35], ' ')))) AS h FROM d WHERE n >= 35),
+marked AS (SELECT r, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+""" + _RUNS.format(size=35) + """,
+kept AS (SELECT r, string_agg(array_to_string(w[gaps.a + 1 : gaps.b], ' '), ' ' ORDER BY gaps.a) AS t FROM gaps JOIN d USING (r) WHERE gaps.b > gaps.a GROUP BY r)
+SELECT doc_id, d.n AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+_BYTES = """
+WITH d AS (SELECT *, strlen(x) // 2 AS n FROM (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)),
+starts AS (SELECT *, unnest(range(0, n - 49, 200)) AS o FROM d WHERE n >= 50),
+parts AS (SELECT r, doc_id, o, substr(x, 2 * o + 1, 498) AS y FROM starts),
+windows AS (SELECT r, doc_id, o + unnest(range(0, strlen(y) // 2 - 49)) AS i, unnest(list_transform(range(0, strlen(y) // 2 - 49), lambda k: md5_number(substr(y, 2 * k + 1, 100)))) AS h FROM parts),
+least AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT r, i FROM windows JOIN least USING (h) WHERE first < doc_id),
+""" + _RUNS.format(size=50) + """,
+kept AS (SELECT r, string_agg(substr(x, 2 * gaps.a + 1, 2 * (gaps.b - gaps.a)), '' ORDER BY gaps.a) AS t FROM gaps JOIN d USING (r) WHERE gaps.b > gaps.a GROUP BY r)
+SELECT doc_id, d.n AS n_bytes, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, coalesce(gone.runs, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": _PASSAGES, "op8_suffix_dedup": _BYTES}

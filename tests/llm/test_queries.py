@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -298,3 +299,12 @@ def test_pipeline_runs_on_whole_tables(spark, texts):
     rows = corpus_pipeline.run(spark, SF).select("doc_id", "length", "sequence_id").collect()
     assert rows and {r["doc_id"] for r in rows} <= set(texts)
     assert {i for i, t in texts.items() if len(WORD.findall(t)) < 50}.isdisjoint(r["doc_id"] for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, name):
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        want = db.execute(queries.ORACLE_SQL[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(columns).collect())) == sorted(want.fetchall())
