@@ -9,6 +9,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
@@ -117,17 +118,27 @@ def many_of(t: Text, terms: frozenset[str]) -> bool:
     return n >= 2 and 500 * n >= t.n_words
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, data) of rows (doc_id, text, lang): each whole text by zstd, null as empty."""
+    zstd = zstandard.ZstdCompressor(level=1)
+    for batch in in_chunks(batches):
+        data = [zstd.compress(x.encode()) for x in texts_of(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], names=["doc_id", "lang", "data"])
+
+
 def toxic_terms(docs: DataFrame, labels: DataFrame, least: int = 3, most: int = 4096) -> dict[str, frozenset[str]]:
     """Terms by language that labels (doc_id, toxic) show to be toxic: in `least` toxic documents (doc_id, text, lang)
     or more, and in 20 times as many toxic as clean ones; `most` of them in all, those of most toxic documents."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).join(known, "doc_id").select("text", "lang", "toxic")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    # Labels grow with the documents, so both sides are shuffled at any size; texts go compressed.
+    rows = texts.mapInArrow(_compressed, "doc_id long, lang string, data binary").join(known.hint("merge"), "doc_id").select("data", "lang", "toxic")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, "data", size=1 << 20):
             n: dict[tuple[str, str], list[int]] = {}
-            for text, lang, toxic in zip(texts_of(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for term in set(map(term_of, words_of(text))) - {""}:
+            for data, lang, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                for term in set(map(term_of, words_of(zstandard.decompress(data).decode()))) - {""}:
                     n.setdefault((lang, term), [0, 0])[toxic > 0] += 1
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in n], pa.string()), "term": pa.array([k[1] for k in n], pa.string()), "clean": pa.array([v[0] for v in n.values()], pa.int64()), "toxic": pa.array([v[1] for v in n.values()], pa.int64())})
 
