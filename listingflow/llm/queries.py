@@ -117,4 +117,41 @@ SELECT doc_id, d.n AS n_bytes, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed,
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": _PASSAGES, "op8_suffix_dedup": _BYTES}
+_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x{10000}-\x{10FFFF}]', '', 'g') AS low,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
+terms AS (SELECT r, doc_id, lang, unnest(list_transform(w, lambda x: lower(trim(x, '.,;:!?"''()')))) AS term FROM d),
+seen AS (SELECT DISTINCT r, lang, term, toxic > 0 AS bad FROM terms JOIN known USING (doc_id) WHERE term <> ''),
+counted AS (SELECT lang, term, count(*) FILTER (bad) AS bad, count(*) FILTER (NOT bad) AS clean FROM seen GROUP BY lang, term),
+toxic AS (SELECT lang, term FROM counted WHERE bad >= 3 AND bad >= 20 * clean ORDER BY bad DESC, lang, term LIMIT 4096),
+hits AS (SELECT r, count(*) AS hits FROM terms JOIN toxic USING (lang, term) GROUP BY r),
+windows AS (SELECT r, unnest(range(0, len(w) - 2)) AS i, unnest(list_transform(range(0, len(w) - 2), lambda k: array_to_string(w[k + 1 : k + 3], ' '))) AS g FROM d WHERE len(w) >= 3),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+again AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS o(k) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(again.n, 0) AS n_repeat_words,
+  length(regexp_replace(low, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(low, '[^\p{L}]', '', 'g')) AS letters, coalesce(hits, 0) AS hits
+  FROM d LEFT JOIN again USING (r) LEFT JOIN hits USING (r)),
+b AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > CAST(0.1 AS DOUBLE) * n_words OR word_chars > 20 * n_words OR upper > CAST(0.3 AS DOUBLE) * letters OR 2 * letters < word_chars
+    OR 2 * n_dup_lines > len(lines) OR (hits >= 2 AND 500 * hits >= n_words)) AS kept FROM b
+"""
+
+#: Slots are those of tables that have one run to a shard (2,000,000 rows at most).
+_SHARDS = """
+WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS x,
+  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS UHUGEINT) AS key FROM documents),
+e AS (SELECT r, doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM d, steps),
+jumps(r, n, key, shard, ahead) AS (SELECT r, n, key, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM d, (VALUES (40), (41)) AS v(n)
+  UNION ALL SELECT r, n, next, ahead, CAST(floor((ahead + 1) * (CAST(2147483648 AS DOUBLE) / CAST(next // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, (key * CAST(2862933555777941757 AS UHUGEINT) + 1) % CAST('18446744073709551616' AS UHUGEINT) AS next FROM jumps WHERE ahead < n)),
+s AS (SELECT r, CAST(max(shard) FILTER (n = 40) AS INTEGER) AS shard, CAST(max(shard) FILTER (n = 41) AS INTEGER) AS grown_shard FROM jumps GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM e JOIN s USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _RULES, "op3_substring_dedup": _PASSAGES, "op6_sharding": _SHARDS, "op8_suffix_dedup": _BYTES}
