@@ -50,7 +50,7 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings_view(spark, sf_dir)
     relevant = rules.tag(p)
     interns = relevant.where(rules.is_internship(F.col("title"), F.col("source")))
-    clusters, _, unusable = cluster(with_keys(interns))
+    clusters, _, unusable, _ = cluster(with_keys(interns))
     return audit.reconcile(p, relevant, interns, clusters, unusable)
 
 
