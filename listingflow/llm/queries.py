@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .centroid_clusters import cluster_vectors
 from .common import bucket_of, documents
 from .fingerprints import fingerprint_pairs
 from .lm_scoring import score_texts
 from .order_minhash import near_duplicates
 from .packing import pack
+from .personal_data import find_personal_data, listed
 from .quality_classifier import score_quality
 from .quality_rules import apply_rules, toxic_terms, with_terms
 from .sharding import assign_shards
 from .substring_dedup import dedup_passages
 from .suffix_dedup import dedup_bytes
+from .vector_codes import encode_vectors, with_label_errors
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +76,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("personal", lambda s: s["base"])
+    found = find_personal_data(documents(spark, sf_dir)).withColumn("base", base)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("personal")).alias("spans"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    entries = hashlib.sha256(",".join(map(str, codebooks.reshape(-1).tolist())).encode()).hexdigest()
+    return with_label_errors(coded).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(entries).alias("codebooks_sha256"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return clusters.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -82,6 +108,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_order_minhash": op9_order_minhash,
     "op10_fingerprints": op10_fingerprints,
+    "op11_personal_data": op11_personal_data,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 _RUNS = """
@@ -154,4 +183,97 @@ s AS (SELECT r, CAST(max(shard) FILTER (n = 40) AS INTEGER) AS shard, CAST(max(s
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM e JOIN s USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _RULES, "op3_substring_dedup": _PASSAGES, "op6_sharding": _SHARDS, "op8_suffix_dedup": _BYTES}
+_LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({d}[-i] AS INTEGER) WHEN CAST({d}[-i] AS INTEGER) > 4 THEN 2 * CAST({d}[-i] AS INTEGER) - 9 ELSE 2 * CAST({d}[-i] AS INTEGER) END)) % 10 = 0"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_CARD = f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN " + _LUHN.format(d=_DIGITS) + " ELSE false END"
+_ACCOUNT = """CASE WHEN length(replace(m, ' ', '')) BETWEEN 15 AND 34 THEN list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(m, 4), ''),
+  lambda c: CAST(ascii(c) AS BIGINT))), lambda n, c: CASE WHEN c < 58 THEN (10 * n + c - 48) % 97 ELSE (100 * n + c - 55) % 97 END) = 1 ELSE false END"""
+_APART = "NOT regexp_matches(first, '{x}') AND NOT regexp_matches(right(before, 1), '{x}')"
+_PHONE_NEAR = "regexp_matches(lower(before), 'phone|tel[.:]|call|mobile|cell|fax|telefon|handy|anruf|teléfono|llama|móvil|téléphone|portable|appel')"
+#: Step, rank, kind, pattern, test and test of context, as the operator's kinds have them; each step gives way to the steps before.
+_SPANS = (
+    (0, 0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    (0, 1, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0"),
+    (0, 2, "card", r"[0-9]([\x20-]?[0-9])+", _CARD),
+    (0, 3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    (1, 4, "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"{_APART.format(x='[A-Za-z0-9]')} AND {_ACCOUNT}"),
+    (1, 5, "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{_APART.format(x='[A-Za-z0-9]')} AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND regexp_matches(lower(before), 'ssn|social security|sozialversicherung|seguridad social|sécurité sociale')"),
+    (1, 2, "card", r"[0-9]{4}(?:[ -][0-9]{4}){3}", f"{_APART.format(x='[A-Za-z0-9]')} AND {_CARD}"),
+    (1, 3, "phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{3,4}){2}", _APART.format(x="[A-Za-z0-9]")),
+    (2, 3, "phone", r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", f"{_APART.format(x='[+0-9A-Za-z]')} AND {_PHONE_NEAR}"),
+)
+
+
+def _personal_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"""SELECT r, {step} AS step, {rank} AS rank, '{kind}' AS kind, a, a + length(m) AS b FROM (
+  SELECT r, m, right(g, 40) AS before, left(coalesce(next, ''), 1) AS first, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY k) - coalesce(length(m), 0) AS a FROM (
+    SELECT r, k, g, m, lead(g) OVER (PARTITION BY r ORDER BY k) AS next FROM (
+      SELECT r, unnest(range(1, len(gs) + 1)) AS k, unnest(gs) AS g, unnest(list_resize(ms, len(gs))) AS m FROM (SELECT r, string_split_regex(text, '{pattern}') AS gs, regexp_extract_all(text, '{pattern}') AS ms FROM d)))
+  ) WHERE m IS NOT NULL AND {test}"""
+        for step, rank, kind, pattern, test in _SPANS
+    )
+    clash = "NOT EXISTS (SELECT 1 FROM {t} o WHERE o.r = f.r AND o.rank = f.rank AND o.a < f.b AND f.a < o.b)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS MATERIALIZED ({parts}),
+base AS MATERIALIZED (SELECT * FROM found WHERE step = 0),
+one AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM found f WHERE step = 1 AND {clash.format(t='base')}),
+spans AS (SELECT * FROM one UNION ALL SELECT * FROM found f WHERE step = 2 AND {clash.format(t='one')}),
+told AS (SELECT r, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) AS spans, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (step = 0), '') AS base,
+  {", ".join(f"count(*) FILTER (step = 0 AND rank = {i}) AS n_{kind}" for i, kind in enumerate(("email", "ip", "card", "phone")))} FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)
+"""
+
+
+#: Exact floor of s / n.
+_MEAN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    kept = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = "".join(
+        f"""
+d{t} AS MATERIALIZED (SELECT r, p, arg_min(e, 100 * d + e) AS e, min(d) AS d FROM (SELECT r, p, e, sum((a.x - b.x) * (a.x - b.x)) AS d FROM c a JOIN b{t} b USING (p, i) GROUP BY r, p, e) GROUP BY r, p),"""
+        + (f"""
+b{t + 1} AS MATERIALIZED (SELECT p, e, i, coalesce({_MEAN}, x) AS x FROM b{t} LEFT JOIN (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM c JOIN d{t} USING (r, p) GROUP BY p, e, i) USING (p, e, i)),""" if t < rounds else "")
+        for t in range(rounds + 1)
+    )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding, len(embedding) // {parts} AS w FROM embeddings WHERE {kept}),
+c AS MATERIALIZED (SELECT r, i // w AS p, i % w AS i, x FROM (SELECT r, w, unnest(range(0, len(embedding))) AS i, unnest(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM v)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, x FROM c WHERE r <= {entries}),{steps}
+told AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM d{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN told USING (r), books
+"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    kept = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = "".join(
+        f"""
+d{t} AS MATERIALIZED (SELECT r, arg_min(j, 100 * d + j) AS j, min(d) AS d FROM (SELECT r, j, sum((a.x - b.x) * (a.x - b.x)) AS d FROM c a JOIN b{t} b USING (i) GROUP BY r, j) GROUP BY r),"""
+        + (f"""
+b{t + 1} AS MATERIALIZED (SELECT j, i, coalesce({_MEAN}, x) AS x FROM b{t} LEFT JOIN (SELECT j, i, sum(x) AS s, count(*) AS n FROM c JOIN d{t} USING (r) GROUP BY j, i) USING (j, i)),""" if t < rounds else "")
+        for t in range(rounds + 1)
+    )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, embedding) AS r, vec_id, embedding FROM embeddings WHERE {kept}),
+c AS MATERIALIZED (SELECT r, unnest(range(0, 64)) AS i, unnest(list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM v),
+b0 AS MATERIALIZED (SELECT r - 1 AS j, i, x FROM c WHERE r <= {k}),{steps}
+names AS (SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM b{rounds} GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM v JOIN d{rounds} USING (r) JOIN names USING (j)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": _RULES,
+    "op3_substring_dedup": _PASSAGES,
+    "op6_sharding": _SHARDS,
+    "op8_suffix_dedup": _BYTES,
+    "op11_personal_data": _personal_sql(),
+    "op12_vector_codes": _codes_sql(),
+    "op13_centroid_clusters": _clusters_sql(),
+}

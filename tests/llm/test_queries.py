@@ -304,7 +304,7 @@ def test_pipeline_runs_on_whole_tables(spark, texts):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, name):
     with duckdb.connect() as db:
-        for table in ("documents", "labels"):
+        for table in ("documents", "labels", "embeddings"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         want = db.execute(queries.ORACLE_SQL[name])
         columns = [c[0] for c in want.description]
