@@ -50,28 +50,59 @@ def _halved(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["digest_id", "posting_id", "rank", "part", "sub"]]
 
 
+#: Entries of a block whose sizes are summed up together.
+BLOCK = 4096
+
+
+def _bytes_of_parts(entries: DataFrame, limit: int, overhead: int, tries: int) -> tuple[DataFrame, DataFrame]:
+    """Totals of each digest (n, least), and the bytes of every part of every number of parts tried.
+
+    A part is a run of ranks, so its bytes are the sizes up to its end without those up to its start. Only these cut
+    points are looked up, not every entry for every number tried: a cut is put among the entries of its block, the
+    running sum there and the sums of the blocks before are the sizes up to it.
+    """
+    blocks = checkpointed(entries.groupBy("digest_id", "block").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    totals = blocks.groupBy("digest_id").agg(F.sum("n").alias("n"), F.greatest(F.ceil((F.sum("size") + overhead) / limit), F.lit(1)).cast("int").alias("least"))
+    before = Window.partitionBy("digest_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over a row per block
+    earlier = blocks.select("digest_id", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("earlier"))
+    tried = totals.withColumn("parts", F.explode(F.expr(f"sequence(least, least + {tries})"))).withColumn("step", F.ceil(F.col("n") / F.col("parts")).cast("long"))
+    cuts = tried.withColumn("part", F.explode(F.expr("sequence(1, int(ceil(n / step)))"))).withColumn("rank", F.least(F.col("part") * F.col("step"), "n").cast("long"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("parts", "part")]
+    cuts = cuts.select("digest_id", F.floor((F.col("rank") - 1) / BLOCK).cast("long").alias("block"), "rank", F.lit(0).cast("long").alias("size"), "parts", "part", "n", "step")
+    own = entries.select("digest_id", "block", F.col("rank").cast("long").alias("rank"), F.col("size").cast("long").alias("size"), *none, F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("step"))
+    upto = F.sum("size").over(Window.partitionBy("digest_id", "block").orderBy("rank", F.col("parts").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    points = own.unionByName(cuts).withColumn("upto", upto).where("parts IS NOT NULL").join(earlier, ["digest_id", "block"]).withColumn("upto", F.col("upto") + F.col("earlier"))
+    # sizes up to a cut count for the part that ends there, and against the one that begins there
+    ends = F.array(F.struct(F.col("part").alias("part"), F.col("upto").alias("size")), F.struct((F.col("part") + 1).alias("part"), (-F.col("upto")).alias("size")))
+    signed = points.select("digest_id", "parts", "n", "step", F.inline(ends)).where("(part - 1) * step < n")
+    sums = signed.groupBy("digest_id", "parts", "part").agg((F.sum("size") + overhead).alias("bytes"), F.first("n").alias("n"), F.first("step").alias("step"))
+    return totals, sums
+
+
 def pack(df: DataFrame, limit: int = 92_000, overhead: int = 2_000, tries: int = 8) -> DataFrame:
     """(digest_id, posting_id, rank, part_no, parts) of ordered entries (digest_id, posting_id, rank, size).
 
     Parts are even in entries: as many as the bytes need, and up to `tries` more until every part fits. If
-    none does, parts that are too large are halved.
+    none does, parts that are too large are halved. Ranks are 1, 2, ... in each digest; entries with a null digest are
+    none of any.
     """
-    df = checkpointed(df.select("digest_id", "posting_id", "rank", "size"))
-    sized = df.join(df.groupBy("digest_id").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "digest_id")
-    sized = sized.withColumn("least", F.greatest(F.ceil((F.col("total") + overhead) / limit), F.lit(1)).cast("int"))
-    tried = sized.withColumn("parts", F.explode(F.expr(f"sequence(least, least + {tries})"))).withColumn("part", ((F.col("rank") - 1) / F.ceil(F.col("n") / F.col("parts"))).cast("int"))
-    sums = tried.groupBy("digest_id", "least", "parts", "part").agg((F.sum("size") + overhead).alias("bytes"))
-    fits = sums.groupBy("digest_id", "least", "parts").agg(F.max("bytes").alias("most"))
-    chosen = fits.groupBy("digest_id").agg(F.coalesce(F.min(F.when(F.col("most") <= limit, F.col("parts"))), F.max("parts")).alias("parts"))
-    placed = sized.join(chosen, "digest_id").withColumn("part", ((F.col("rank") - 1) / F.ceil(F.col("n") / F.col("parts"))).cast("int"))
-    large = placed.groupBy("digest_id", "part").agg(((F.sum("size") + overhead > limit) & (F.count("*") > 1)).alias("over"))
-    placed = placed.join(large, ["digest_id", "part"])
-    rest = placed.where("over").select("digest_id", "posting_id", "rank", "part", "size", F.lit(limit).alias("limit"), F.lit(overhead).alias("overhead"))
+    entries = df.where("digest_id IS NOT NULL").select("digest_id", "posting_id", "rank", "size", F.floor((F.col("rank") - 1) / BLOCK).cast("long").alias("block"))
+    entries = checkpointed(entries)
+    totals, sums = _bytes_of_parts(entries, limit, overhead, tries)
+    sums = checkpointed(sums)
+    most = sums.groupBy("digest_id", "parts").agg(F.max("bytes").alias("most"))
+    chosen = most.groupBy("digest_id").agg(F.coalesce(F.min(F.when(F.col("most") <= limit, F.col("parts"))), F.max("parts")).alias("parts"))
+    held = sums.join(chosen, ["digest_id", "parts"]).withColumn("over", (F.col("bytes") > limit) & (F.least("step", F.col("n") - (F.col("part") - 1) * F.col("step")) > 1))
+    digests = held.groupBy("digest_id").agg(F.first("step").alias("step"), F.count("*").cast("int").alias("parts"), F.max("over").alias("over"))
+    placed = entries.drop("block").join(digests, "digest_id").withColumn("part", F.floor((F.col("rank") - 1) / F.col("step")).cast("int"))
+    even = placed.where("NOT over").select("digest_id", "posting_id", "rank", (F.col("part") + 1).alias("part_no"), "parts")
+    uneven = placed.where("over").drop("over").join(held.select("digest_id", (F.col("part") - 1).alias("part"), "over"), ["digest_id", "part"])
+    rest = uneven.where("over").select("digest_id", "posting_id", "rank", "part", "size", F.lit(limit).alias("limit"), F.lit(overhead).alias("overhead"))
     halved = rest.groupBy("digest_id", "part").applyInPandas(_halved, "digest_id string, posting_id long, rank int, part int, sub int")
-    both = placed.where("NOT over").select("digest_id", "posting_id", "rank", "part", F.lit(0).alias("sub")).union(halved)
+    both = checkpointed(uneven.where("NOT over").select("digest_id", "posting_id", "rank", "part", F.lit(0).alias("sub")).union(halved))
     per = Window.partitionBy("digest_id")  # over a row per part
     numbers = both.select("digest_id", "part", "sub").distinct().withColumn("part_no", F.row_number().over(per.orderBy("part", "sub"))).withColumn("parts", F.count("*").over(per).cast("int"))
-    return both.join(numbers, ["digest_id", "part", "sub"]).select("digest_id", "posting_id", "rank", "part_no", "parts")
+    return even.unionByName(both.join(numbers, ["digest_id", "part", "sub"]).select("digest_id", "posting_id", "rank", "part_no", "parts"))
 
 
 def batch(df: DataFrame, n: int = 150) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.keys import ats_key, url_key
 
@@ -133,18 +135,38 @@ def section_phrases(html: Column) -> Column:
     return sum((low.contains(p).cast("int") for p in SECTIONS), F.lit(0))
 
 
-def _inner(node: Column) -> Column:
-    """A JSON node, and after it those of its array or of its graph."""
-    none = F.array().cast("array<string>")
-    return F.concat(F.array(node), *(F.coalesce(F.from_json(x, "array<string>"), none) for x in (node, F.get_json_object(node, "$.@graph"))))
+_NODE = "struct<json:string,open:boolean>"
 
 
-def _posting(html: Column, depth: int = 4) -> Column:
-    """JSON text of the first JobPosting in a page's ld+json blocks; arrays and graphs are opened depth-first, `depth` in each other."""
-    nodes = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    for _ in range(depth):
-        nodes = F.array_distinct(F.flatten(F.transform(nodes, _inner)))  # a node that was opened stands before its own
-    return F.get(F.filter(nodes, lambda n: F.get_json_object(n, "$.@type").rlike(r'(^|")JobPosting("|$)')), F.lit(0))
+def _node(text: Column) -> Column:
+    """A JSON text, and whether there may be more in it: arrays and objects that have not been opened."""
+    return F.struct(text.alias("json"), F.coalesce(F.ltrim(text).rlike(r"^[\[{]"), F.lit(False)).alias("open"))
+
+
+def _opened(node: Column) -> Column:
+    """What stands for a node in depth-first order: an array's items, an object and then its graph, anything else itself."""
+    graph = F.get_json_object(node["json"], "$.@graph")
+    items = F.transform(F.coalesce(F.from_json(node["json"], "array<string>"), F.array().cast("array<string>")), _node)
+    own = F.array(F.struct(node["json"].alias("json"), F.lit(False).alias("open")))
+    whole = F.when(graph.isNull(), own).otherwise(F.concat(own, F.array(_node(graph))))
+    return F.when(~node["open"], F.array(node)).when(F.ltrim(node["json"]).startswith("["), items).otherwise(whole)
+
+
+def _posting(html: Column) -> Column:
+    """JSON text of the first JobPosting in a page's ld+json blocks; arrays and graphs are opened depth-first, however deep they are.
+
+    No array or graph is deeper than the page has brackets and graphs, so opening is repeated that often, or until
+    nothing is left to open. Blocks that are no JSON are passed over.
+    """
+    blocks = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), lambda x: F.try_parse_json(x).isNotNull())
+    deepest = F.aggregate(blocks, F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("["), F.lit(""))) + F.size(F.split(x, "@graph")))
+    turns = F.sequence(F.lit(0), deepest)
+
+    def open_(nodes: Column, _: Column) -> Column:
+        return F.when(F.exists(nodes, lambda n: n["open"]), F.flatten(F.transform(nodes, _opened))).otherwise(nodes)
+
+    nodes = F.aggregate(turns, F.transform(blocks, _node).cast(f"array<{_NODE}>"), open_)
+    return F.get(F.filter(nodes, lambda n: F.get_json_object(n["json"], "$.@type").rlike(r'(^|")JobPosting("|$)')), F.lit(0))["json"]
 
 
 def detect_job_pages(df: DataFrame) -> DataFrame:
@@ -173,24 +195,114 @@ def detect_job_pages(df: DataFrame) -> DataFrame:
 
 
 def alias_pattern(alias: str, exact: bool) -> str:
-    body = alias if "\\" in alias else re.sub(r"([.*+?^${}()|\[\]])", r"\\\1", alias)
+    """The pattern of an alias between boundaries; an alias with a backslash is a pattern already."""
+    body = alias if "\\" in alias else re.sub(r"[\\^$.|?*+(){}\[\]]", lambda m: "\\" + m[0], alias)
     return f"{'' if exact else '(?i)'}(?:^|{_BOUND})(?:{body})(?:{_BOUND}|$)"
 
 
+#: A word is a run of what is no boundary.
+_WORD = "[A-Za-z0-9+#.]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _spelled(alias: str) -> str | None:
+    """The text that an alias stands for, if it is one text that begins and ends with a word; else None."""
+    text = re.sub(r"\\([^A-Za-z0-9])", "", alias)  # what is left of a pattern without its escaped signs
+    if "\\" in alias and re.search(r"[\\^$.|?*+(){}\[\]]", text):
+        return None
+    text = re.sub(r"\\([^A-Za-z0-9])", r"\1", alias)
+    return text if re.fullmatch(rf"{_WORD}(?:[^A-Za-z0-9+#.]+{_WORD})*", text) else None
+
+
+def _alias_table(terms: tuple) -> tuple[dict[str, list[tuple]], list[tuple[int, str]], int]:
+    """Aliases that are texts by their first word in small letters, as (alias, term, exact, text, words); patterns of
+    the others by term; and the most words of an alias."""
+    by_word, patterns, number = {}, [], 0
+    for term, (_, _, aliases, exact) in enumerate(terms):
+        for alias in aliases:
+            text = _spelled(alias)
+            if text is None:
+                patterns.append((term, alias_pattern(alias, exact)))
+                continue
+            words = re.findall(_WORD, text)
+            by_word.setdefault(words[0].lower(), []).append((number, term, exact, text if exact else text.lower(), len(words)))
+            number += 1
+    return by_word, patterns, max((a[4] for own in by_word.values() for a in own), default=1)
+
+
 def keyword_counts(df: DataFrame, terms: tuple = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, name, category, n) of terms found: matches per alias that do not overlap, added up. A boundary
-    is part of a match, so of two equal words with one space between them one counts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = [
-        F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), sum((F.size(F.regexp_extract_all(text, F.lit(alias_pattern(a, exact)), F.lit(0))) for a in aliases), F.lit(0)).alias("n"))
-        for name, category, aliases, exact in terms
-    ]
-    return df.select(id_col, F.inline(F.filter(F.array(*counts), lambda x: x["n"] > 0)))
+    is part of a match, so of two equal words with one space between them one counts.
+
+    A text is cut once into words and what lies between them. Words that begin an alias are kept with what follows
+    them, and compared with the aliases of that word; an alias that isn't a text but a pattern is matched by itself. All
+    of it is within the row: nothing is shuffled. Null texts count as empty; ids may be null or repeat.
+    """
+    by_word, patterns, most = _alias_table(terms)
+    kind = "struct<alias:int,term:int,exact:boolean,text:string,words:int>"
+    names = ("alias", "term", "exact", "text", "words")
+    # literals of the plan: as many as the table of terms, whatever the texts are
+    table = F.from_json(F.lit(json.dumps({w: [dict(zip(names, a)) for a in own] for w, own in by_word.items()})), f"map<string,array<{kind}>>") if by_word else F.lit(None).cast(f"map<string,array<{kind}>>")
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("*", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"), F.split("text", _WORD, -1).alias("between"))
+
+    def small(c: Column) -> Column:
+        return F.translate(c, _UPPER, _LOWER)  # letters of the patterns fold by ASCII alone
+
+    def placed(word: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), small(word).alias("low"))
+
+    hits = F.filter(F.transform("words", placed), lambda x: x["low"].isin(*by_word))
+    rows = rows.withColumn("hits", hits)
+
+    def spread(hit: Column) -> Column:
+        parts = [F.get("words", hit["at"])]
+        for k in range(1, most):
+            parts += [F.coalesce(F.get(name, hit["at"] + k), F.lit("")) for name in ("between", "words")]
+        return F.struct(hit["at"].alias("at"), F.concat(*parts).alias("run"), F.length(F.get("between", hit["at"])).alias("gap"), F.element_at("aliases", hit["low"]).alias("own"))
+
+    def meets(x: Column, a: Column) -> Column:
+        run = F.when(a["exact"], x["run"]).otherwise(small(x["run"]))
+        after = F.substr(run, F.length(a["text"]) + 1, F.lit(1))
+        return run.startswith(a["text"]) & ~after.rlike(_WORD)
+
+    def found(x: Column) -> Column:
+        own = F.filter(x["own"], lambda a: meets(x, a))
+        return F.transform(own, lambda a: F.struct(a["alias"].alias("alias"), a["term"].alias("term"), x["at"].alias("at"), x["gap"].alias("gap"), a["words"].alias("words")))
+
+    some = rows.where(F.size("hits") > 0) if not patterns else rows
+    some = some.withColumn("aliases", table).withColumn("near", F.transform("hits", spread)).withColumn("found", F.flatten(F.transform("near", found)))
+
+    def counted(alias: Column) -> Column:
+        """Of an alias's places in order those are matches that begin after the boundary of the match before."""
+        seed = F.struct(F.lit(-1).alias("next"), F.lit(0).alias("n"))
+
+        def step(s: Column, x: Column) -> Column:
+            free = (x["at"] > s["next"]) | (x["at"] == s["next"]) & (x["gap"] > 1) | (s["n"] == 0)
+            return F.when(free, F.struct((x["at"] + x["words"]).alias("next"), (s["n"] + 1).alias("n"))).otherwise(s)
+
+        return F.aggregate(F.filter("found", lambda x: x["alias"] == alias["alias"]), seed, step, lambda s: F.struct(alias["term"].alias("term"), s["n"].alias("n")))
+
+    some = some.withColumn("counts", F.transform(F.array_distinct(F.transform("found", lambda x: F.struct(x["alias"].alias("alias"), x["term"].alias("term")))), counted))
+    for term, pattern in patterns:
+        own = F.struct(F.lit(term).alias("term"), F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("n"))
+        some = some.withColumn("counts", F.concat("counts", F.filter(F.array(own), lambda x: x["n"] > 0)))
+    labels = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(category).alias("category")) for name, category, *_ in terms))
+
+    def summed(term: Column) -> Column:
+        n = F.aggregate(F.filter("counts", lambda x: x["term"] == term), F.lit(0), lambda s, x: s + x["n"])
+        return F.struct(term.alias("term"), n.alias("n"))
+
+    totals = some.select("id", F.inline(F.transform(F.array_distinct(F.transform("counts", lambda x: x["term"])), summed)))
+    label = F.get(labels, F.col("term"))
+    return totals.select(F.col("id").alias(id_col), label["name"].alias("name"), label["category"].alias("category"), "n")
 
 
 def rank_keywords(found: DataFrame) -> DataFrame:
-    """Terms by total count, then name."""
-    return found.groupBy("name", "category").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.lower("name"), "name")
+    """Terms by total count, then by name in the order of the Unicode collation, with their place."""
+    totals = found.groupBy("name", "category").agg(F.sum("n").alias("n"))  # a row per term
+    order = [F.desc("n"), F.collate("name", "UNICODE"), "name"]
+    return totals.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order))).orderBy("place")
 
 
 def split_by_profile(found: DataFrame, profile: DataFrame) -> DataFrame:

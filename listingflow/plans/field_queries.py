@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import audit, ledger, pages, rules
-from ..operators.components import checkpoint_folder
+from ..operators.components import checkpoint_folder, checkpointed
 from ..sources import feeds
 from ..sources.markdown import parse_md_tables
 from ..streaming.digest import catch_up, dry_run
@@ -119,12 +119,27 @@ def merged_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.merge_applied(ledger.read_applied(spark, path), incoming).select("key", "applied_at", "url", "company", "title")
 
 
-@query(_APPLIED_SQL + """SELECT coalesce(a.key, b.key) AS key, coalesce(nullif(a.applied_at, ''), b.applied_at) AS applied_at, coalesce(a.url, b.url) AS url, coalesce(nullif(a.company, ''), b.company) AS company, coalesce(a.title, b.title) AS title
-FROM a FULL JOIN b ON a.key = b.key WHERE CAST(coalesce(a.key, b.key) AS INTEGER) % 10 <> 0""")
+@query("""WITH RECURSIVE a AS (SELECT 'c' || o_custkey AS key, strftime(min(o_orderdate), '%Y-%m-%d') AS applied_at, 'au' || o_custkey AS url, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'a' END AS company, 'a' AS title FROM orders WHERE o_orderkey % 8 = 0 GROUP BY o_custkey),
+m AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS m, 'D' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS stamp, ['c' || o_custkey, 'u' || (o_orderkey % 700), 'c' || (o_custkey + 7)] AS keys, 'mu' || o_orderkey AS url,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'm' || o_orderkey ELSE '' END AS company, CASE WHEN o_orderkey % 3 = 0 THEN 't' || o_orderkey ELSE '' END AS title FROM orders WHERE o_orderkey % 2 = 1),
+t AS (SELECT m, place, keys[place] AS key, lag(m) OVER (PARTITION BY keys[place] ORDER BY m) AS before FROM m, (VALUES (1), (2), (3)) AS v(place)),
+l AS (SELECT m, arg_min(coalesce('m' || before, 'k' || a.key), place) AS up FROM t LEFT JOIN a ON t.key = a.key WHERE before IS NOT NULL OR a.key IS NOT NULL GROUP BY m),
+r(m, root) AS (SELECT m.m, coalesce(up, 'm' || m.m) FROM m LEFT JOIN l ON l.m = m.m WHERE up IS NULL OR up LIKE 'k%' UNION ALL SELECT l.m, r.root FROM r JOIN l ON l.up = 'm' || r.m),
+s AS (SELECT root, m, stamp, url, company, title FROM r JOIN m USING (m) UNION ALL SELECT 'k' || key, 0, applied_at, url, company, title FROM a WHERE 'k' || key IN (SELECT root FROM r)),
+f AS (SELECT root, arg_min(stamp, m) AS applied_at, arg_min(url, m) AS url, coalesce(arg_min(company, m) FILTER (company <> ''), '') AS company, coalesce(arg_min(title, m) FILTER (title <> ''), '') AS title FROM s GROUP BY root),
+n AS (SELECT t.key, max(m) AS m FROM t GROUP BY t.key),
+w AS (SELECT key, applied_at, url, company, title FROM n JOIN r USING (m) JOIN f USING (root) UNION ALL SELECT * FROM a WHERE key NOT IN (SELECT key FROM n))
+SELECT key, applied_at, url, company, title FROM w WHERE CAST(substr(key, 2) AS INTEGER) % 10 <> 0""")
 def marked_and_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, marks = _applied_tables(spark, sf_dir)
-    marked = ledger.mark_applied(base, marks.withColumn("keys", F.array("key")))
-    return ledger.unmark_applied(marked, marked.where("cast(key AS int) % 10 = 0").select("key")).select("key", "applied_at", "url", "company", "title")
+    """Marks of three keys each, in order of the order key, on a ledger of customers; then every tenth key is unmarked."""
+    o, n, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    held = o.where("o_orderkey % 8 = 0").groupBy("o_custkey").agg(F.min(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("applied_at"))
+    base = held.select(_said("c", c.cast("string")).alias("key"), "applied_at", _said("au", c.cast("string")).alias("url"), F.when(c % 2 == 0, "").otherwise("a").alias("company"), F.lit("a").alias("title"))
+    keys = F.array(_said("c", c.cast("string")), _said("u", (n % 700).cast("string")), _said("c", (c + 7).cast("string")))
+    told = (F.when(test, _said(letter, n.cast("string"))).otherwise("").alias(name) for test, letter, name in ((n % 4 == 1, "m", "company"), (n % 3 == 0, "t", "title")))
+    marks = o.where("o_orderkey % 2 = 1").select(keys.alias("keys"), _said("D", F.lpad(n.cast("string"), 12, "0")).alias("applied_at"), _said("mu", n.cast("string")).alias("url"), *told)
+    marked = checkpointed(ledger.mark_applied(base, marks))
+    return ledger.unmark_applied(marked, marked.where("cast(substring(key, 2) AS int) % 10 = 0").select("key")).select("key", "applied_at", "url", "company", "title")
 
 
 @query(_APPLIED_SQL + """SELECT CASE WHEN key = (SELECT min(key) FROM a) THEN '{' ELSE ',' END || '"' || key || '":{"applied_at":"' || applied_at || '","url":"' || url || '","company":"' || company || '","title":"' || title || '"}' || CASE WHEN key = (SELECT max(key) FROM a) THEN '}' ELSE '' END AS value FROM a""")
@@ -254,7 +269,8 @@ CASE o_orderkey % 6 WHEN 1 THEN 'Role ' || o_orderkey WHEN 5 THEN NULL ELSE 'Pag
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
     key = F.col("o_orderkey").cast("string")
-    graph = _said('<script type="application/ld+json">{"@graph":[{"@type":"WebSite"},[{"@graph":[{"@type":["Thing","JobPosting"],"identifier":{"value":"ID-', key, '"},"title":"Role ', key, '"}]}]]}</script>')
+    around = (F.floor(F.col("o_orderkey") / 6) % 11).cast("int")  # graphs around the graph
+    graph = _said('<script type="application/ld+json">', F.repeat(F.lit('{"@graph":[{"@type":"WebSite"},['), around + 1), '{"@graph":[{"@type":["Thing","JobPosting"],"identifier":{"value":"ID-', key, '"},"title":"Role ', key, '"}]}', F.repeat(F.lit('], {"@type":"JobPosting","title":"after"}]}'), around + 1), "</script>")
     linked = _said('<script type="application/ld+json">[{"@type":"Person"},{"@type":"JobPosting","url":"https://boards.greenhouse.io/acme/jobs/', key, '"}]</script>')
     control = F.element_at(F.array(*map(F.lit, ("<button><b>Apply now</b></button>", '<input type="submit" value="Apply">', '<div role="button" aria-label="Submit application"></div>', "<a href='#'>Apply for this job</a>"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     html = F.when(k == 1, graph).when(k == 2, linked).when(k == 3, F.lit('<meta property="og:type" content="og:Job">')).when(k == 4, _said(control, "<p>Responsibilities</p><p>Qualifications</p>")).otherwise(_said("<p>Responsibilities: qualifications</p><script>apply now</script>"))
@@ -269,6 +285,18 @@ FROM (SELECT c_custkey, CAST(c_custkey + 1000000 AS VARCHAR) AS n, '00000000-000
 def url_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.keys import url_key
 
+    return _shaped(spark, sf_dir).select("c_custkey", url_key("url").alias("url_key"))
+
+
+@query("SELECT c_custkey, c_custkey % 20 <> 19 AS job_host FROM customer UNION ALL SELECT -1 - page_id, regexp_matches(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1), 'jobs\\.|careers\\.|career\\.|\\.wd[0-9]|greenhouse|workday|icims') FROM pages")
+def job_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a URL is of a host that serves postings: one of each known shape per customer, and those of the pages."""
+    urls = _shaped(spark, sf_dir).unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("c_custkey"), "url"))
+    return urls.select("c_custkey", pages.is_job_host(F.col("url")).alias("job_host"))
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, url): the shape of a customer's URL is its key's remainder by twenty."""
     n, key = (F.col("c_custkey") + 1000000).cast("string"), (F.col("c_custkey") % 20).cast("int")
     u = _said("00000000-0000-0000-0000-", F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
     shapes = [
@@ -277,4 +305,4 @@ def url_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _said("https://www.metacareers.com/jobs/", n), _said("https://jobs.smartrecruiters.com/Acme/", n, "-x"), _said("https://x.org/careers?gh_jid=", n), _said("https://acme.applytojob.com/apply/", n), _said("https://ats.rippling.com/en/acme/jobs/", u),
         _said("https://www.amazon.jobs/en/jobs/", n), _said("https://lifeattiktok.com/search/", n), _said("https://jobs.jobvite.com/Acme/job/", n), _said("https://acme.icims.com/jobs/", n, "/x"), _said("https://apply.workable.com/acme/j/abc", n), _said("https://www.linkedin.com/jobs/view/intern-at-", n), _said("https://www.x.org/A/?utm_source=y&id=", n),
     ]
-    return table(spark, sf_dir, "customer").select("c_custkey", url_key(F.get(F.array(*shapes), key)).alias("url_key"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*shapes), key).alias("url"))

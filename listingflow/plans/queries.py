@@ -215,9 +215,9 @@ q AS (SELECT d.*, t.n FROM d JOIN t ON d.digest_id = t.digest_id)
 
 @query(_PACK + "SELECT q.digest_id, posting_id, rank, CAST(floor((rank - 1) / ceil(n / CAST(c.parts AS DOUBLE))) + 1 AS INTEGER) AS part_no FROM q JOIN c ON q.digest_id = c.digest_id")
 def digest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = digest.order_digest(rules.tag(postings_view(spark, sf_dir)).withColumn("ord", F.col("pos")))
-    entries = ranked.select("digest_id", "posting_id", "rank", (F.octet_length("company") + F.octet_length("title") + 400).alias("size"))
-    return digest.pack(entries).select("digest_id", "posting_id", "rank", "part_no")
+    rows = rules.tag(postings_view(spark, sf_dir)).select("digest_id", "posting_id", "relevance", "indirect", "company", "title", F.col("pos").alias("ord"))
+    size = (F.octet_length("company") + F.octet_length("title") + 400).alias("size")
+    return digest.pack(digest.order_digest(rows).select("digest_id", "posting_id", "rank", size)).select("digest_id", "posting_id", "rank", "part_no")
 
 
 @query(
@@ -286,12 +286,25 @@ def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.keyword_counts(table(spark, sf_dir, "documents"))
 
 
-@query(f"SELECT name, category, sum(n) AS n FROM ({_KEYWORDS}) WHERE n > 0 GROUP BY 1, 2")
+_RANKED = "SELECT name, category, CAST(sum(n) AS BIGINT) AS n FROM ({found}) WHERE n > 0 GROUP BY 1, 2"
+
+
+@query(f"SELECT *, CAST(row_number() OVER (ORDER BY n DESC, name COLLATE en, name) AS INTEGER) AS place FROM ({_RANKED.format(found=_KEYWORDS)})")
 def keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.rank_keywords(pages.keyword_counts(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(f"SELECT doc_id, name, n, name IN (SELECT name FROM ({_KEYWORDS.replace('documents', '(SELECT item_id AS doc_id, text FROM benchmark)')}) WHERE n > 0) AS have FROM ({_KEYWORDS}) WHERE n > 0")
+def profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the documents, and whether the benchmark's texts, taken for a profile, have them."""
+    profile = pages.keyword_counts(table(spark, sf_dir, "benchmark"), id_col="item_id")
+    return pages.split_by_profile(pages.keyword_counts(table(spark, sf_dir, "documents")), profile).select("doc_id", "name", "n", "have")
+
+
+@query(r"""WITH s AS (SELECT *, CASE WHEN regexp_matches(lower(url), 'greenhouse|lever[.]co|ashbyhq|myworkdayjobs|linkedin[.]com/jobs|smartrecruiters|workable|icims|jobvite|applytojob|rippling') THEN 'url'
+  WHEN regexp_matches(html, '(?is)<script[^>]*application/ld[+]json[^>]*>[^<]*"@type"[^<]*JobPosting') THEN 'json-ld' WHEN regexp_matches(html, '(?i)<meta[^>]*property=["'']og:type["''][^>]*content=["''][^"'']*job') THEN 'og'
+  WHEN regexp_matches(html, '(?is)<(a|button|input)[^>]*>\s*(apply|submit application)') AND len(list_filter(['responsibilities', 'qualifications', 'requirements', 'about the role', 'job description', 'equal opportunity'], lambda w: contains(lower(html), w))) > 1 THEN 'text' END AS signal FROM pages)
+SELECT page_id, signal IS NOT NULL AS is_job, signal, CASE WHEN signal IS NOT NULL THEN 'url:' || regexp_replace(lower(url), '^[a-z]+://(www[.])?', '') END AS key, CASE WHEN signal IS NOT NULL THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) END AS title FROM s""")
 def page_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.detect_job_pages(table(spark, sf_dir, "pages"))
 

@@ -10,7 +10,7 @@ from ..operators.cluster import cluster, strip_ambiguous
 from ..operators.components import checkpointed
 from ..operators.digest import batch as digest_batch
 from ..operators.digest import order_digest
-from ..operators.ledger import baseline, keys_to_store, new_only, read_ledger, upsert_seen, write_ledger
+from ..operators.ledger import baseline, keys_to_store, new_only, read_ledger, update_ledger, upsert_seen
 from ..operators.rules import RULES, is_internship, tag
 
 
@@ -43,7 +43,7 @@ def _recorded(spark: SparkSession, state_dir: str, out: str) -> DataFrame:
     seen, _ = read_ledger(spark, f"{state_dir}/seen")
     keys = spark.read.parquet(f"{out}.keys")
     if not keys.join(seen, "key", "left_anti").isEmpty() or seen.isEmpty():
-        write_ledger(upsert_seen(seen, keys, F.col("first_seen")), f"{state_dir}/seen")
+        update_ledger(spark, f"{state_dir}/seen", lambda held: upsert_seen(held, keys, F.col("first_seen")))
     return spark.read.parquet(out)
 
 

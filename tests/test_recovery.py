@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import shutil
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from listingflow.functions.keys import ATS_PATTERNS, LEGACY_PATTERNS, SIGNS, with_keys, with_legacy_keys
-from listingflow.operators import audit, digest, ledger, migrate, rules
+from listingflow.operators import audit, commits, digest, ledger, migrate, rules
 from listingflow.operators.cluster import _merged, cluster, strip_ambiguous
 from listingflow.schema import POSTINGS
 from listingflow.sources import feeds
@@ -30,21 +31,22 @@ def emitted(df):
     return sorted(r["rep"]["posting_id"] for r in df.collect())
 
 
-def test_ledger_is_a_first_run_if_missing_or_corrupt(spark, tmp_path):
+def seen_of(spark, path, **how):
+    return sorted(r["key"] for r in ledger.read_ledger(spark, path, **how)[0].collect())
+
+
+def added(spark, path, key):
+    keys = spark.createDataFrame([(key,)], "key string")
+    return ledger.update_ledger(spark, path, lambda held: ledger.upsert_seen(held, keys, F.lit("2026-01-01T00:00:00")))
+
+
+def test_ledger_is_a_first_run_if_missing(spark, tmp_path):
     path = str(tmp_path / "seen")
     rows, first = ledger.read_ledger(spark, path)
     assert first and rows.count() == 0
-    name = ledger.write_ledger(spark.createDataFrame([("k", "2026-01-01T00:00:00")], ledger.SEEN), path)
+    ledger.write_ledger(spark.createDataFrame([("k", "2026-01-01T00:00:00")], ledger.SEEN), path)
     rows, first = ledger.read_ledger(spark, path)
     assert not first and [tuple(r) for r in rows.collect()] == [("k", "2026-01-01T00:00:00")]
-    shutil.rmtree(os.path.join(path, name))
-    assert ledger.read_ledger(spark, path)[1]  # the snapshot is gone
-    for text in ("{", "[]", "{}", '{"snapshot": "none"}'):
-        (tmp_path / "seen" / "CURRENT").write_text(text)
-        crc = tmp_path / "seen" / ".CURRENT.crc"
-        if crc.exists():
-            crc.unlink()
-        assert ledger.read_ledger(spark, path)[1]
     assert ledger.read_json_ledger(spark, str(tmp_path / "none.json"))[1]
     for text, want in (("{broken", True), (json.dumps({"seen": {"a": "b"}}), False)):
         (tmp_path / "l.json").write_text(text)
@@ -52,24 +54,138 @@ def test_ledger_is_a_first_run_if_missing_or_corrupt(spark, tmp_path):
     assert ledger.read_applied(spark, str(tmp_path / "nothing")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["", "{", "[]", "{}", '{"snapshot": "none", "bytes": 1}', "gone", "cut"])
+def test_a_commit_that_cannot_be_read_gives_way_to_an_older_one_or_raises(spark, tmp_path, text):
+    path = str(tmp_path / "seen")
+    for turn, key in enumerate("ab"):
+        name = added(spark, path, key)
+        pointer = tmp_path / "seen" / "pointers" / f"{turn + 1:012d}"
+        if text == "gone":
+            shutil.rmtree(os.path.join(path, name))
+        elif text == "cut":
+            part = next((tmp_path / "seen" / name).glob("*.parquet"))
+            part.write_bytes(part.read_bytes()[:-1])
+        else:
+            pointer.write_text(text)
+        if turn == 0:
+            with pytest.raises(commits.LedgerDamaged):
+                ledger.read_ledger(spark, path)
+            with pytest.raises(commits.LedgerDamaged):
+                added(spark, path, "x")  # what was sent isn't known, so nothing may be recorded in its stead
+            assert ledger.read_ledger(spark, path, damaged="first run")[1] and ledger.read_applied(spark, path).count() == 0
+            shutil.rmtree(path)
+            added(spark, path, "old")
+    assert seen_of(spark, path) == ["old"]
+    added(spark, path, "c")
+    assert seen_of(spark, path) == ["c", "old"]
+
+
+@pytest.mark.parametrize("stop", ["snapshot", "named aside", "written aside", "put"])
+def test_a_writer_that_stops_anywhere_loses_nothing(spark, tmp_path, monkeypatch, stop):
+    path = str(tmp_path / "seen")
+    added(spark, path, "a")
+
+    def stopped(*_):
+        raise OSError("stopped")
+
+    real = {f: getattr(commits, f) for f in ("_write_aside", "_put")}
+    with monkeypatch.context() as m:
+        if stop == "snapshot":
+            m.setattr(commits, "_write_aside", stopped)
+        elif stop == "named aside":
+            m.setattr(commits, "_write_aside", lambda *_: (tmp_path / "seen" / "pointers" / ".half").write_text('{"snap') and stopped())
+        elif stop == "written aside":
+            m.setattr(commits, "_put", stopped)
+        else:
+            m.setattr(commits, "_put", lambda *args: real["_put"](*args) and stopped())
+        with pytest.raises(OSError):
+            added(spark, path, "b")
+    assert seen_of(spark, path) == (["a", "b"] if stop == "put" else ["a"])
+    added(spark, path, "b")
+    assert seen_of(spark, path) == ["a", "b"]
+
+
+@pytest.mark.parametrize("scheme", ["link", "rename"])
+def test_of_two_writers_none_loses_a_key(spark, tmp_path, monkeypatch, scheme):
+    path = str(tmp_path / "seen")
+    if scheme == "rename":  # the way of file systems that aren't local
+        real = commits._put
+
+        def put(spark, aside, path, number):
+            fs, files, source = commits._hadoop(spark, aside)
+            context = fs.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            target = files.makeQualified(fs.Path(f"{path}/pointers/{number:012d}"))
+            if files.exists(target):
+                return real(spark, aside, path, number)
+            context.rename(source, target, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+
+        monkeypatch.setattr(commits, "_put", put)
+    others = iter("xyz")
+
+    def change(held):
+        other = next(others, None)
+        if other:  # another writer commits between this one's reading and its commit
+            added(spark, path, other)
+        return ledger.upsert_seen(held, spark.createDataFrame([("a",)], "key string"), F.lit("2026-01-01T00:00:00"))
+
+    ledger.update_ledger(spark, path, change)
+    assert seen_of(spark, path) == ["a", "x", "y", "z"]
+    assert not [f for f in (tmp_path / "seen" / "pointers").glob(".*") if not f.name.endswith(".crc")]
+    assert commits.expire(spark, path, keep=1) == 3 and seen_of(spark, path) == ["a", "x", "y", "z"]
+    assert len(list((tmp_path / "seen").glob("v=*"))) == 1
+
+
+def marks_in_turn(stored, marks):
+    """The store's ledger after marks one by one: keys to records that keys share."""
+    records = {k: dict(v) for k, v in stored.items()}
+    for m in marks:
+        record = next((records[k] for k in m["keys"] if k in records), None)
+        if record is None:
+            record = {c: m[c] for c in ("applied_at", "url", "company", "title")}
+        for c in ("company", "title"):
+            record[c] = record[c] or m[c]
+        for k in m["keys"]:
+            records[k] = record
+    return {k: tuple(r[c] for c in ("applied_at", "url", "company", "title")) for k, r in records.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_marks_of_many_keys_equal_a_store_that_takes_them_in_turn(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"k{i}" for i in range(60)]
+    stored = {k: {"applied_at": "2025", "url": f"u{k}", "company": rng.choice(["", "s"]), "title": ""} for k in rng.sample(pool, 12)}
+    marks = [{"keys": rng.sample(pool, rng.randrange(1, 4)) + ["hot"] * (rng.random() < 0.2), "applied_at": f"2026-{i:04d}", "url": f"m{i}", "company": rng.choice(["", f"c{i}"]), "title": rng.choice(["", "", f"t{i}"])} for i in range(50)]
+    ledger_rows = spark.createDataFrame([(k, *(v[c] for c in ("applied_at", "url", "company", "title"))) for k, v in stored.items()], ledger.APPLIED)
+    table = spark.createDataFrame([(m["keys"], m["applied_at"], m["url"], m["company"], m["title"]) for m in marks], "keys array<string>, applied_at string, url string, company string, title string")
+    got = {r["key"]: tuple(r)[1:] for r in ledger.mark_applied(ledger_rows, table.union(table.limit(5))).collect()}
+    assert got == marks_in_turn(stored, marks)
+
+
+def test_marks_of_one_job(spark):
+    stored = spark.createDataFrame([("k1", "2026-01-01", "u1", None, "")], ledger.APPLIED)
+    shape = "keys array<string>, applied_at string, url string, company string, title string"
+    marks = spark.createDataFrame([(["k1", "k2"], "2026-02-02", "m", "Acme", ""), (["n"], "2026-02-03", "n1", "", None), (["n"], "2026-02-04", "n2", "Named", ""), ([], "2026", "", "", ""), (None, "2026", "", "", "")], shape)
+    got = {r["key"]: tuple(r)[1:] for r in ledger.mark_applied(stored, marks).collect()}
+    assert got == {"k1": ("2026-01-01", "u1", "Acme", ""), "k2": ("2026-01-01", "u1", "Acme", ""), "n": ("2026-02-03", "n1", "Named", "")}
+    assert ledger.mark_applied(stored.limit(0), marks.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("crash", ["keys", "output", "ledger"])
 def test_a_batch_that_stops_anywhere_is_sent_once(spark, tmp_path, monkeypatch, crash):
     state = str(tmp_path)
     assert stream.run_batch(postings(spark, [posting(0)]), 0, state).count() == 0  # the first run only records
     batch = postings(spark, [posting(0), posting(1), posting(2)])
-    real = stream.write_ledger
+    real = stream.update_ledger
     if crash == "ledger":
-        monkeypatch.setattr(stream, "write_ledger", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        monkeypatch.setattr(stream, "update_ledger", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
         with pytest.raises(OSError):
             stream.run_batch(batch, 1, state)
-        monkeypatch.setattr(stream, "write_ledger", real)
+        monkeypatch.setattr(stream, "update_ledger", real)
     elif crash == "output":  # the keys are written, and the output, but for its success mark
-        pointer = tmp_path / "seen" / "CURRENT"
-        before = pointer.read_text()
         stream.run_batch(batch, 1, state)
         os.remove(tmp_path / "batches" / "batch=1" / "_SUCCESS")
-        (tmp_path / "seen" / ".CURRENT.crc").unlink(missing_ok=True)
-        pointer.write_text(before)
+        max((tmp_path / "seen" / "pointers").glob("0*")).unlink()
     else:  # only the keys are written
         spark.createDataFrame([("url:x.org/9", "2026-01-01T00:00:00")], ledger.SEEN).write.parquet(f"{state}/batches/batch=1.keys")
     assert emitted(stream.run_batch(batch, 1, state)) == [1, 2]
