@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import INTERN, NEW_GRAD
+from .components import checkpointed
 
 # Relevance rules by list, in order.
 RULES = {
@@ -185,3 +189,70 @@ def filter_audit(judged: DataFrame) -> DataFrame:
 def audit_summary(judged: DataFrame) -> DataFrame:
     a = F.col("verdict.action")
     return judged.agg(F.count("*").alias("judged"), F.count_if(a == "keep").alias("keep"), F.count_if(a == "maybe").alias("maybe"), F.count_if(a == "drop").alias("drop"), F.count_if(F.col("verdict.rescued")).alias("rescued"))
+
+
+#: Characters of a literal that a table of rules is looked up by.
+GRAM = 3
+
+
+def _anchors(tree) -> list[str] | None:
+    """Small texts of which any match of a parsed pattern has one, or None if there is no such choice of GRAM letters each.
+
+    Of a sequence the choice with fewest texts is taken, of an alternation the choices of all branches.
+    """
+    choices, run = [], ""
+
+    def closed() -> None:
+        if len(run) >= GRAM:
+            choices.append([run[-GRAM:]])
+
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(value).lower() if value < 128 else chr(value)
+            continue
+        closed()
+        run = ""
+        own = None
+        if name == "SUBPATTERN":
+            own = _anchors(value[-1])
+        elif name == "BRANCH":
+            parts = [_anchors(branch) for branch in value[1]]
+            own = sorted({x for part in parts for x in part}) if all(parts) else None
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            own = _anchors(value[2])
+        if own:
+            choices.append(own)
+    closed()
+    return min(choices, key=len) if choices else None
+
+
+def _indexed(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    for batch in batches:
+        found = []
+        for name, place, pattern in batch.itertuples(index=False):
+            try:
+                grams = _anchors(re._parser.parse(pattern)) or [""]
+            except (re.error, OverflowError, RecursionError):  # another dialect: the pattern is tried on all
+                grams = [""]
+            found += [(name, place, pattern, g) for g in grams]
+        yield pd.DataFrame(found, columns=["list", "ord", "pattern", "gram"])
+
+
+def match_rule_table(df: DataFrame, table: DataFrame, column: str = "title", most: int = 500_000) -> DataFrame:
+    """(posting_id, list, ord, pattern) of each posting and each rule of a table (list, ord, pattern) that its text matches.
+
+    Each pattern gives texts of three letters of which a match must have one; rules are looked up by the texts of
+    three letters that a value has, and only those found are tried. A pattern without such texts is looked up by the
+    empty text, which every value has. Values are tried once each, however many postings have them; the index of
+    rules is sent to all tasks up to `most` rows. Letters fold by ASCII. Null values match nothing.
+    """
+    rows = table.select("list", F.col("ord").cast("long").alias("ord"), "pattern").where("pattern IS NOT NULL")
+    index = checkpointed(rows.mapInPandas(_indexed, "list string, ord bigint, pattern string, gram string"))
+    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    low = F.translate("value", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    grams = F.when(F.length("value") >= GRAM, F.transform(F.sequence(F.lit(1), F.length("value") - GRAM + 1), lambda i: F.substr(low, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    held = values.select("value", F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(""))))).alias("gram"))
+    found = held.join(F.broadcast(index) if index.count() <= most else index, "gram").drop("gram").distinct()
+    hits = found.where(F.expr("value rlike pattern"))
+    return df.select("posting_id", F.col(column).alias("value")).join(hits, "value").select("posting_id", "list", "ord", "pattern")

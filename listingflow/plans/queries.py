@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import text as X
 from ..functions.keys import with_keys, with_legacy_keys
 from ..operators import audit, digest, ledger, migrate, pages, rules
 from ..operators.cluster import cluster, first_wins, hard_components, strip_ambiguous, with_order
-from ..operators.components import checkpointed
+from ..operators.components import checkpoint_folder, checkpointed
 from .postings import POSTINGS_SQL, postings_view, table
 from .registry import query
 
@@ -45,13 +47,19 @@ def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.select("cluster_id", F.col("rep.posting_id").alias("posting_id"), "n_members", "strong", F.array_join("sources", ",").alias("sources"), F.size("keys").alias("n_keys"))
 
 
+def _tallied(spark: SparkSession, sf_dir: str) -> tuple[audit.Tally, DataFrame, DataFrame]:
+    """Counts of the steps before clustering, taken in one run; clusters; and postings that have no key."""
+    tally, path = audit.Tally(), f"{checkpoint_folder(spark)}/tally-{uuid.uuid4()}"
+    relevant = tally(rules.tag(tally(postings_view(spark, sf_dir), "n_in")), "n_relevant")
+    interns = tally(relevant.where(rules.is_internship(F.col("title"), F.col("source"))), "n_interns")
+    with_keys(interns).write.parquet(path)
+    clusters, _, unusable, _ = cluster(spark.read.parquet(path))
+    return tally, clusters, unusable
+
+
 @query()
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings_view(spark, sf_dir)
-    relevant = rules.tag(p)
-    interns = relevant.where(rules.is_internship(F.col("title"), F.col("source")))
-    clusters, _, unusable, _ = cluster(with_keys(interns))
-    return audit.reconcile(p, relevant, interns, clusters, unusable)
+    return audit.reconcile(*_tallied(spark, sf_dir))
 
 
 _JUDGED = f"""WITH {POSTINGS_SQL}, j AS (SELECT *, CASE
@@ -74,6 +82,29 @@ def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.audit_summary(rules.judge(postings_view(spark, sf_dir)))
 
 
+@query(_JUDGED + """SELECT count(*) AS n_in, count(*) FILTER (action = 'drop') AS off_subject, count(*) FILTER (action <> 'drop' AND level <> 'intern') AS off_level, 0 AS unusable,
+  count(*) FILTER (action <> 'drop' AND level = 'intern') AS clustered, true AS balanced FROM v""")
+def filter_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reconciliation with clusters and what was merged into them taken together."""
+    rows = audit.reconcile(*_tallied(spark, sf_dir))
+    return rows.select("n_in", "off_subject", "off_level", "unusable", (F.col("clusters") + F.col("merged")).alias("clustered"), "balanced")
+
+
+# A rule per part: its number, and one of three kinds of role.
+_RULE = "SELECT p_partkey AS ord, p_partkey % 1500 AS n, p_partkey % 3 AS kind FROM part"
+
+
+@query(f"""WITH {POSTINGS_SQL}, t AS (SELECT posting_id, title, CAST(regexp_extract(title, '([0-9]+)$', 1) AS BIGINT) AS n FROM p), r AS ({_RULE})
+SELECT ord, posting_id FROM t JOIN r ON r.n = t.n AND CASE kind WHEN 0 THEN title LIKE 'Software%' OR title LIKE 'Data%' WHEN 1 THEN title LIKE '%Co-op%' ELSE title NOT LIKE '%Intern%' END""")
+def rule_table_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    n = (F.col("p_partkey") % 1500).cast("string")
+    kinds = (F.concat(F.lit(r"(?i)^(SOFTWARE|data)\b.* intern "), n, F.lit("$")), F.concat(F.lit("(?:engineer|Engineer) [Cc]o-op "), n, F.lit("$")), F.concat(F.lit(r"^(?!.*Intern)\D+ "), n, F.lit("$")))
+    pattern = F.when(F.col("p_partkey") % 3 == 0, kinds[0]).when(F.col("p_partkey") % 3 == 1, kinds[1]).otherwise(kinds[2])
+    table_ = part.select(F.lit("parts").alias("list"), F.col("p_partkey").alias("ord"), pattern.alias("pattern"))
+    return rules.match_rule_table(postings_view(spark, sf_dir), table_).select("ord", "posting_id")
+
+
 _PATTERN = {word: next(p for p in rules.RULES["maybe_title"] if word in p) for word in ("mechanical", "marketing", "hardware")}
 
 
