@@ -14,7 +14,7 @@ from .rules import is_meaningful
 ORDER = ("is_maybe", "indirect", "company_low", "title_low", "ord")
 
 
-def ranked_within(df: DataFrame, by: str, *order: str, name: str = "rank") -> DataFrame:
+def ranked_within(df: DataFrame, by: str, *order: str, name: str = "rank", kind: str = "int") -> DataFrame:
     """Adds the place of each row among those of its group: rows are dealt by ranges of the whole order and numbered
     within them, and counts of the ranges before are added, so no group is sorted in one task."""
     placed = checkpointed(df.repartitionByRange(by, *order).withColumn("_run", F.spark_partition_id()))
@@ -22,7 +22,7 @@ def ranked_within(df: DataFrame, by: str, *order: str, name: str = "rank") -> Da
     first = placed.groupBy(by, "_run").agg(F.count("*").alias("_n")).select(by, "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy(by, "_run").orderBy(*order)
     rows = placed.withColumn(name, F.row_number().over(within)).join(first, [by, "_run"])
-    return rows.withColumn(name, (F.col(name) + F.col("_first")).cast("int")).drop("_run", "_first")
+    return rows.withColumn(name, (F.col(name) + F.col("_first")).cast(kind)).drop("_run", "_first")
 
 
 def order_digest(df: DataFrame) -> DataFrame:
