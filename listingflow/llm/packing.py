@@ -25,14 +25,17 @@ _encoders: dict[str, UnitEncoder] = {}
 def tokenizer_encoder(path: str) -> UnitEncoder:
     """Ids by the tokenizers library, one encoder per worker.
 
-    The library's model encodes each distinct match of the split pattern; no special token is added or found.
+    The library's model encodes each distinct match of the split pattern. No special token is added; a text that spells one out
+    is encoded by the library as a whole, which takes it for that token.
     """
     if path not in _encoders:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        tokenize, matches = Tokenizer.from_file(path).model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
+        whole = Tokenizer.from_file(path)
+        tokenize, matches = whole.model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
+        spelled = [t.content for t in whole.get_added_tokens_decoder().values()]
         known = Recent(lambda word: [t.id for t in tokenize(charmap_decode(word.encode(), "strict", _AS_LETTERS)[0])])
 
         def encode(part: str) -> list[int]:
@@ -46,7 +49,7 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
                 out += known[word]
             return out
 
-        _encoders[path] = UnitEncoder(encode)
+        _encoders[path] = UnitEncoder(encode, spelled=spelled, whole=lambda text: whole.encode(text, add_special_tokens=False).ids)
     return _encoders[path]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from .common import WORD, in_chunks, spread, texts_of, words_of
+from .common import WORD, checkpointed, in_chunks, spread, texts_of, words_of
 
 #: Common English insults, for texts of a table without labels; see toxic_terms().
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "clown", "trash", "garbage", "scum", "worthless", "pathetic", "disgusting", "filthy", "vile", "imbecile", "jerk")
@@ -126,9 +126,13 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], names=["doc_id", "lang", "data"])
 
 
-def toxic_terms(docs: DataFrame, labels: DataFrame, least: int = 3, most: int = 4096) -> dict[str, frozenset[str]]:
-    """Terms by language that labels (doc_id, toxic) show to be toxic: in `least` toxic documents (doc_id, text, lang)
-    or more, and in 20 times as many toxic as clean ones; `most` of them in all, those of most toxic documents."""
+def toxic_terms(docs: DataFrame, labels: DataFrame, least: int = 3, share: float = 0.002) -> dict[str, frozenset[str]]:
+    """Terms by language that labels (doc_id, toxic) show to be toxic: in `least` toxic documents (doc_id, text, lang) and a
+    `share` of those of the language, and in 20 times as many toxic as clean ones.
+
+    Each language is judged by itself, so what one has doesn't push out terms of another, and it has at most (mean
+    distinct terms of its toxic documents) / share terms, however large the table is.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
     # Labels grow with the documents, so both sides are shuffled at any size; texts go compressed.
@@ -138,13 +142,15 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, least: int = 3, most: int =
         for batch in in_chunks(batches, "data", size=1 << 20):
             n: dict[tuple[str, str], list[int]] = {}
             for data, lang, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                for term in set(map(term_of, words_of(zstandard.decompress(data).decode()))) - {""}:
+                for term in set(map(term_of, words_of(zstandard.decompress(data).decode()))) | {""}:  # the empty term counts texts
                     n.setdefault((lang, term), [0, 0])[toxic > 0] += 1
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in n], pa.string()), "term": pa.array([k[1] for k in n], pa.string()), "clean": pa.array([v[0] for v in n.values()], pa.int64()), "toxic": pa.array([v[1] for v in n.values()], pa.int64())})
 
     totals = rows.mapInArrow(counted, "lang string, term string, clean long, toxic long").groupBy("lang", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     out: dict[str, set[str]] = {}
-    for r in totals.where(f"toxic >= {least} AND toxic >= 20 * clean").orderBy(F.desc("toxic"), "lang", "term").limit(most).collect():
+    totals = checkpointed(totals.where(f"term = '' OR toxic >= {least} AND toxic >= 20 * clean"))
+    texts_of_lang = totals.where("term = ''").select("lang", F.col("toxic").alias("texts"))  # a row per language
+    for r in totals.where("term <> ''").join(texts_of_lang, "lang").where(F.col("toxic") >= share * F.col("texts")).select("lang", "term").collect():
         out.setdefault(r["lang"], set()).add(r["term"])
     return {lang: frozenset(terms) for lang, terms in out.items()}
 
@@ -159,32 +165,48 @@ def _lang(docs: DataFrame) -> Column:
     return (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[Rule]:
-    """The rules ordered by share of texts rejected per second of cost, as timed on a sample of about `sample_rows`
-    rows, chosen by hash from all of the table.
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000, base: Sequence[Rule] = BASE) -> list[Rule]:
+    """The rules by rejections per second of cost, as timed on a sample of about `sample_rows` rows, chosen by hash from
+    all of the table: those of them that pass the base, as no others meet a rule.
 
-    The order decides how soon a bad text is given up, never which texts are kept.
+    After each choice the rest are judged anew, on texts that the chosen ones let pass, and measures that a chosen rule has
+    taken cost nothing more. The order decides how soon a bad text is given up, never which texts are kept.
     """
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, hits, n = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
+        """Per text and rule: whether it rejects, seconds with and without its measures at hand, and the measures it takes."""
         for batch in in_chunks(batches):
+            rows = []
             for text, lang in zip(texts_of(batch), texts_of(batch, "lang")):
-                n += 1
+                if any(r.rejects(Text(text, lang)) for r in base):
+                    continue
                 for k, rule in enumerate(rules):
-                    t, began = Text(text, lang), time.perf_counter()
-                    t.words  # noqa: B018  every cascade has them from the base measures
-                    began = time.perf_counter()
-                    hits[k] += rule.rejects(t)
-                    cost[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "cost": cost, "hits": hits})
+                    t = Text(text, lang)
+                    for r in base:
+                        r.rejects(t)
+                    had, began = set(vars(t)), time.perf_counter()
+                    hit = rule.rejects(t)
+                    cold, began = time.perf_counter() - began, time.perf_counter()
+                    rule.rejects(t)
+                    rows.append((k, bool(hit), cold, time.perf_counter() - began, sorted(set(vars(t)) - had)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.string())))], names=["rule", "hit", "cold", "warm", "takes"])
 
     every = max(1, docs.count() // sample_rows)
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 32)), F.lit(every)) == 0)
-    sample = sample.select("text", _lang(docs)).mapInArrow(timed, "rule long, cost double, hits long")  # timed where the rows lie
-    measured = {r["rule"]: r for r in sample.groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("hits").alias("hits")).collect()}
-    gain = {k: (r["hits"] + 0.5) / (r["cost"] + 1e-6) for k, r in measured.items()}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -gain.get(k, 0.0))]
+    found = sample.select("text", _lang(docs)).mapInArrow(timed, "rule long, hit boolean, cold double, warm double, takes array<string>").collect()  # timed where the rows lie
+    n = len(found) // max(1, len(rules))
+    shape = (n, len(rules))  # a text's rules come one after the other
+    hits, cold, warm = (np.array([r[c] for r in found], t).reshape(shape) for c, t in (("hit", bool), ("cold", float), ("warm", float)))
+    takes = [set().union(*(found[i * len(rules) + k]["takes"] for i in range(n))) for k in range(len(rules))]
+    order, alive, known = [], np.ones(n, bool), set()
+    while len(order) < len(rules):
+        rest = [k for k in range(len(rules)) if k not in order]
+        cost = {k: (cold if takes[k] - known else warm)[alive, k].sum() + 1e-6 for k in rest}
+        best = max(rest, key=lambda k: ((hits[alive, k].sum() + 0.5) / cost[k], -k))
+        order.append(best)
+        alive &= ~hits[:, best]
+        known |= takes[best]
+    return [rules[k] for k in order]
 
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE, carry: Sequence[str] = ()) -> DataFrame:
@@ -197,7 +219,7 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[R
     row by row. An empty table gives no rows. `lang`, where there is one,
     chooses the terms of with_terms(); other columns are ignored.
     """
-    ordered = order_rules(docs, rules)
+    ordered = order_rules(docs, rules, base=base)
     rows = docs.select(F.col("doc_id").cast("long"), "text", _lang(docs), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     schema = StructType([rows.schema["doc_id"]])
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):

@@ -153,7 +153,8 @@ known AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL
 terms AS (SELECT r, doc_id, lang, unnest(list_transform(w, lambda x: lower(trim(x, '.,;:!?"''()')))) AS term FROM d),
 seen AS (SELECT DISTINCT r, lang, term, toxic > 0 AS bad FROM terms JOIN known USING (doc_id) WHERE term <> ''),
 counted AS (SELECT lang, term, count(*) FILTER (bad) AS bad, count(*) FILTER (NOT bad) AS clean FROM seen GROUP BY lang, term),
-toxic AS (SELECT lang, term FROM counted WHERE bad >= 3 AND bad >= 20 * clean ORDER BY bad DESC, lang, term LIMIT 4096),
+texts AS (SELECT coalesce(lang, '') AS lang, count(*) FILTER (toxic > 0) AS n FROM d JOIN known USING (doc_id) GROUP BY 1),
+toxic AS (SELECT lang, term FROM counted JOIN texts USING (lang) WHERE bad >= 3 AND bad >= 20 * clean AND bad >= CAST(0.002 AS DOUBLE) * n),
 hits AS (SELECT r, count(*) AS hits FROM terms JOIN toxic USING (lang, term) GROUP BY r),
 windows AS (SELECT r, unnest(range(0, len(w) - 2)) AS i, unnest(list_transform(range(0, len(w) - 2), lambda k: array_to_string(w[k + 1 : k + 3], ' '))) AS g FROM d WHERE len(w) >= 3),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
@@ -168,7 +169,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 2 * n_dup_lines > len(lines) OR (hits >= 2 AND 500 * hits >= n_words)) AS kept FROM b
 """
 
-#: Slots are those of tables that have one run to a shard (2,000,000 rows at most).
 _SHARDS = """
 WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
 steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),

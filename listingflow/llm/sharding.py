@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..operators.components import checkpointed
+from ..operators.digest import ranked_within
 
 _STEP, _ONE = np.uint64(2862933555777941757), np.uint64(1)
 
@@ -40,12 +42,13 @@ def shard_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, rows_per_run: int = 50_000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Shard, slot and size of each document (doc_id, text): doc_id, size, text_crc32, shard, slot, grown_shard.
 
     The shard comes from the id and the number of shards alone; grown_shard is that with one more.
-    Slots number a shard's rows without a gap: each shard is cut into runs by hash, the runs are
-    counted, and rows are numbered within their run, so no shard is ever sorted as a whole.
+    Slots number a shard's rows without a gap in order of doc_id (null first), text_crc32 and size: rows are dealt by ranges
+    of shard and that order, the ranges are counted, and rows are numbered within them, so no shard is ever sorted as a
+    whole, and slots are the same however the table is split.
 
     A null text has 16 bytes of overhead alone and the crc32 of the empty text. Null ids share one
     key; rows that repeat get slots of their own. An empty table gives no rows. Other columns are
@@ -57,19 +60,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, rows_per_run: int = 50_000)
         (F.octet_length(body).cast("long") + 16).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         shard_key(F.col("doc_id")).alias("key"),
-        F.spark_partition_id().alias("split"),
-    )
-    runs = max(1, -(-docs.count() // (rows_per_run * shards)))
-    rows = rows.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        jump_shard(F.col("key"), shards).alias("shard"),
-        jump_shard(F.col("key"), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64("key", "text_crc32", "split"), F.lit(runs)).alias("run"),
     )
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("shard", "run").agg(F.count("*").alias("n")).select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("at", F.row_number().over(within)).join(first, ["shard", "run"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).alias("slot"), "grown_shard")
+    rows = rows.select("doc_id", "size", "text_crc32", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard"))
+    numbered = ranked_within(checkpointed(rows), "shard", "doc_id", "text_crc32", "size", kind="long")
+    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - 1).alias("slot"), "grown_shard")

@@ -8,7 +8,7 @@ parts repeat, and each distinct part is encoded once per worker, as long as it i
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,14 +38,14 @@ class Recent(dict):
 
 
 class UnitEncoder:
-    """Turns texts into ids; `encode` gives the ids of one part.
+    """Turns texts into ids; `encode` gives the ids of one part, `whole` those of a text that has one of the texts `spelled`.
 
     Parts are found by their hashes, `most` of which are remembered (about 150 MB), and then compared
     byte by byte with the part that was learned; a batch with two parts of one hash is encoded part by part.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 1_400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 1_400_000, spelled: Sequence[str] = (), whole: Callable[[str], list[int]] | None = None):
+        self.encode, self.most, self.spelled, self.whole = encode, most, spelled, whole
         self.forget()
 
     def forget(self) -> None:
@@ -72,6 +72,8 @@ class UnitEncoder:
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, np.uint32)
+            elif any(x in text for x in self.spelled):
+                out[k] = np.array(self.whole(text), np.uint32)
             elif _RUN.search(text):
                 out[k] = self._one(text)
             else:

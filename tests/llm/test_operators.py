@@ -46,7 +46,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     expected = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in TEXTS)
     assert tokens == expected
     own = b"".join(r["ids"] for r in sorted((r for r in rows if r["doc_id"] == 8), key=lambda r: r["start"]))
@@ -131,6 +130,55 @@ def test_suffix_dedup_of_passages_that_many_texts_of_a_shard_share(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_packing_of_texts_that_spell_out_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|>world", "<|endoftext|>", "a <|endoftext|><|endoftext|> b  c", "<|endoftext |>", "x" * 3000 + "<|endoftext|>"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, text in enumerate(texts):
+        own = b"".join(r["ids"] for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]))
+        assert np.frombuffer(own, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_toxic_terms_of_a_language_are_the_same_beside_a_larger_one(spark):
+    small = [(i, f"mild text grumox {i}" if i % 2 else f"mild text here {i}", "de") for i in range(40)]
+    large = [(100 + i, " ".join(f"bad{i % 7}x{k}" for k in range(700)), "en") for i in range(70)]
+    labels = [(i, 1, i % 2) for i in range(40)] + [(100 + i, 1, 1) for i in range(70)]
+    shape = "doc_id long, text string, lang string"
+    for rows in (small, small + large):
+        found = quality_rules.toxic_terms(spark.createDataFrame(rows, shape), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert found["de"] == {"grumox"}
+    assert len(found["en"]) == 4900  # more than any quota in all
+    rare = [(i, f"common word{i // 3} text", "en") for i in range(3000)]  # three documents are less than the share
+    assert quality_rules.toxic_terms(spark.createDataFrame(rare, shape), spark.createDataFrame([(i, 1, 1) for i in range(3000)], "doc_id long, quality int, toxic int"))["en"] == {"common", "text"}
+
+
+def test_rules_are_ordered_by_what_is_left_and_what_is_known(spark):
+    def slow(t):
+        return sum(range(200_000)) < 0
+
+    rules = [quality_rules.Rule("never", slow), quality_rules.Rule("tiny", lambda t: t.n_words < 60), quality_rules.Rule("upper", lambda t: t.n_upper > 300), quality_rules.Rule("same", lambda t: t.n_upper > 200)]
+    body = " ".join(f"word{k}" for k in range(80))
+    rows = [(i, body if i % 3 else body.upper()) for i in range(90)] + [(100 + i, "short") for i in range(500)]
+    order = [r.name for r in quality_rules.order_rules(spark.createDataFrame(rows, "doc_id long, text string"), rules)]
+    assert order[0] in ("upper", "same") and order[-1] == "never"  # what fails the base is no reason to begin with "tiny"
+    assert quality_rules.order_rules(spark.createDataFrame([], "doc_id long, text string"), rules) == rules
+
+
+def test_slots_are_the_same_however_the_table_is_split(spark):
+    rows = [(None if i % 50 == 0 else i % 700, "t" * (i % 9)) for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(repr, sharding.assign_shards(table.repartition(n), 3).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+    by_shard = {}
+    for r in sharding.assign_shards(table, 3).collect():
+        by_shard.setdefault(r["shard"], []).append((r["slot"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]))
+    for own in by_shard.values():
+        own.sort()
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+
+
 def test_near_duplicates(docs, empty):
     assert order_minhash.near_duplicates(empty).count() == 0
     got = sorted((r["doc_id"] or -1, r["class_id"]) for r in order_minhash.near_duplicates(docs).collect())

@@ -55,7 +55,6 @@ def test_op1_covers_every_id_once(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     own, taken = {}, {}
     for r in rows_of(spark, "op1_packing"):
         own.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
