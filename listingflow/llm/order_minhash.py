@@ -24,6 +24,8 @@ SAMPLES, EACH, SHINGLE = 48, 3, 3
 #: Texts of so many words at most, and edits between them, are found by what is left when words are taken out, without fail.
 SHORT, SHORT_EDITS = 11, 2
 _SEEDS = np.random.default_rng(13).integers(0, 2**63, SAMPLES).astype(np.uint64)
+#: Runs that a hub lacks of which two texts must share so many, if they need that many, before they are compared.
+FEW = 3
 #: Keeps rounding from tightening a bound.
 _SLACK = 1e-6
 
@@ -279,8 +281,9 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float, q: int) -> DataF
     `star` has hub, x, n (words of x), common (labelled runs of q words, with the hub), inside (x is in the hub's class) and
     class. Near texts x and y have s = needed() runs in common. Of these at most min(common_x, common_y) lie in the hub's
     text. So x and y either satisfy s <= min(common_x, common_y), and so lie within the hub's text as within_hub() says, or
-    share a run that the hub lacks. A text outside the hub's class needs k = s - common_x of those at least, and so
-    shares one among all but its k - 1 most frequent ones: a prefix filter by rarity among the hub's members.
+    share k = s - min(common_x, common_y) runs that the hub lacks, or more. Of these FEW (or k, if that is less) are among all
+    but each text's k - FEW most frequent ones, a prefix filter by rarity among the hub's members; and from the
+    first of these on, both have enough left for the rest.
     """
     open_ = star.where("NOT inside").select("hub").distinct()
     here = checkpointed(star.join(open_, "hub"))
@@ -293,11 +296,14 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float, q: int) -> DataF
     frequent = Window.partitionBy("hub", "x").orderBy(F.desc("often"), F.desc("shingle"))
     ranked = counted.withColumn("behind", F.row_number().over(frequent)).join(here, ["hub", "x"])
     need = F.greatest(F.ceil(needed(F.col("n"), q, least) - F.col("common") - _SLACK), F.lit(1))
-    prefix = checkpointed(ranked.where(F.col("behind") >= need).select("hub", "x", "shingle", "n", "common", "inside", "class"))
-    other = prefix.select(F.col("hub").alias("g"), F.col("shingle").alias("z"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("inside").alias("yi"), F.col("class").alias("yk"))
-    by_shingle = prefix.join(other, (F.col("hub") == F.col("g")) & (F.col("shingle") == F.col("z")) & differ)
-    both = within_hub(here, texts, least, q).union(by_shingle.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return both.distinct()
+    ranked = ranked.withColumn("few", F.least(need, F.lit(FEW))).where(F.col("behind") > need - F.col("few"))
+    prefix = checkpointed(ranked.select("hub", "x", "shingle", "behind", "few", "n", "common", "inside", "class"))
+    other = prefix.select(F.col("hub").alias("g"), F.col("shingle").alias("z"), *(F.col(c).alias(f"y{c[0]}") for c in ("behind", "few", "n", "common", "inside")), F.col("x").alias("y"), F.col("class").alias("yk"))
+    own = needed(F.greatest("n", "yn"), q, least) - F.least("common", "yc")  # runs that the hub lacks that the two must share
+    enough = F.least("behind", "yb") + F.least("few", "yf") - 1 >= own - _SLACK
+    shared = prefix.join(other, (F.col("hub") == F.col("g")) & (F.col("shingle") == F.col("z")) & differ & enough)
+    by_shingle = shared.groupBy("hub", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("few", "yf")).alias("few")).where("n >= few")
+    return within_hub(here, texts, least, q).union(by_shingle.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -341,8 +347,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     own, hub = F.coalesce("cb", "b"), F.coalesce("ca", "a")
     star = checkpointed(star.select(F.col("a").alias("hub"), F.col("b").alias("x"), "n", "common", (own == hub).alias("inside"), own.alias("class"), "short", "only"))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_ = [beyond_hub(star.where(test).withColumn("common", F.col("common")[q - 1]), texts, least, q) for q, test in ((1, "short"), (2, "NOT only"))]
-    more = checkpointed(open_[0].union(open_[1]).distinct().join(done, ["a", "b"], "left_anti"))
+    star = star.withColumn("common", F.col("common")[0])
+    more = checkpointed(beyond_hub(star, texts, least, 1).join(done, ["a", "b"], "left_anti"))
     classes = connected_components(links.union(verified(more, texts, least).where("link").select("a", "b")))
 
     of = nodes.select("node", "digest", "first").join(classes, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
