@@ -110,21 +110,20 @@ def batch(df: DataFrame, n: int = 150) -> DataFrame:
     return df.withColumn("batch_no", F.floor((F.col("rank") - 1) / n).cast("int"))
 
 
-def group_same_role(df: DataFrame) -> DataFrame:
-    """One row per company, title, season and source, whatever their case: the first posting, all postings
-    in order, and distinct short locations in order."""
-    keys = [F.lower(c).alias(f"k_{c}") for c in ("company", "title", "season")]
-    rows = df.select(*keys, "source", F.struct("ord", "posting_id", "company", "title", short_location(F.col("location")).alias("place")).alias("p"))
-    held = rows.groupBy("k_company", "k_title", "k_season", "source").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    places = F.filter(F.array_distinct(F.transform("p", lambda x: x["place"])), lambda x: x != "")
-    return held.select(
-        F.col("p")[0]["posting_id"].alias("posting_id"),
-        F.col("p")[0]["company"].alias("company"),
-        F.col("p")[0]["title"].alias("title"),
-        "source",
-        F.transform("p", lambda x: x["posting_id"]).alias("posting_ids"),
-        F.array_join(places, "; ").alias("places"),
-    )
+def group_same_role(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(roles, members): one row per company, title, season and source, whatever their case, with its first posting, how many
+    it has and its distinct short locations in the order in which they come up; and (role, posting_id) of each posting.
+
+    A role of very many postings is counted, not gathered; only its distinct places are. Null fields are values of their
+    own; of postings with one ord the smaller id is first.
+    """
+    low = F.to_json(F.struct(*(F.lower(c).alias(c) for c in ("company", "title", "season")), "source"))
+    rows = df.select(F.md5(low).alias("role"), "ord", "posting_id", "company", "title", "source", short_location(F.col("location")).alias("place"))
+    heads = rows.groupBy("role").agg(F.min(F.struct("ord", "posting_id", "company", "title", "source")).alias("first"), F.count("*").alias("n"))
+    named = rows.where("place <> ''").groupBy("role", "place").agg(F.min("ord").alias("at"))
+    places = named.groupBy("role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "place"))), lambda x: x["place"]), "; ").alias("places"))
+    roles = heads.join(places, "role", "left").select("role", *(F.col(f"first.{c}").alias(c) for c in ("posting_id", "company", "title", "source")), "n", F.coalesce("places", F.lit("")).alias("places"))
+    return roles, rows.select("role", "posting_id")
 
 
 def section_counts(df: DataFrame) -> DataFrame:

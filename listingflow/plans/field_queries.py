@@ -206,6 +206,21 @@ def feed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.select(F.regexp_extract("apply_url", r"(\d+)$", 1).cast("long").alias("n"), "source", "source_rank", "company", "title", "apply_url", "location", "season", "posted", "posting_uuid", "category")
 
 
+@query("""WITH g AS (SELECT 'f' || (c_nationkey % 5) AS source, count(*) AS n FROM customer WHERE c_nationkey % 5 <> 2 GROUP BY 1)
+SELECT source, CAST(substr(source, 2) AS INTEGER) AS source_rank, 1 AS ok, n, '' AS error FROM g UNION ALL SELECT 'f2', 2, 0, 0, 'a file is no JSON list' UNION ALL SELECT 'gone', 5, 0, 0, 'no file'""")
+def feeds_in_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings by source of five feeds of several files, of which one is cut off in one file, and of one that isn't there."""
+    c, path = table(spark, sf_dir, "customer"), _folder(spark)
+    key, feed = F.col("c_custkey").cast("string"), _said("f", (F.col("c_nationkey") % 5).cast("string"))
+    record = F.to_json(F.struct(F.lit(True).alias("active"), F.lit(True).alias("is_visible"), F.lit("SWE").alias("category"), F.array(F.lit("Summer 2027")).alias("terms"), F.array(F.lit("Austin, TX")).alias("locations"), _said("https://x.org/", key).alias("url"), _said("C", key).alias("company_name"), _said("Intern ", key).alias("title"), key.alias("id"), F.lit(86400).alias("date_posted")))
+    lists = c.select(feed.alias("feed"), F.floor(F.col("c_nationkey") / 5).alias("file"), record.alias("j")).groupBy("feed", "file").agg(F.array_join(F.collect_list("j"), ",\n").alias("body"))
+    cut = (F.col("feed") == "f2") & (F.col("file") == 1)
+    lists.select("feed", "file", F.when(cut, _said("[", F.col("body"))).otherwise(_said("[", F.col("body"), "]")).alias("value")).repartition("feed", "file").drop("file").write.option("maxRecordsPerFile", 1).partitionBy("feed").text(path)
+    postings, runs = feeds.read_feeds(spark, [*((f"f{k}", f"{path}/feed=f{k}") for k in range(5)), ("gone", f"{path}/feed=gone")])
+    counts = postings.groupBy("source").agg(F.count("*").alias("n"))
+    return runs.join(counts, "source", "left").select("source", "source_rank", F.col("ok").cast("int").alias("ok"), F.coalesce("n", F.lit(0)).alias("n"), "error")
+
+
 @query("""WITH h AS (SELECT c_custkey, c_custkey // 2 AS id, row_number() OVER (PARTITION BY c_custkey // 2 ORDER BY c_custkey) AS turn FROM customer)
 SELECT 'c' || id AS posting_uuid, 'Company ' || c_custkey AS company, 'Role ' || c_custkey AS title, 'A, B' AS location, 'Summer' AS season, '$' || (c_custkey % 90 + 10) || '/hr' AS salary, 'Jan 02' AS posted, 'index' AS source FROM h WHERE turn = 1""")
 def index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,10 +211,13 @@ def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.stratified_sample(d, 60).select("doc_id", "source", "turn")
 
 
-@query(f"""WITH {POSTINGS_SQL} SELECT min(pos) AS posting_id, lower(company) AS company, lower(title) AS title, source, count(*) AS n FROM p GROUP BY lower(company), lower(title), lower(season), source""")
+@query(f"""WITH {POSTINGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY lower(company), lower(title), lower(season), source ORDER BY pos) AS turn FROM p),
+l AS (SELECT lower(company) AS company, lower(title) AS title, lower(season) AS season, source, location, min(pos) AS at_ FROM p GROUP BY ALL),
+g AS (SELECT company, title, season, source, string_agg(location, '; ' ORDER BY at_, location) AS places FROM l GROUP BY ALL)
+SELECT min(pos) AS posting_id, g.company, g.title, g.source, count(*) AS n, any_value(places) AS places FROM r JOIN g ON lower(r.company) = g.company AND lower(r.title) = g.title AND lower(r.season) = g.season AND r.source = g.source GROUP BY g.company, g.title, g.season, g.source""")
 def same_role_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = digest.group_same_role(postings_view(spark, sf_dir).withColumn("ord", F.col("pos")))
-    return g.select("posting_id", F.lower("company").alias("company"), F.lower("title").alias("title"), "source", F.size("posting_ids").cast("long").alias("n"))
+    roles, _ = digest.group_same_role(postings_view(spark, sf_dir).withColumn("ord", F.col("pos")))
+    return roles.select("posting_id", F.lower("company").alias("company"), F.lower("title").alias("title"), "source", "n", "places")
 
 
 @query(_JUDGED + """SELECT digest_id, count(*) FILTER (action <> 'maybe' AND NOT indirect) AS direct, count(*) FILTER (action <> 'maybe' AND indirect) AS indirect,

@@ -16,6 +16,7 @@ from listingflow.functions.text import decode_entities
 from listingflow.operators import audit, digest, pages, rules
 from listingflow.plans import stream_queries
 from listingflow.plans.registry import QUERIES, SQL
+from listingflow.sources import feeds
 from listingflow.streaming.digest import dedup_within
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +168,31 @@ def test_state_of_a_stream_falls_behind_the_watermark(spark, tmp_path):
         sent.append(spark.read.schema("event_id long, ts timestamp").parquet(str(tmp_path / "out")).count())
     assert held[1] == 200 and held[2] < 300 and held[3] <= 200  # keys of the first days are gone
     assert sent == [100, 200, 300, 400]  # ids of the first day, no longer known, pass again
+
+
+def test_roles_of_several_cities(spark):
+    shape = "ord long, posting_id long, company string, title string, season string, source string, location string"
+    rows = [(1, 11, "Acme", "SWE Intern", "S", "a", "Boston"), (2, 12, "ACME", "swe intern", "s", "a", "Austin, TX +3"), (3, 13, "acme", "SWE Intern", "S", "a", "Boston"), (4, 14, "Acme", "SWE Intern", "S", "b", ""), (5, 15, None, "SWE Intern", "S", "a", "X"), (5, 16, "", "SWE Intern", "S", "a", None)]
+    roles, members = digest.group_same_role(spark.createDataFrame(rows, shape))
+    found = {r["posting_id"]: r for r in roles.collect()}
+    assert {i: (r["company"], r["n"], r["places"]) for i, r in found.items()} == {11: ("Acme", 3, "Boston; Austin, TX"), 14: ("Acme", 1, ""), 15: (None, 1, "X"), 16: ("", 1, "")}
+    held = {}
+    for r in members.collect():
+        held.setdefault(r["role"], set()).add(r["posting_id"])
+    assert {i: held[r["role"]] for i, r in found.items()} == {11: {11, 12, 13}, 14: {14}, 15: {15}, 16: {16}}
+    assert digest.group_same_role(spark.createDataFrame([], shape))[0].count() == 0
+
+
+def test_a_broken_file_fails_its_own_feed(spark, tmp_path):
+    record = {"active": True, "is_visible": True, "category": "SWE", "terms": ["Summer 2027"], "locations": ["Austin, TX"], "url": "https://x.org/1", "company_name": "C", "title": "Intern", "id": "1", "date_posted": 86400}
+    files = {"good/a.json": [record, record | {"title": "Second"}], "good/b.json": [], "cut/a.json": [record], "object/a.json": {"a": 1}, "odd names/ä b.json": [record | {"unknown": 3, "locations": None, "terms": None}]}
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(body)[: -1 if name == "cut/a.json" else None])
+    (tmp_path / "empty").mkdir()
+    sources = [(name, str(tmp_path / name)) for name in ("good", "cut", "object", "odd names", "empty", "none")]
+    postings, runs = feeds.read_feeds(spark, sources)
+    assert [(r["source"], r["title"], r["pos"] & 0xFFFFFFFF) for r in postings.orderBy("source_rank", "pos").collect()] == [("good", "Intern", 0), ("good", "Second", 1), ("odd names", "Intern", 0)]
+    assert {r["source"]: (r["ok"], r["error"]) for r in runs.collect()} == {"good": (True, ""), "cut": (False, "a file is no JSON list"), "object": (False, "a file is no JSON list"), "odd names": (True, ""), "empty": (False, "no file"), "none": (False, "no file")}
+    none, runs = feeds.read_feeds(spark, sources[-1:])
+    assert none.count() == 0 and runs.first()["ok"] is False
