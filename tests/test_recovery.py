@@ -359,7 +359,14 @@ def test_report_body(spark):
 
 def test_entry_lives_without_training_data(monkeypatch):
     def missing(name):
-        raise ModuleNotFoundError(name)
+        raise ModuleNotFoundError(name, name=name)
 
     monkeypatch.setattr(entry.importlib, "import_module", missing)
     assert len(entry.queries()) > 40 and set(entry.oracle_sql()) <= set(entry.queries())
+
+    def without_a_wheel(name):
+        raise ModuleNotFoundError("no such wheel", name="tokenizers")
+
+    monkeypatch.setattr(entry.importlib, "import_module", without_a_wheel)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
