@@ -36,7 +36,7 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
         whole = Tokenizer.from_file(path)
         tokenize, matches = whole.model.tokenize, regex.compile(public_tokenizers.PATTERN).findall
         spelled = [t.content for t in whole.get_added_tokens_decoder().values()]
-        known = Recent(lambda word: [t.id for t in tokenize(charmap_decode(word.encode(), "strict", _AS_LETTERS)[0])])
+        known = Recent(lambda word: [t.id for t in tokenize(charmap_decode(word.encode(), "strict", _AS_LETTERS)[0])], most=100_000)  # what is asked for again is a part, mostly
 
         def encode(part: str) -> list[int]:
             word = part.rstrip(",.!")
