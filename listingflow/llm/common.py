@@ -29,6 +29,17 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
+#: What this worker remembers between tasks, by operator.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What the operator remembers in this worker. Workers outlive stages, so what other operators left here goes."""
+    for other in [o for o in _REMEMBERED if o != operator]:
+        del _REMEMBERED[other]
+    return _REMEMBERED.setdefault(operator, {})
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_chunks, spread, texts_of
+from .common import in_chunks, remembered, spread, texts_of
 from .units import Recent, UnitEncoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -19,8 +19,6 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS_LETTERS = "".join(chr(b if b in _PRINTABLE else 256 + b - sum(p < b for p in _PRINTABLE)) for b in range(256))
 
-_encoders: dict[str, UnitEncoder] = {}
-
 
 def tokenizer_encoder(path: str) -> UnitEncoder:
     """Ids by the tokenizers library, one encoder per worker.
@@ -28,7 +26,8 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
     The library's model encodes each distinct match of the split pattern. No special token is added; a text that spells one out
     is encoded by the library as a whole, which takes it for that token.
     """
-    if path not in _encoders:
+    encoders = remembered("packing")
+    if path not in encoders:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -49,8 +48,8 @@ def tokenizer_encoder(path: str) -> UnitEncoder:
                 out += known[word]
             return out
 
-        _encoders[path] = UnitEncoder(encode, spelled=spelled, whole=lambda text: whole.encode(text, add_special_tokens=False).ids)
-    return _encoders[path]
+        encoders[path] = UnitEncoder(encode, spelled=spelled, whole=lambda text: whole.encode(text, add_special_tokens=False).ids)
+    return encoders[path]
 
 
 def karmarkar_karp(sizes: list[int], windows: int) -> list[list[int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import in_chunks, spread
+from .common import in_chunks, remembered, spread
 
 WIDTH, DIM, FILTERS, SEGMENT = 6, 8, 16, 64
 _BLOCK = 1024  # segments convolved at a time
@@ -151,6 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, use: Column, most_rows: in
     net = train(*training_rows(docs, labels, use, most_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("quality_classifier")
         for batch in in_chunks(batches, size=1 << 20):
             scores = net.scores([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], names=["doc_id", *carry, "score"])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from .common import WORD, checkpointed, in_chunks, spread, texts_of, words_of
+from .common import WORD, checkpointed, in_chunks, remembered, spread, texts_of, words_of
 
 #: Common English insults, for texts of a table without labels; see toxic_terms().
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "clown", "trash", "garbage", "scum", "worthless", "pathetic", "disgusting", "filthy", "vile", "imbecile", "jerk")
@@ -228,6 +228,7 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[R
     schema = StructType([*schema.fields, *(docs.schema[c] for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("quality_rules")
         for batch in in_chunks(batches):
             rows = []
             for body, lang in zip(texts_of(batch), texts_of(batch, "lang")):
