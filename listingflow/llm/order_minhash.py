@@ -26,6 +26,10 @@ SHORT, SHORT_EDITS = 11, 2
 _SEEDS = np.random.default_rng(13).integers(0, 2**63, SAMPLES).astype(np.uint64)
 #: Runs that a hub lacks of which two texts must share so many, if they need that many, before they are compared.
 FEW = 3
+#: Texts of a hub that are held against so many others at a time, where the hub's texts share too many runs to go by them.
+BLOCK = 128
+#: Rows that a join by runs may make for each row that blocks would take, before the hub goes by blocks.
+DENSE = 8
 #: Keeps rounding from tightening a bound.
 _SLACK = 1e-6
 
@@ -81,7 +85,7 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
     return np.sort(labelled(words if q == 1 else shingles(words, q)))
 
 
-def needed(n: Column, q: int, least: float) -> Column:
+def needed(n: Column | np.ndarray, q: int, least: float) -> Column | np.ndarray:
     """Labelled runs of q words that a text of n words has in common with any text that it is near: an edit spoils q at most."""
     return (1 - q * (1 - least)) * n - (q - 1)
 
@@ -224,16 +228,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def added_runs(pairs: DataFrame, texts: DataFrame, q: int) -> DataFrame:
-    """(a, b, shingle): the labelled runs of q words of b's text that a's lacks."""
+    """(a, b, runs): the labelled runs of q words of b's text that a's lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, pairs_ in _Known(q).pairs(batches):
             extra = [np.setdiff1d(y, x, assume_unique=True).view(np.int64) for _, (x,), _, (y,) in pairs_]
-            n = [len(e) for e in extra]
-            a, b = (np.repeat(batch.column(k).to_numpy(), n) for k in range(2))
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "shingle": np.concatenate([np.zeros(0, np.int64), *extra])})
+            runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, extra)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *extra])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs], names=["a", "b", "runs"])
 
-    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, shingle long")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, runs array<long>")
 
 
 def own_runs(nodes: DataFrame, texts: DataFrame, q: int) -> DataFrame:
@@ -274,6 +277,48 @@ def within_hub(star: DataFrame, texts: DataFrame, least: float, q: int) -> DataF
     return prefix.join(other, "shingle").where(differ & near).select(F.col("x").alias("a"), F.col("y_x").alias("b"))
 
 
+def in_blocks(members: DataFrame, least: float, q: int) -> DataFrame:
+    """Pairs (a, b) of a hub's texts, one of them not in its class, that share as many runs that the hub lacks as a near pair must.
+
+    `members` has hub, x, n, common, inside, class and runs, those that the hub lacks, and by hub blocks and open_blocks. Each block of open texts meets each block of all in a group of its own, in which the runs in common are counted.
+    """
+    place = F.xxhash64("x")
+    columns = ["hub", "i", "j", "x", "n", "common", "inside", "class", "runs"]
+
+    def dealt(some: DataFrame, own: str, other: str, count: str, others: str) -> DataFrame:
+        some = some.withColumn(own, F.pmod(place, F.col(count)))
+        return some.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))).select(*(F.col(c).alias(c) for c in columns))
+
+    open_ = dealt(members.where("NOT inside"), "i", "j", "open_blocks", "blocks")
+    all_ = dealt(members, "j", "i", "blocks", "open_blocks")
+
+    def held(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            (x, n, c, _, k), (y, m, d, inside, l) = ([t[name].to_numpy() for name in columns[3:8]] for t in (left, right))
+            mine, theirs = (t["runs"].combine_chunks() for t in (left, right))
+            values = np.concatenate([mine.flatten().to_numpy(), theirs.flatten().to_numpy()])
+            kinds, code = np.unique(values, return_inverse=True)
+            ends = np.cumsum(mine.value_lengths().to_numpy())
+            own, other = code[: ends[-1]], code[ends[-1] :]
+            owner = np.repeat(np.arange(len(y)), theirs.value_lengths().to_numpy())
+            has = np.zeros(len(kinds), bool)
+            for r, (at, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                has[own[at:end]] = True
+                shared = np.bincount(owner[has[other]], minlength=len(y))
+                has[own[at:end]] = False
+                longer = np.maximum(n[r], m)
+                lacking = needed(longer, q, least) - np.minimum(c[r], d)  # none: within_hub() has the pair
+                near = (lacking > _SLACK) & (shared >= lacking - _SLACK) & (np.minimum(n[r], m) >= least * longer - _SLACK)
+                found = y[near & (l != k[r]) & (inside | (x[r] < y))]
+                a.append(np.minimum(x[r], found))
+                b.append(np.maximum(x[r], found))
+        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+
+    keys = ["hub", "i", "j"]
+    return open_.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInArrow(held, "a long, b long")
+
+
 def beyond_hub(star: DataFrame, texts: DataFrame, least: float, q: int) -> DataFrame:
     """Pairs (a, b) that may be near though one of them is not in its hub's class, without holding all
     such pairs against each other.
@@ -289,21 +334,28 @@ def beyond_hub(star: DataFrame, texts: DataFrame, least: float, q: int) -> DataF
     here = checkpointed(star.join(open_, "hub"))
     differ = (F.col("class") != F.col("yk")) & ~F.col("inside") & (F.col("yi") | (F.col("x") < F.col("y"))) & (F.least("n", "yn") >= least * F.greatest("n", "yn") - _SLACK)
 
-    extra = added_runs(here.select(F.col("hub").alias("a"), F.col("x").alias("b")), texts, q).select(F.col("a").alias("hub"), F.col("b").alias("x"), "shingle")
-    extra = checkpointed(extra)
-    counted = extra.join(extra.groupBy("hub", "shingle").agg(F.count("*").alias("often")).where("often > 1"), ["hub", "shingle"])
+    extra = added_runs(here.select(F.col("hub").alias("a"), F.col("x").alias("b")), texts, q).select(F.col("a").alias("hub"), F.col("b").alias("x"), "runs")
+    extra = checkpointed(extra.repartition("hub", "x"))  # the texts of one hub apart
+    counted = extra.select("hub", "x", F.explode("runs").alias("shingle")).withColumn("often", F.count("*").over(Window.partitionBy("hub", "shingle"))).where("often > 1")
     # runs of no other member stand before the others in the order of rarity, so places are counted from the end
     frequent = Window.partitionBy("hub", "x").orderBy(F.desc("often"), F.desc("shingle"))
     ranked = counted.withColumn("behind", F.row_number().over(frequent)).join(here, ["hub", "x"])
     need = F.greatest(F.ceil(needed(F.col("n"), q, least) - F.col("common") - _SLACK), F.lit(1))
     ranked = ranked.withColumn("few", F.least(need, F.lit(FEW))).where(F.col("behind") > need - F.col("few"))
     prefix = checkpointed(ranked.select("hub", "x", "shingle", "behind", "few", "n", "common", "inside", "class"))
+    meets = prefix.groupBy("hub", "shingle").agg((F.count("*") * F.count_if(~F.col("inside"))).alias("meets")).groupBy("hub").agg(F.sum("meets").alias("meets"))
+    sizes = here.groupBy("hub").agg(F.count("*").alias("size"), F.count_if(~F.col("inside")).alias("open"))
+    sizes = sizes.select("hub", "size", "open", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil(F.col("open") / BLOCK).alias("open_blocks"))
+    dense = sizes.join(meets, "hub").where(F.col("meets") > DENSE * (F.col("open") * F.col("blocks") + F.col("size") * F.col("open_blocks")))
+    dense = checkpointed(dense.select("hub", "blocks", "open_blocks"))
+    by_block = in_blocks(checkpointed(here.join(dense, "hub").join(extra, ["hub", "x"])), least, q)
+    sparse = here.where("NOT inside").join(dense, "hub", "left_anti").select("hub", "x")
     other = prefix.select(F.col("hub").alias("g"), F.col("shingle").alias("z"), *(F.col(c).alias(f"y{c[0]}") for c in ("behind", "few", "n", "common", "inside")), F.col("x").alias("y"), F.col("class").alias("yk"))
     own = needed(F.greatest("n", "yn"), q, least) - F.least("common", "yc")  # runs that the hub lacks that the two must share
     enough = F.least("behind", "yb") + F.least("few", "yf") - 1 >= own - _SLACK
-    shared = prefix.join(other, (F.col("hub") == F.col("g")) & (F.col("shingle") == F.col("z")) & differ & enough)
+    shared = prefix.join(sparse, ["hub", "x"], "left_semi").join(other, (F.col("hub") == F.col("g")) & (F.col("shingle") == F.col("z")) & differ & enough)
     by_shingle = shared.groupBy("hub", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("few", "yf")).alias("few")).where("n >= few")
-    return within_hub(here, texts, least, q).union(by_shingle.select("a", "b")).distinct()
+    return within_hub(here, texts, least, q).union(by_shingle.select("a", "b")).union(by_block).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -249,6 +250,23 @@ def test_near_duplicates_with_words_changed_all_over(spark):
     assert got == {i: i - i % 4 if i % 4 < 3 else i for i in range(len(rows))}
 
 
+def test_texts_of_a_dense_hub_are_compared_only_if_their_words_let_them_be_near(spark, monkeypatch):
+    """A line repeated all over, and own words of a small vocabulary that any three texts share."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(14)
+    rows = [["is", "one"] * 150 + [f"w{x}" for x in rng.integers(0, 60, rng.integers(2, 140))] for _ in range(90)]
+    rows[0] = ["is", "one"] * 150
+    words = [order_minhash.hashed_words([" ".join(t).encode()])[0] for t in rows]
+    bags = [Counter(t) for t in rows]
+    inside = [order_minhash.aligned(words[0], w, 0.8) for w in words]
+    star = [(0, k, len(rows[k]), (bags[0] & bags[k]).total(), inside[k], 0 if inside[k] else k) for k in range(1, 90)]
+    star = spark.createDataFrame(star, "hub long, x long, n long, common long, inside boolean, class long")
+    texts = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(rows)], "node long, text string")
+    got = {tuple(sorted(r)) for r in order_minhash.beyond_hub(star, texts, 0.8, 1).collect()}
+    want = {(a, b) for b in range(1, 90) for a in range(1, b) if not (inside[a] and inside[b]) and (bags[a] & bags[b]).total() >= 0.8 * max(len(rows[a]), len(rows[b])) - 1e-6}
+    assert got == want and 20 < len(want) < 3000 and 10 < sum(inside) < 80
+
+
 def test_sharding(docs, empty):
     assert sharding.assign_shards(empty).count() == 0
     rows = sharding.assign_shards(docs, 4).collect()
