@@ -79,12 +79,12 @@ def _bytes_of_parts(entries: DataFrame, limit: int, overhead: int, tries: int) -
     return totals, sums
 
 
-def pack(df: DataFrame, limit: int = 92_000, overhead: int = 2_000, tries: int = 8) -> DataFrame:
+def pack(df: DataFrame, limit: int = 92_000, overhead: int = 2_000, tries: int = 8, halve: bool = True) -> DataFrame:
     """(digest_id, posting_id, rank, part_no, parts) of ordered entries (digest_id, posting_id, rank, size).
 
     Parts are even in entries: as many as the bytes need, and up to `tries` more until every part fits. If
-    none does, parts that are too large are halved. Ranks are 1, 2, ... in each digest; entries with a null digest are
-    none of any.
+    none does, parts that are too large are halved, or with halve=False the most parts tried stay as they are. Ranks are
+    1, 2, ... in each digest; entries with a null digest are none of any.
     """
     entries = df.where("digest_id IS NOT NULL").select("digest_id", "posting_id", "rank", "size", F.floor((F.col("rank") - 1) / BLOCK).cast("long").alias("block"))
     entries = checkpointed(entries)
@@ -95,6 +95,8 @@ def pack(df: DataFrame, limit: int = 92_000, overhead: int = 2_000, tries: int =
     held = sums.join(chosen, ["digest_id", "parts"]).withColumn("over", (F.col("bytes") > limit) & (F.least("step", F.col("n") - (F.col("part") - 1) * F.col("step")) > 1))
     digests = held.groupBy("digest_id").agg(F.first("step").alias("step"), F.count("*").cast("int").alias("parts"), F.max("over").alias("over"))
     placed = entries.drop("block").join(digests, "digest_id").withColumn("part", F.floor((F.col("rank") - 1) / F.col("step")).cast("int"))
+    if not halve:
+        return placed.select("digest_id", "posting_id", "rank", (F.col("part") + 1).alias("part_no"), "parts")
     even = placed.where("NOT over").select("digest_id", "posting_id", "rank", (F.col("part") + 1).alias("part_no"), "parts")
     uneven = placed.where("over").drop("over").join(held.select("digest_id", (F.col("part") - 1).alias("part"), "over"), ["digest_id", "part"])
     rest = uneven.where("over").select("digest_id", "posting_id", "rank", "part", "size", F.lit(limit).alias("limit"), F.lit(overhead).alias("overhead"))

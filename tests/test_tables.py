@@ -196,3 +196,38 @@ def test_a_broken_file_fails_its_own_feed(spark, tmp_path):
     assert {r["source"]: (r["ok"], r["error"]) for r in runs.collect()} == {"good": (True, ""), "cut": (False, "a file is no JSON list"), "object": (False, "a file is no JSON list"), "odd names": (True, ""), "empty": (False, "no file"), "none": (False, "no file")}
     none, runs = feeds.read_feeds(spark, sources[-1:])
     assert none.count() == 0 and runs.first()["ok"] is False
+
+
+def changed(tmp_path, **tables):
+    """The smallest tables, some of them as a SELECT from `old` says."""
+    for name in os.listdir(SF):
+        select = tables.get(name.removesuffix(".parquet"))
+        if select is None:
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+        else:
+            duckdb.sql(f"COPY (WITH old AS (SELECT * FROM '{SF}/{name}') {select}) TO '{tmp_path / name}'")
+    return str(tmp_path)
+
+
+def differs(spark, name, folder):
+    """Rows by which a query and its SQL differ."""
+    with duckdb.connect() as db:
+        for table in os.listdir(folder):
+            db.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{table}'")
+        want = db.execute(SQL[name])
+        columns = [c[0] for c in want.description]
+        return {*map(tuple, QUERIES[name](spark, folder).select(columns).collect())} ^ {*want.fetchall()}
+
+
+@pytest.mark.parametrize("name", ["digest_parts"])
+def test_parts_that_no_number_fits_equal_the_sql(spark, tmp_path, name):
+    long = "SELECT * REPLACE (s_name || CASE WHEN s_suppkey % 10 = 9 THEN repeat('x', 40000) ELSE '' END AS s_name) FROM old"
+    assert differs(spark, name, changed(tmp_path, supplier=long)) == set()
+
+
+def test_parts_are_halved_unless_told_not_to(spark):
+    sizes = [400] * 500 + [4000] * 100  # the large ones fill their parts at any number that is tried
+    rows = spark.createDataFrame([("d", i, i + 1, n) for i, n in enumerate(sizes)], "digest_id string, posting_id long, rank int, size int")
+    even, halved = ([len(sizes[r["a"] : r["b"]]) and (r["a"], r["b"]) for r in digest.pack(rows, halve=h).groupBy("part_no").agg((F.min("rank") - 1).alias("a"), F.max("rank").alias("b")).orderBy("part_no").collect()] for h in (False, True))
+    assert max(sum(sizes[a:b]) + 2000 for a, b in halved) <= 92_000 < max(sum(sizes[a:b]) + 2000 for a, b in even)
+    assert len({b - a for a, b in even[:-1]}) == 1 and [x for a, b in halved for x in range(a, b)] == list(range(600))
