@@ -12,8 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from listingflow.functions import keys
 from listingflow.functions.text import decode_entities
 from listingflow.operators import audit, digest, pages, rules
+from listingflow.operators.cluster import cluster
+from listingflow.operators.components import checkpoint_folder
+from listingflow.plans.postings import postings_view
 from listingflow.plans import stream_queries
 from listingflow.plans.registry import QUERIES, SQL
 from listingflow.sources import feeds
@@ -231,3 +235,31 @@ def test_parts_are_halved_unless_told_not_to(spark):
     even, halved = ([len(sizes[r["a"] : r["b"]]) and (r["a"], r["b"]) for r in digest.pack(rows, halve=h).groupBy("part_no").agg((F.min("rank") - 1).alias("a"), F.max("rank").alias("b")).orderBy("part_no").collect()] for h in (False, True))
     assert max(sum(sizes[a:b]) + 2000 for a, b in halved) <= 92_000 < max(sum(sizes[a:b]) + 2000 for a, b in even)
     assert len({b - a for a, b in even[:-1]}) == 1 and [x for a, b in halved for x in range(a, b)] == list(range(600))
+
+
+def test_clusters_carry_only_what_they_need(spark):
+    """What clustering writes doesn't grow with columns that it doesn't use."""
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    rows = keys.with_keys(postings_view(spark, SF).limit(500)).withColumn("note", F.repeat(F.col("apply_url"), F.lit(200)))
+    held = sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(folder) for name in names)
+    assert cluster(rows)[0].agg(F.sum("n_members")).first()[0] == 500
+    assert sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(folder) for name in names) - held < 1_000_000
+
+
+def test_postings_are_judged_once(spark):
+    plan = rules.tag(postings_view(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)outreachy") == 1
+
+
+def test_names_without_words_equal_patterns(spark):
+    rng = random.Random(5)
+    words = ["Inc", "inc.", "Co-op", "coop", "New", "new grad", "NEWGRAD", "graduate", "new  graduate", "2027", "20271", "1999", "2\u0660\u0661\u0662", "Summer", "bachelors", "Under-grad", "the", "AG", "ag1", "Zoë", "K\u212a", "İ", "\n", "\t", "_", "news", "renew grad", ""]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "-", "  ", "", "/", ", "]) for _ in range(rng.randrange(7))) for _ in range(600)] + [None]
+    company = r"\b(inc|llc|ltd|corp|corporation|co|company|technologies|technology|labs|group|holdings|plc|gmbh|sa|ag|nv|the)\b"
+
+    def plain(text, pattern):
+        text = re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).strip()
+        return " ".join(re.sub(pattern, " ", text).split())
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keys.normalize_company("t").alias("c"), keys.normalize_title("t").alias("n"))
+    assert [tuple(r) for r in df.collect() if (r["c"], r["n"]) != (plain(r["t"], company), plain(r["t"], keys.TITLE_WORDS))] == []
