@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import short_location
-from .components import checkpointed
+from .components import checkpointed, stored
 from .rules import is_meaningful
 
 ORDER = ("is_maybe", "indirect", "company_low", "title_low", "ord")
@@ -29,7 +29,7 @@ def order_digest(df: DataFrame) -> DataFrame:
     """Adds rank within digest_id: direct first, maybe last, by company and title, then input order. Null companies
     and titles come first; rows without a digest_id are none of any digest."""
     low = df.where("digest_id IS NOT NULL").withColumns({"is_maybe": F.col("relevance") == "maybe", "company_low": F.lower("company"), "title_low": F.lower("title")})
-    return ranked_within(low, "digest_id", *ORDER)
+    return ranked_within(stored(low), "digest_id", *ORDER)  # dealing by ranges reads its rows twice
 
 
 def _halved(rows: pd.DataFrame) -> pd.DataFrame:
